@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +52,21 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per session, as they may not have it installed."""
+    if spark.conf.get("auricle.shipped", None) == spark.sparkContext.applicationId:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    home = tempfile.mkdtemp(prefix="auricle-package-")
+    _LOCAL_DIRS.append(home)
+    archive = os.path.join(home, "auricle.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for at, _, names in os.walk(os.path.join(root, "auricle")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    out.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("auricle.shipped", spark.sparkContext.applicationId)
