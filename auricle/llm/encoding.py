@@ -65,10 +65,13 @@ EM_ROUNDS = 6
 #: Pseudo-count of a chain in the prior of a (source, field).
 ALPHA = 0.5
 _FLOOR = 1e-7
+#: Options this much less likely than the best are left out; their posterior is below 1e-20.
+HOPELESS = 60.0
 
 
 def suspicious(value: Column) -> Column:
-    return F.coalesce(value.rlike(SUSPECT), F.lit(False))
+    """Whether the value could be damaged; texts of one byte a character are told apart by their sizes alone."""
+    return F.coalesce((F.octet_length(value) != F.length(value)) & value.rlike(SUSPECT), F.lit(False))
 
 
 def melt(tracks: DataFrame) -> DataFrame:
@@ -106,9 +109,13 @@ def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"pair": list(total), "n": list(total.values())}, dtype="int64")
 
 
+def _untrusted(value: Column) -> Column:
+    return F.coalesce((F.octet_length(value) != F.length(value)) & value.rlike(UNTRUSTED), F.lit(False))
+
+
 def train(values: DataFrame) -> dict[int, int]:
     """Bigram counts of all undamaged values; at most (number of symbols)^2 entries, whatever the data's size."""
-    clean = values.where(F.col("value").isNotNull() & ~F.col("value").rlike(UNTRUSTED)).select("value")
+    clean = values.where(F.col("value").isNotNull() & ~_untrusted(F.col("value"))).select("value")
     counts = clean.mapInPandas(_count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     return {r["pair"]: r["n"] for r in counts.collect()}
 
@@ -259,7 +266,10 @@ def _candidates(pairs: dict[int, int]):
         for batch in batches:
             rows = []
             for source, field, value, n in zip(batch["source"], batch["field_name"], batch["value"], batch["n"]):
-                rows += [(source, field, value, n, c, t, s) for c, t, s in chains(value, model)]
+                options = chains(value, model)
+                best = max(s for _, _, s in options)
+                # the prior cannot make up for this much: its floor is log(1e-6)
+                rows += [(source, field, value, n, c, t, s - best) for c, t, s in options if c == CLEAN or s > best - HOPELESS]
             yield pd.DataFrame(rows, columns=["source", "field_name", "value", "n", "chain", "repaired", "loglik"])
 
     return run
@@ -268,28 +278,31 @@ def _candidates(pairs: dict[int, int]):
 # --- expectation maximization ----------------------------------------------------------
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _posterior(first: bool) -> Column:
+    """``p`` of every option of a row: softmax of log likelihood and log prior."""
+    if first:
+        lp = lambda c: F.when(c["chain"] == CLEAN, F.lit(math.log(0.98))).otherwise(F.lit(math.log(0.001)))
+    else:
+        lp = lambda c: F.coalesce(F.try_element_at("prior", c["chain"]), F.lit(math.log(1e-6)))
+    # loglik is relative to the best option of the row, so exp cannot underflow for all of them
+    weights = F.transform("options", lambda c: F.exp(c["loglik"] + lp(c)))
+    return _let(weights, lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda z: F.transform(e, lambda x: x / z)))
+
+
 def maximize(values: DataFrame, rounds: int) -> DataFrame:
     """EM with one row per distinct value, its chains in an array: each round is one narrow pass and one small aggregate.
 
     The prior has (sources x fields x chains) rows; it is joined, not collected.
     """
-    grouped = values
-    prior = None
-    for step in range(rounds + 1):
-        if prior is None:
-            lp = lambda c: F.when(c["chain"] == CLEAN, F.lit(math.log(0.98))).otherwise(F.lit(math.log(0.001)))
-            now = grouped
-        else:
-            now = grouped.join(prior, ["source", "field_name"], "left")
-            lp = lambda c: F.coalesce(F.try_element_at("prior", c["chain"]), F.lit(math.log(1e-6)))
-        now = now.withColumn("w", F.transform("options", lambda c: c["loglik"] + lp(c)))
-        now = now.withColumn("e", F.transform("w", lambda w: F.exp(w - F.array_max("w"))))
-        now = now.withColumn("z", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
-        now = now.withColumn("p", F.transform("e", lambda x: x / F.col("z")))
-        if step == rounds:
-            return now
+    now = values.withColumn("p", _posterior(True))
+    for _ in range(rounds):
         mass = (
-            now.select("source", "field_name", "n", F.explode(F.arrays_zip("options.chain", "p")).alias("o"))
+            now.select("source", "field_name", "n", F.explode(F.arrays_zip(F.col("options.chain").alias("chain"), "p")).alias("o"))
             .groupBy("source", "field_name", F.col("o.chain").alias("chain"))
             .agg(F.sum(F.col("n") * F.col("o.p")).alias("mass"))
         )
@@ -300,7 +313,8 @@ def maximize(values: DataFrame, rounds: int) -> DataFrame:
         prior = materialize(
             prior.select("source", "field_name", F.transform_values("prior", lambda _, v: v - F.col("whole")).alias("prior"))
         )
-    return grouped
+        now = values.join(prior, ["source", "field_name"], "left").withColumn("p", _posterior(False))
+    return now
 
 
 def explain(tracks: DataFrame) -> DataFrame:
@@ -308,10 +322,11 @@ def explain(tracks: DataFrame) -> DataFrame:
     values = melt(tracks)
     rows = materialize(values.where(suspicious(F.col("value"))))
     pairs = train(values)
+    tasks = tracks.sparkSession.sparkContext.defaultParallelism
     distinct = rows.groupBy("source", "field_name", "value").agg(F.count("*").alias("n"))
     schema = "source string, field_name string, value string, n long, chain string, repaired string, loglik double"
     options = (
-        distinct.mapInPandas(_candidates(pairs), schema)
+        distinct.repartition(tasks).mapInPandas(_candidates(pairs), schema)
         .groupBy("source", "field_name", "value", "n")
         .agg(F.collect_list(F.struct("chain", "repaired", "loglik")).alias("options"))
     )
