@@ -141,7 +141,8 @@ def canonical(text: str) -> str:
 
 
 def unstable(value: Column) -> Column:
-    return F.coalesce(value.rlike(UNSTABLE), F.lit(False))
+    """Whether the value may be unstable; ASCII texts are told by their size."""
+    return F.coalesce((F.octet_length(value) != F.length(value)) & value.rlike(UNSTABLE), F.lit(False))
 
 
 @F.pandas_udf(T.StringType())
