@@ -111,7 +111,7 @@ _SHAPES = [
     r"(?:\+1[ .\-]?|1[ .\-]|001[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-]?)\d{3}[ .\-]?\d{4}",
     r"(?:(?:\+|00)\d{1,3}|\((?:\+|00)\d{1,3}\))[ .\-/]*(?:\(0\)[ .\-]?)?(?:\(\d{1,4}\)[ .\-]?)?\d(?:[ .\-/]{0,3}\d){5,11}",
     r"\(?0\d{1,4}\)?(?: ?[/\-.] ?| )?\d(?:[ .\-]?\d){5,9}",
-    r"[89]\d{2}[ .\-]?\d{3}[ .\-]?\d{3}",
+    r"[89]\d{2}[ .\-]?\d{2,3}[ .\-]?\d{3,4}",
     r"8[ \-]?\(?\d{3}\)?[ \-]?\d{3}[ \-]?\d{2}[ \-]?\d{2}",
 ]
 _PHONE = re.compile("|".join(f"(?:{s})" for s in _SHAPES))
@@ -203,7 +203,7 @@ def _address(text: str, j: int) -> tuple[int, int] | None:
 
 # --- names ---------------------------------------------------------------------------------
 
-_TITLE = re.compile(r"[:：]?(?:\s*(?:Dr|Ms|Mr|Mrs|Prof|Mme|Mlle|Frau|Herr|Herrn|Sra|Sr|Dra|Dona|M)\b\.?)*\s*(?:la |el |a |o )?(?:\s*(?:Sra|Sr|Dra|Dr|Ms|Mr|Mrs)\b\.?)*\s*")
+_TITLE = re.compile(r"[:：]?(?:\s*(?:Dr|Ms|Mr|Mrs|Prof|Mme|Mlle|Frau|Herr|Herrn|Sra|Sr|Dra|Dona|M(?=\. [A-ZÀ-ÖØ-Þ]\w+ [A-ZÀ-ÖØ-Þ]\w+))\b\.?)*\s*(?:la |el |a |o )?(?:\s*(?:Sra|Sr|Dra|Dr|Ms|Mr|Mrs)\b\.?)*\s*")
 _N = r"[A-ZÀ-ÖØ-ÞŁŚŽČŠА-ЯЁ][\wà-öø-ÿ’'а-яё]*"
 _FULL = rf"{_N}(?:-{_N})?(?: [A-ZА-Я]\.(?: [A-ZА-Я]\.)?)?(?: (?:de|van|von|da|del|di|le|la|van der|van den))? {_N}(?:-{_N})?"
 _LAST_FIRST = rf"{_N}(?:-{_N})?, {_N}(?:-{_N})?(?: [A-ZА-Я]\.)?"

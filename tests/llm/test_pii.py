@@ -14,6 +14,7 @@ TEXTS = {
     "Dirección: Plaza Molino Viejo 199, 2º B, 00429 Puerto Almera / Адрес: ул. Мельничная, д. 107, кв. 22 |": [("address", "Plaza Molino Viejo 199, 2º B, 00429 Puerto Almera"), ("address", "ул. Мельничная, д. 107, кв. 22")],
     "Ask for Pascal Gilwick at the stage door. Booked through Ms. JOOST CORNSDORF last week. Signed, L. Yarier.": [("person_name", "Pascal Gilwick"), ("person_name", "JOOST CORNSDORF"), ("person_name", "L. Yarier")],
     "Dr. Noemi Stavgrove checked my ears. — Osovic, Stellan, tour manager. Frau S. Thornmund hat die Bänder gebracht.": [("person_name", "Noemi Stavgrove"), ("person_name", "Osovic, Stellan"), ("person_name", "S. Thornmund")],
+    "Tel. 900 00 0181 | Demander M. Tellberry à l’entrée. cc: M. Jean Roe": [("phone", "900 00 0181"), ("person_name", "M. Tellberry"), ("person_name", "Jean Roe")],
     "Nothing here — Side A runs 14:46": [],
 }
 
