@@ -65,13 +65,12 @@ def prefix_sums(counts: DataFrame) -> DataFrame:
 def budgets(counts: DataFrame, targets: DataFrame) -> DataFrame:
     """Per (mix_name, source): the budget in tokens, whole epochs and the rest; as small as ``targets``."""
     sizes = counts.groupBy("source").agg(F.sum("n_tokens").alias("available"))
-    whole = counts.agg(F.sum("n_tokens").alias("all_tokens"))
+    whole = counts.agg(F.sum("n_tokens")).first()[0] or 0
     repeats = F.coalesce("max_repeats", F.lit(1)).cast("long")
     out = (
-        targets.join(F.broadcast(whole), how="inner")  # one row
-        .join(F.broadcast(sizes), "source", "left")
+        targets.join(F.broadcast(sizes), "source", "left")  # as many rows as there are sources
         .withColumn("available", F.coalesce("available", F.lit(0)).cast("long"))
-        .withColumn("budget", F.floor(F.coalesce("all_tokens", F.lit(0)) * F.col("size_ratio") * F.col("target_share")).cast("long"))
+        .withColumn("budget", F.floor(F.lit(whole) * F.col("size_ratio") * F.col("target_share")).cast("long"))
         .withColumn("usable", F.least("budget", F.col("available") * repeats))
     )
     return out.withColumn(

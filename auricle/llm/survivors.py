@@ -96,27 +96,24 @@ def claims(held: DataFrame) -> DataFrame:
     )
 
 
-def _votes(said: DataFrame, accuracy: DataFrame, dependence: DataFrame) -> DataFrame:
-    """(group_key, cluster, field, value, sources, p): posterior of every value."""
-    # both tables have as many rows as there are path roots, or pairs of them
-    judged = said.join(F.broadcast(accuracy), "source")
+def _votes(said: DataFrame, sources: DataFrame) -> DataFrame:
+    """(group_key, cluster, field, value, sources, p): posterior of every value.
+
+    ``sources`` is (source, a, dep): accuracy, and the chance of depending on each other source.
+    """
+    # as many rows as there are path roots
+    judged = said.join(F.broadcast(sources), "source")
     together = judged.groupBy("group_key", "cluster", "field", "value").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("a")).alias("minus_a"), "source"))).alias("who")
+        F.collect_list(F.struct(F.greatest(F.least("a", F.lit(0.99)), F.lit(0.01)).alias("a"), "source", "dep")).alias("who")
     )
-    with_map = together.join(F.broadcast(dependence), how="inner")  # one row
 
     def weight(acc: Column, s: Column) -> Column:
-        a = F.greatest(F.least(-s["minus_a"], F.lit(0.99)), F.lit(0.01))
-        before = F.filter("who", lambda o: (o["minus_a"] < s["minus_a"]) | ((o["minus_a"] == s["minus_a"]) & (o["source"] < s["source"])))
-        free = F.aggregate(
-            before,
-            F.lit(1.0),
-            lambda x, o: x
-            * (1 - COPIED * F.coalesce(F.try_element_at("dep", F.concat_ws("~", F.least(o["source"], s["source"]), F.greatest(o["source"], s["source"]))), F.lit(0.0))),
-        )
-        return acc + free * F.log(F.lit(float(FALSE_VALUES)) * a / (1 - a))
+        # the more accurate of two sources votes first; the vote of the other counts by its independence
+        before = F.filter("who", lambda o: (o["a"] > s["a"]) | ((o["a"] == s["a"]) & (o["source"] < s["source"])))
+        free = F.aggregate(before, F.lit(1.0), lambda x, o: x * (1 - COPIED * F.coalesce(F.try_element_at(s["dep"], o["source"]), F.lit(0.0))))
+        return acc + free * F.log(F.lit(float(FALSE_VALUES)) * s["a"] / (1 - s["a"]))
 
-    scored = with_map.withColumn("score", F.aggregate("who", F.lit(0.0), weight)).select(
+    scored = together.withColumn("score", F.aggregate("who", F.lit(0.0), weight)).select(
         "group_key", "cluster", "field", "value", F.transform("who", lambda w: w["source"]).alias("sources"), "score"
     )
     of = Window.partitionBy("group_key", "cluster", "field")  # distinct values of one field of one group
@@ -126,21 +123,18 @@ def _votes(said: DataFrame, accuracy: DataFrame, dependence: DataFrame) -> DataF
 
 def fuse(held: DataFrame) -> DataFrame:
     """(group_key, cluster, field, value, p): the value of highest posterior of every field."""
-    spark = held.sparkSession
     said = materialize(claims(held))
-    accuracy = said.select("source").distinct().withColumn("a", F.lit(0.8))
-    dependence = spark.range(1).select(F.expr("cast(map() as map<string,double>)").alias("dep"))
+    none = F.expr("cast(map() as map<string,double>)")
+    sources = said.select("source").distinct().select("source", F.lit(0.8).alias("a"), none.alias("dep"))
     best = None
     for step in range(ROUNDS):
-        votes = materialize(_votes(said, accuracy, dependence))
+        votes = materialize(_votes(said, sources))
         best = votes.groupBy("group_key", "cluster", "field").agg(
             F.max(F.struct("p", "value")).alias("top"), F.count("*").alias("values")
         ).select("group_key", "cluster", "field", F.col("top.value").alias("value"), F.col("top.p").alias("p"), "values")
         if step == ROUNDS - 1:
             break
-        accuracy = materialize(
-            votes.select(F.explode("sources").alias("source"), "p").groupBy("source").agg(((F.sum("p") + 4) / (F.count("*") + 5)).alias("a"))
-        )
+        accuracy = votes.select(F.explode("sources").alias("source"), "p").groupBy("source").agg(((F.sum("p") + 4) / (F.count("*") + 5)).alias("a"))
         truth = best.where("values > 1").select("group_key", "cluster", "field", F.col("value").alias("truth"))
         judged = votes.join(truth, ["group_key", "cluster", "field"]).withColumn("right", F.col("value") == F.col("truth"))
         # pairs of distinct sources behind one value; there are as many sources as path roots
@@ -155,11 +149,9 @@ def fuse(held: DataFrame) -> DataFrame:
             - F.col("true_shared") * 0.25
         )
         chance = 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(50.0)), F.lit(-50.0))))
-        dependence = materialize(
-            shared.select(F.concat_ws("~", "x", "y").alias("k"), chance.alias("v"))
-            .agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("dep"))
-            .select(F.coalesce("dep", F.expr("cast(map() as map<string,double>)")).alias("dep"))
-        )
+        pairs = shared.select("x", "y", chance.alias("v"))
+        both = pairs.union(pairs.select("y", "x", "v")).groupBy(F.col("x").alias("source")).agg(F.map_from_entries(F.collect_list(F.struct("y", "v"))).alias("dep"))
+        sources = materialize(accuracy.join(both, "source", "left").select("source", "a", F.coalesce("dep", none).alias("dep")))
     return best
 
 

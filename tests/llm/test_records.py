@@ -155,7 +155,7 @@ def test_copied_votes_count_less(spark):
     said = [(f"g{i}", 0, "album", "wrong" if s in "AB" else "right", s, 1) for i in range(20) for s in "ABCD"]
     said += [(f"h{i}", 0, "album", "right" if s in "CDE" else "odd", s, 1) for i in range(20) for s in "ABCDE"]
     votes = spark.createDataFrame(said, "group_key string, cluster int, field string, value string, source string, n long")
-    acc = spark.createDataFrame([(s, 0.8) for s in "ABCDE"], "source string, a double")
-    dep = spark.range(1).selectExpr("map('A~B', 0.99D) as dep")
-    best = {r["group_key"]: (r["value"], r["p"]) for r in survivors._votes(votes, acc, dep).collect() if r["p"] > 0.5}
+    dep = {"A": {"B": 0.99}, "B": {"A": 0.99}}
+    sources = spark.createDataFrame([(s, 0.8, dep.get(s, {})) for s in "ABCDE"], "source string, a double, dep map<string,double>")
+    best = {r["group_key"]: (r["value"], r["p"]) for r in survivors._votes(votes, sources).collect() if r["p"] > 0.5}
     assert best["g0"][0] == "right" and best["g0"][1] > 0.8
