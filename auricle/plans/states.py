@@ -72,10 +72,9 @@ def q21_claim_pending_anti(spark: SparkSession, d: str) -> DataFrame:
 def q22_lease_expiry(spark: SparkSession, d: str) -> DataFrame:
     """Last event of each user; those older than an hour before the newest event have expired."""
     events = load(spark, d, "events").select("user_id", "ts", "event_id")
-    newest = events.agg(F.max("ts").alias("now"))
+    newest = events.agg(F.max("ts")).first()[0]
     last = events.groupBy("user_id").agg(F.max("ts").alias("ts"))
-    # one row
-    return last.join(F.broadcast(newest), how="inner").where(F.col("ts") < F.col("now") - F.expr("interval 3600 seconds")).select("user_id", "ts")
+    return last.where(F.col("ts") < F.lit(newest) - F.expr("interval 3600 seconds"))
 
 
 def q23_track_search_page(spark: SparkSession, d: str) -> DataFrame:
