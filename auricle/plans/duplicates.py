@@ -107,6 +107,7 @@ _TECH = rf"""tech AS (SELECT lib.*, CASE WHEN regexp_matches(length_seconds, '{_
   CASE WHEN regexp_matches(file_size, '{_SIZE}') THEN CAST(floor(CAST(regexp_extract(file_size, '^([0-9.]+)', 1) AS DECIMAL(30,2)) *
     CASE regexp_extract(file_size, '(KB|MB|GB)$', 1) WHEN 'KB' THEN 1024 WHEN 'MB' THEN 1048576 WHEN 'GB' THEN 1073741824 ELSE 1 END) AS BIGINT) END AS size
   FROM lib JOIN (SELECT metadata_id, length_seconds, file_size FROM tracks) USING (metadata_id))"""
+_CANON = r"lower(regexp_replace(regexp_replace(trim(replace({0}, '\', '/')), '/+', '/', 'g'), '^/+|/+$', '', 'g'))"
 _RANK = "CASE WHEN integrity_ok = 1 THEN 1 ELSE 0 END DESC, coalesce(bitrate, 0) DESC, coalesce(size, 0) DESC, metadata_id"
 
 ORACLE = {
@@ -127,6 +128,13 @@ QUALIFY row_number() OVER (PARTITION BY genre_primary ORDER BY genre_confidence
 SELECT s.song_id AS id, t.metadata_id, CASE WHEN lower(t.artist) = lower(s.artist) THEN 0 ELSE 1 END AS tier
 FROM indexedsong s JOIN tracks t ON lower(s.title) = lower(t.title) AND t.title <> '')
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, metadata_id) = 1""",
+    "q53_path_resolve": rf"""WITH f AS (SELECT metadata_id, full_path, lower(regexp_replace(replace(full_path, '\', '/'), '/+$', '')) AS p FROM tracks),
+r AS (SELECT *, CASE WHEN starts_with(p, '/srv/media/music/') THEN substr(p, 18) WHEN regexp_matches(p, '^[a-z]:/') THEN NULL ELSE regexp_replace(p, '^/+', '') END AS a,
+  CASE WHEN starts_with(p, 'd:/tonlager/') THEN substr(p, 13) WHEN regexp_matches(p, '^[a-z]:/') THEN NULL ELSE regexp_replace(p, '^/+', '') END AS b FROM f),
+k AS (SELECT metadata_id, unnest([{_CANON.format("'music/' || a")}, {_CANON.format('a')}, {_CANON.format('p')}, {_CANON.format("'tonlager/' || b")}, {_CANON.format('b')}, {_CANON.format('p')}]) AS k,
+  unnest([1, 2, 3, 4, 5, 6]) AS tried FROM r)
+SELECT metadata_id, song_id FROM k JOIN (SELECT {_CANON.format('path')} AS path_key, song_id FROM indexedsong) ON k = path_key
+QUALIFY row_number() OVER (PARTITION BY metadata_id ORDER BY tried, song_id) = 1""",
     "q55_axe_list": f"""WITH {LIB}, {_TECH},
 a AS (SELECT metadata_id, 'safe_auto' AS tier, 'exact_duplicate_artist_title' AS reason, 0 AS level FROM tech WHERE {_FOLD.format('artist')} <> '' AND {_FOLD.format('title')} <> ''
   QUALIFY row_number() OVER (PARTITION BY {_FOLD.format('artist')}, {_FOLD.format('title')} ORDER BY {_RANK}) > 1),

@@ -130,7 +130,13 @@ QUERIES = {
 _PREFIX = txt.NUMBER_PREFIX
 _STEM = rf"regexp_replace(regexp_replace(regexp_extract(filename, '([^\\/]*)$', 1), '(.)\.[^.]*$', '\1'), '{_PREFIX}', '')"
 
+_V = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
+
 ORACLE = {
+    "q58_array_stats": f"WITH {_V} SELECT id, round(list_avg(v), 6) AS mean, round(list_stddev_pop(v), 5) AS deviation, round(list_max(v), 6) AS top FROM v",
+    "q59_rolloff": f"""WITH {_V}, u AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
+c AS (SELECT id, i, sum(x * x) OVER (PARTITION BY id ORDER BY i) AS s, sum(x * x) OVER (PARTITION BY id) AS t FROM u) SELECT id, CAST(min(i) - 1 AS BIGINT) AS at FROM c WHERE s >= 0.85::DOUBLE * t GROUP BY 1""",
+    "q60_zero_crossings": f"WITH {_V} SELECT id, len(list_filter(range(1, len(v)), lambda i: (v[i] >= 0) <> (v[i + 1] >= 0))) AS crossings FROM v",
     "q39_mood_tags": f"""WITH {_FRAMES}, m AS (SELECT metadata_id, list_filter([CASE WHEN energy > 0.3 AND bpm > 120 THEN 'energetic' END, CASE WHEN energy < 0.15 THEN 'calm' END,
   CASE WHEN energy < 0.15 THEN 'relaxed' END, CASE WHEN dynamic_range > 10 THEN 'dynamic' END, CASE WHEN dynamic_range < 4 THEN 'monotoned' END, CASE WHEN centroid > 5000 THEN 'bright' END,
   CASE WHEN centroid < 2000 THEN 'dark' END, CASE WHEN bpm < 80 THEN 'melancholic' END, CASE WHEN bpm > 140 THEN 'uplifting' END, CASE WHEN bpm BETWEEN 125 AND 135 THEN 'danceable' END],
