@@ -12,6 +12,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +52,19 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote; call it once the results that read them are stored."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per session, as they may not have it installed."""
     if spark.conf.get("auricle.shipped", None) == spark.sparkContext.applicationId:
