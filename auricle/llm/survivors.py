@@ -10,8 +10,9 @@ Every step over a group is an aggregate with partial sums (the survivor is a
 maximum of structs, lengths are clustered over distinct values), so one group
 may hold any share of the rows.
 
-Defined results: rows without an act or a title belong to no group; a track of
-unknown length joins its group if the lengths of that title form one cluster;
+Defined results: rows without an act or a title belong to no group; where the
+written length is unknown, the measured duration stands for it; a track of
+unknown length and duration joins its group if the lengths of that title form one cluster;
 unknown integrity, bitrate and size count as 0; remaining ties go to the
 smallest id; null and empty field values are no votes.
 """
@@ -57,8 +58,8 @@ def members(tracks: DataFrame, technical: DataFrame) -> DataFrame:
     ).where("instr(group_key, '|') > 1")
     several = keyed.groupBy("group_key").agg(F.count("*").alias("copies")).where("copies > 1").select("group_key")
     held = materialize(keyed.join(several, "group_key", "left_semi"))
-    tech = technical.select("metadata_id", "integrity_ok", "bitrate")
-    held = held.join(tech, "metadata_id", "left")
+    tech = technical.select("metadata_id", "integrity_ok", "bitrate", F.round(F.col("duration_ms") / 1000).cast("long").alias("measured"))
+    held = held.join(tech, "metadata_id", "left").withColumn("seconds", F.coalesce("seconds", "measured")).drop("measured")
     # clusters over the distinct lengths of a title
     known = held.where("seconds is not null").select("group_key", "seconds").distinct()
     by = Window.partitionBy("group_key").orderBy("seconds")
