@@ -17,7 +17,7 @@ def lines(spark, rows, head=HEAD, name="f"):
 
 
 def row(title="T", length="3:34", size="8.17 MB"):
-    return f"{title};A;B;1;1999;{length};{size};1/1/2020;D:\\x\;f.mp3;"
+    return f"{title};A;B;1;1999;{length};{size};1/1/2020;D:\\x\\;f.mp3;"
 
 
 def found(df):
