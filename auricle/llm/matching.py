@@ -1,12 +1,11 @@
 """Match records of two sources that share no key, with a confidence.
 
 Titles, acts and paths of both sources are brought to plain keys inside the
-JVM. Sorted neighbourhood: all rows are range-sorted by each of several
-composite keys, and a window slides over the sorted rows; rows of different
-sources in one window are compared by weighted similarities of their fields.
-The ends of each sorted partition are compared with the next one's beginning,
-so no pair of neighbours is lost at a border. A song goes to the track of
-highest confidence; as songs are the only side that may be used once, this
+JVM. Rows of different sources meet by an equi-join over hashes of a title,
+a version and a part of the act's name, titles and parts within one edit; this
+covers every pair that the weighted similarities of the fields accept, however
+far apart sorting would put the two. A song goes to the track of highest
+confidence; as songs are the only side that may be used once, this
 assignment has the highest total confidence.
 
 Defined results: null and empty titles match by the path alone; rows without
@@ -278,30 +277,83 @@ def _at_border(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(_window(rows[_COLUMNS].reset_index(drop=True), fresh), columns=_PAIR)
 
 
+# --- complete candidates --------------------------------------------------------------
+
+
+def _filled(*columns: str) -> Column:
+    return F.array_distinct(F.filter(F.array(*columns), lambda x: x != ""))
+
+
+def _cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Parts of an act's name, of which two acts that agree always have one within one edit."""
+    for batch in batches:
+        rows = []
+        for side, act in zip(batch["side"], batch["act"]):
+            tokens, _, _, joined = parse(act)
+            longer = {t for t in tokens if len(t) > 3}
+            rows += [(side, act, core) for core in {act.replace(" ", ""), joined, *(longer or {"".join(sorted(tokens))})} if core]
+        yield pd.DataFrame(rows, columns=["side", "act", "core"]).astype({"side": "int32"})
+
+
+def _within_one_edit(texts: DataFrame, text: str) -> DataFrame:
+    """(song_hash, track_hash) of texts of the two sides at most one edit apart.
+
+    Such texts are equal after at most one letter is left out of each, so this is an equi-join without hot keys.
+    """
+    c = F.col(text)
+    less = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.xxhash64(F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1))))
+    left_out = F.array_distinct(F.concat(F.array(F.xxhash64(c)), less))
+    side = lambda n, name: texts.where(F.col("side") == n).select(text).distinct().select(F.xxhash64(c).alias(name), F.explode(left_out).alias("rest"))
+    return side(0, "track_hash").join(side(1, "song_hash"), "rest").select("song_hash", "track_hash").distinct()
+
+
+def _block_keys(rows: DataFrame, titles: DataFrame | None, cores: DataFrame) -> DataFrame:
+    """(id, key): each way to combine a title, a version and a core of the act of a row, as its hash."""
+    own = F.array_distinct(F.filter(F.array("version", "path_version"), lambda v: (v != "") | (F.col("version") == "")))
+    versions = F.when(F.col("title") == "", F.array("path_version")).when(F.col("path_version") == "", F.array("version")).otherwise(own)
+    hashed = lambda texts: F.transform(texts, lambda x: F.xxhash64(x))
+    acts = hashed(_filled("act", "path_act")).alias("acts")
+    out = rows.select("id", hashed(versions).alias("versions"), acts, F.explode(hashed(_filled("title", "path_title"))).alias("title_hash"))
+    if titles is not None:
+        out = out.join(titles.withColumnRenamed("song_hash", "title_hash"), "title_hash").withColumn("title_hash", F.col("track_hash"))
+    out = out.select("id", "acts", "title_hash", F.explode("versions").alias("version"))
+    out = out.select("id", F.explode("acts").alias("act_hash"), F.xxhash64("title_hash", "version").alias("part"))
+    return out.join(cores, "act_hash").select("id", F.xxhash64("part", "core_hash").alias("key"))
+
+
+_FIELDS = ["title", "act", "version", "path_title", "path_act", "path_version"]
+
+
+def _confident(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sides = [list(zip(*[batch[f"{s}_{f}"] for f in _FIELDS])) for s in ("track", "song")]
+        got = [round(compare(x, y), 6) for x, y in zip(*sides)]
+        out = batch[["metadata_id", "song_id"]].assign(confidence=got)
+        yield out[out["confidence"] >= LEAST]
+
+
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(metadata_id, song_id, confidence) of all neighbours that agree."""
+    """(metadata_id, song_id, confidence) of all pairs that ``compare`` accepts.
+
+    It accepts only rows with a title of each within one edit, a common version, and acts with cores within one edit;
+    these three make the keys of an equi-join, so no pair depends on the number of rows between its two.
+    """
     rows = materialize(left.unionByName(right))
-    spark = rows.sparkSession
-    total = rows.count()
-    tasks = max(1, min(spark.sparkContext.defaultParallelism * 2, total // 2048), total // ROWS_PER_TASK)
-    # the sort keys are expressions over the row, so they are not carried through the shuffle
-    either = lambda a, b: F.when(F.col(a) == "", F.col(b)).otherwise(F.col(a))
-    title, act = either("title", "path_title"), either("act", "path_act")
-    in_path, act_in_path = either("path_title", "title"), either("path_act", "act")
-    pairs = [(title, act), (in_path, act_in_path), (F.reverse(title), act), (act, title)]
-    k1, k2 = F.lit(None), F.lit(None)
-    for way, (first, second) in reversed(list(enumerate(pairs, 1))):
-        k1, k2 = F.when(F.col("way") == way, first).otherwise(k1), F.when(F.col("way") == way, second).otherwise(k2)
-    ways = F.array(*[F.lit(w).cast("tinyint") for w in range(1, len(pairs) + 1)])
-    laid = rows.withColumn("way", F.explode(ways)).where(k1 != "")
-    order = [F.col("way"), k1, k2, F.col("side"), F.col("id")]
-    ranged = laid.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    slid = materialize(ranged.select("part", *_COLUMNS).mapInPandas(_slide, _SCHEMA))
-    # two groups of WINDOW rows for each pair of neighbouring partitions
-    borders = slid.where("border >= 0").groupBy("border").applyInPandas(_at_border, "metadata_id string, song_id string, confidence double")
-    return slid.where("border = -1 and song_id is not null").select(*_PAIR).unionByName(borders).groupBy("metadata_id", "song_id").agg(
-        F.max("confidence").alias("confidence")
-    )
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    acts = rows.select("side", F.explode(_filled("act", "path_act")).alias("act")).distinct()
+    cores = materialize(acts.repartition(tasks).mapInPandas(_cores, "side int, act string, core string"))
+    hashed = cores.select("side", F.xxhash64("act").alias("act_hash"), F.xxhash64("core").alias("core_hash"))
+    titles = _within_one_edit(rows.select("side", F.explode(_filled("title", "path_title")).alias("title")), "title")
+    close = _within_one_edit(cores, "core")
+    of_songs = hashed.where("side = 1").join(close, F.col("core_hash") == F.col("song_hash")).select("act_hash", F.col("track_hash").alias("core_hash"))
+    track_keys = _block_keys(rows.where("side = 0"), None, hashed.where("side = 0").select("act_hash", "core_hash"))
+    song_keys = _block_keys(rows.where("side = 1"), titles, of_songs.distinct())
+    ids = track_keys.withColumnRenamed("id", "metadata_id").join(song_keys.withColumnRenamed("id", "song_id"), "key").select("metadata_id", "song_id").distinct()
+    track = rows.where("side = 0").select(F.col("id").alias("metadata_id"), *[F.col(f).alias(f"track_{f}") for f in _FIELDS])
+    song = rows.where("side = 1").select(F.col("id").alias("song_id"), *[F.col(f).alias(f"song_{f}") for f in _FIELDS])
+    met = ids.join(track, "metadata_id").join(song, "song_id")
+    found = met.mapInPandas(_confident, "metadata_id string, song_id string, confidence double")
+    return found.groupBy("metadata_id", "song_id").agg(F.max("confidence").alias("confidence"))
 
 
 def assign(pairs: DataFrame) -> DataFrame:

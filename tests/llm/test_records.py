@@ -133,6 +133,22 @@ def test_window_borders(spark, monkeypatch):
         assert got == {(a, b) for a, b, _ in one}
 
 
+def test_large_title_block(spark):
+    """In a block of one title, acts written in another order, with a typo or an initial meet at any distance."""
+    names_ = [f"{given} {last}" for given in ("Nathaniel", "Elisabeth", "Xaver", "Ottilie") for last in ("Dipruhurell", "Jebuhuton", "Wazovimere", "Kolubraden", "Sutrapheld")]
+    forms = [lambda g, x: f"{x} {g}", lambda g, x: f"{g} {x[:3]}{x[4]}{x[3]}{x[5:]}", lambda g, x: f"{g[0]} {x}", lambda g, x: f"{g} {x}"]
+    tracks = [(f"t{i:02}", "La canción tímida (Live)", n, "") for i, n in enumerate(names_)]
+    songs = [(f"s{i:02}{k}", title, form(*n.split()), "ingest/c/track_7") for i, n in enumerate(names_) for k, form in enumerate(forms) for title in [("La canción tímida (Live)", "a canción tímida (Live)")[k % 2]]]
+    a = spark.createDataFrame(tracks, "metadata_id string, title string, artist string, full_path string")
+    b = spark.createDataFrame(songs, "song_id string, title string, artist string, path string")
+    left, right = matching.keys(a, 0, "metadata_id", "title", "artist", "full_path"), matching.keys(b, 1, "song_id", "title", "artist", "path")
+    got = {(r["metadata_id"], r["song_id"]): r["confidence"] for r in matching.candidates(left, right).collect()}
+    record = lambda df: [(r["id"], tuple(r[c] for c in matching._COLUMNS[2:])) for r in df.collect()]
+    scores = {(i, j): round(matching.compare(x, y), 6) for i, x in record(left) for j, y in record(right)}
+    assert got == {k: v for k, v in scores.items() if v >= matching.LEAST}
+    assert {s[0] for s in songs} == {s for _, s in got}
+
+
 def test_survivors(spark):
     cols = "metadata_id string, title string, artist string, album string, year string, length_seconds string, file_size string, full_path string, genre string, track_number string, album_artist string, label string, disc_number string, original_year string"
     row = lambda i, t, a, alb, ln, size, root: (i, t, a, alb, "1999", ln, size, f"{root}\\x\\{i}.mp3", None, "1", None, "", "1", None)
