@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auricle.functions.similarity import bound, percent_ratio
+from auricle.functions.similarity import bound, percent_ratio, ratio
+from auricle.io import materialize
+
+#: Distinct keys of one side that a task compares at once.
+BLOCK = 4000
 
 
 def by_first_key(rows: DataFrame, key: str, candidates: Column, index: DataFrame, index_key: str, value: str) -> DataFrame:
@@ -15,20 +21,83 @@ def by_first_key(rows: DataFrame, key: str, candidates: Column, index: DataFrame
     return hit.groupBy(key).agg(F.min_by(value, F.struct("at", value)).alias(value))
 
 
+def _counts(texts: list[str]) -> np.ndarray:
+    """Characters by class, in whole numbers."""
+    out = np.zeros((len(texts), 64), np.int32)
+    for i, t in enumerate(texts):
+        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32) % 64, minlength=64)
+    out = out[:, out.any(0)] if len(texts) else out
+    return out.astype(np.uint8) if out.size and out.max() < 256 else out
+
+
+def _best_of_block(least: float):
+    """Best song of each track of a block: upper bounds of both ratios by lengths and characters first, then the ratios."""
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        songs = pdf[pdf["song_id"].notna()]
+        ids, titles, artists = songs["song_id"].tolist(), songs["title_key"].tolist(), songs["artists"].tolist()
+        tracks = pdf[pdf["song_id"].isna()]
+        wanted = list(zip(tracks["title_key"], tracks["artists"]))
+        variants = sorted({v for _, a in wanted for v in a.split("|")})
+        place = {v: len(artists) + i for i, v in enumerate(variants)}
+        title_counts, artist_counts = _counts(titles + [t for t, _ in wanted]), _counts(artists + variants)
+        title_size, artist_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (titles + [t for t, _ in wanted], artists + variants))
+        n, out = len(titles), []
+        for i, (title, keys) in enumerate(wanted, n):
+            at = np.arange(n)
+            at = at[200 * np.minimum(title_size[at], title_size[i]) >= least * (title_size[at] + title_size[i])]
+            for size, counts, mine in ((title_size, title_counts, [i]), (artist_size, artist_counts, [place[v] for v in keys.split("|")])):
+                ok = np.zeros(len(at), bool)
+                for m in mine:
+                    ok |= 200 * np.minimum(counts[at], counts[m]).sum(1, dtype=np.int64) >= least * (size[at] + size[m])
+                at = at[ok]
+            found = None
+            for j in at.tolist():
+                artist = max(ratio(v, artists[j]) * 100.0 for v in keys.split("|"))
+                same = ratio(title, titles[j]) * 100.0 if artist >= least else 0.0
+                if same >= least:
+                    found = max(found or (0.0, ""), (same * 0.6 + artist * 0.4, ids[j]))
+            if found:
+                out.append((title, keys, *found))
+        return pd.DataFrame(out, columns=["title_key", "artists", "score", "song_id"]).astype({"score": "float64"})
+
+    return best
+
+
+def _over_all(rows: DataFrame, songs: DataFrame, least: float) -> DataFrame:
+    """(id, song_id, score) of rows compared with all songs, distinct keys only, in pairs of hash-cut blocks."""
+    mine = rows.select("title_key", "artists").distinct().withColumn("song_id", F.lit(None).cast("string"))
+    theirs = songs.where("song_artist != ''").groupBy("title_key", F.col("song_artist").alias("artists")).agg(F.max("song_id").alias("song_id"))
+    theirs, mine = materialize(theirs), materialize(mine)
+    height, width = (max(1, -(-x.count() // BLOCK)) for x in (mine, theirs))
+    own = lambda n: F.pmod(F.xxhash64("title_key", "artists"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    fields = ["title_key", "artists", "song_id"]
+    met = mine.select(*fields, own(height).alias("row"), every(width).alias("col")).unionByName(theirs.select(*fields, every(height).alias("row"), own(width).alias("col")))
+    found = met.groupBy("row", "col").applyInPandas(_best_of_block(least), "title_key string, artists string, score double, song_id string")
+    best = found.groupBy("title_key", "artists").agg(F.max(F.struct("score", "song_id")).alias("b"))
+    return rows.join(best, ["title_key", "artists"]).select("id", F.col("b.song_id").alias("song_id"), F.col("b.score").alias("score"))
+
+
 def best_fuzzy(rows: DataFrame, songs: DataFrame, least: float = 70.0) -> DataFrame:
-    """(id, song_id, score): 0.6 title + 0.4 artist inside blocks of one title key, both at least ``least``.
+    """(id, song_id, score): 0.6 title + 0.4 artist, both at least ``least``, among the songs of the title key, or all songs if none has it.
 
-    ``rows`` has id, title_key, artist_key; ``songs`` song_id, title_key, artist_key. Blocks come from an equi-join.
+    ``rows`` has id, title_key and artist_key, or artist_keys of which the best counts; ``songs`` song_id, title_key, artist_key.
     """
-    s = songs.select("song_id", "title_key", F.col("artist_key").alias("song_artist")).where("title_key != ''")
-    met = rows.where("title_key != '' and artist_key != ''").join(s, "title_key").where(bound(F.col("artist_key"), F.col("song_artist")) * 100 >= least)
-    scored = met.withColumn("artist_score", percent_ratio(F.col("artist_key"), F.col("song_artist"))).where(F.col("artist_score") >= least)
-    return (
+    s = songs.select(F.col("song_id").cast("string").alias("song_id"), "title_key", F.col("artist_key").alias("song_artist")).where("title_key != ''")
+    keys = F.col("artist_keys") if "artist_keys" in rows.columns else F.array("artist_key")
+    keys = F.filter(keys, lambda k: k.isNotNull() & (k != ""))
+    wanted = materialize(rows.where("title_key != ''").select("id", "title_key", F.array_join(keys, "|").alias("artists")).where("artists != ''"))
+    met = wanted.join(s, "title_key").withColumn("_k", F.explode(F.split("artists", r"\|"))).where(bound(F.col("_k"), F.col("song_artist")) * 100 >= least)
+    scored = met.withColumn("artist_score", percent_ratio(F.col("_k"), F.col("song_artist"))).where(F.col("artist_score") >= least)
+    in_block = (
         scored.withColumn("score", F.lit(60.0) + F.col("artist_score") * 0.4)
         .groupBy("id")
         .agg(F.max(F.struct("score", F.col("song_id"))).alias("b"))
         .select("id", F.col("b.song_id").alias("song_id"), F.col("b.score").alias("score"))
     )
+    alone = wanted.join(s.select("title_key").distinct(), "title_key", "left_anti")
+    return in_block.unionByName(_over_all(alone, s, least))
 
 
 def tiered(rows: DataFrame, tracks: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def q53_path_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 def q54_fuzzy_resolve(spark: SparkSession, d: str) -> DataFrame:
     tracks = load(spark, d, "tracks").select(
-        F.col("metadata_id").alias("id"), txt.title_key(F.col("title")).alias("title_key"), txt.ascii_key_udf(txt.lead_artist(F.col("artist"))).alias("artist_key")
+        F.col("metadata_id").alias("id"), txt.title_key(F.col("title")).alias("title_key"), txt.artist_keys(F.col("artist")).alias("artist_keys")
     )
     return resolve.best_fuzzy(tracks, load(spark, d, "indexedsong").select("song_id", "title_key", "artist_key"))
 

@@ -87,6 +87,24 @@ def test_resolve(spark):
     assert [(r["id"], r["song_id"]) for r in resolve.best_fuzzy(want, songs).collect()] == [("t1", "s1")]
 
 
+def test_resolve_without_block(spark, monkeypatch):
+    """A title that no song has is compared with all songs; the best artist variant counts."""
+    songs = [("s1", "river song", "the band"), ("s2", "river", "other act"), ("s3", "a" * 400, "band"), ("s4", "river songs", "bund")]
+    rows = [("t1", "rivers song", ["band", "the band"]), ("t2", "river", ["the band"]), ("t3", "a" * 399 + "b", ["band"]), ("t4", "river sonf", ["band"]), ("t5", "river song", ["band", "the band"])]
+    index, want = frame(spark, songs, "song_id string, title_key string, artist_key string"), frame(spark, rows, "id string, title_key string, artist_keys array<string>")
+    ratio, best = resolve.ratio, {}
+    for i, title, keys in rows:
+        for sid, t, a in [s for s in songs if s[1] == title] or songs:
+            x, y = ratio(title, t) * 100, max(ratio(k, a) for k in keys) * 100
+            if x >= 70 and y >= 70:
+                best[i] = max(best.get(i, (0, "")), (x * 0.6 + y * 0.4, sid))
+    assert set(best) == {"t1", "t3", "t4", "t5"}
+    for block in (4000, 2):
+        monkeypatch.setattr(resolve, "BLOCK", block)
+        got = {r["id"]: (round(r["score"], 6), r["song_id"]) for r in resolve.best_fuzzy(want, index).collect()}
+        assert got == {i: (round(x, 6), sid) for i, (x, sid) in best.items()}
+
+
 def test_sources(spark, tmp_path):
     probe = '{"streams":[{"codec_type":"video"},{"codec_type":"audio","codec_name":"mp3","bit_rate":"x","sample_rate":"44100","channels":2}],"format":{"bit_rate":"320000","duration":"1.5","tags":{"TITLE":"t"}}}'
     hits = '{"results":[{"id":"r","score":0.9,"recordings":[{"id":"m","title":"T","artists":[{"name":"A"}],"releases":[]},{"id":"n"}]},{"score":0.1}]}'
