@@ -1,9 +1,11 @@
 """Find personal information in free text and replace it with typed placeholders.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, telephone and
-identifier cues, address cues and name cues. At each anchor a deterministic
-local parser expands to the boundaries of the item and validates its form.
-Overlaps are resolved by start, then by length.
+One Aho-Corasick pass over a text finds anchors of a few classes: at-signs and
+schemes, telephone and identifier words, labels and verbs of addresses, types
+of streets, titles, sign-offs, labels, relations and roles of people. At each
+anchor a deterministic local parser expands to the boundaries of the item, at
+most to the end of the sentence, and validates its form (international account
+numbers also by their check digits). Overlaps are resolved by kind, then by start and length.
 
 Defined results: null stays null and gives no finding; empty and blank texts
 stay as they are; an item that occurs twice is replaced at both places and
@@ -14,6 +16,7 @@ scanned whole; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect, insort
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,38 +34,86 @@ PLACEHOLDER = {
     "person_name": "<PERSON>",
 }
 
-# Cues by kind, lower case (fixed values).
-AT_CUES = ["@", "(at)", "[at]", "{at}", " at "]
-PHONE_CUES = [
+# Words and marks by class of anchor, lower case (fixed values).
+AT_MARKS = ["@", "(at)", "[at]", "{at}", " at "]
+PHONE_WORDS = [
     "tel", "tél", "phone", "whatsapp", "call", "ring", "handy", "mobil", "mobile", "telefon", "telefone", "telephone", "teléfono", "telefono", "téléphone",
-    "ruf", "rufen", "appelez", "llama", "llamar", "ligue", "ligar", "fon", "телефон", "тел", "звоните", "позвоните", "電話", "+", "(0", "(2", "00", "0", "1-", "1 (", "fax", "móvil", "portable", "cell",
+    "ruf", "rufen", "appelez", "llama", "llamar", "ligue", "ligar", "fon", "телефон", "тел", "звоните", "позвоните", "電話", "fax", "móvil", "portable", "cell", "sms", "signal",
 ]
-ID_CUES = [
+PHONE_MARKS = ["+", "(0", "(2", "00", "0", "1-", "1 ("]
+ID_WORDS = [
     "ssn", "social security number", "tax id", "passport", "driving licence", "driver's license", "driver’s license", "driver's licence",
-    "id card", "id number", "ni number", "national insurance number", "nif", "dni", "nie", "steuer-id", "steuer-idnr", "steueridentifikationsnummer",
+    "id card", "id number", "id no", "ni number", "national insurance number", "nif", "dni", "nie", "steuer-id", "steuer-idnr", "steueridentifikationsnummer",
     "sozialversicherungsnummer", "ausweis-nr", "ausweisnummer", "personalausweis", "reisepass", "sécurité sociale", "carte d’identité", "carte d'identité",
-    "passeport", "numéro fiscal", "pasaporte", "seguridad social", "cpf", "cartão de cidadão", "passaporte", "個人番号", "マイナンバー", "旅券番号", "免許証番号",
+    "passeport", "numéro fiscal", "pasaporte", "seguridad social", "cpf", "cartão de cidadão", "passaporte", "iban", "個人番号", "マイナンバー", "旅券番号", "免許証番号",
     "инн", "паспорт", "снилс",
 ]
-ADDRESS_CUES = [
-    "address:", "load-in at", "pressing to", "send it to", "ship to", "lives at", "deliver to", "anschrift:", "adresse:", "adresse :", "lieferung an",
-    "le disque au", "disque au", "dirección:", "el disco a", "endereço:", "morada:", "o disco para", "送り先:", "住所:", "送り先：", "住所：", "адрес:", "адресу",
-    "i live at", "ich wohne", "wohne in", "wohnt in", "j’habite", "j'habite", "habite au", "vivo en", "moro na", "moro no", "moro em", "живу", "диск на", "пластинку на", "доставка:",
+# Labels before an address, and verbs or nouns of living, visiting and sending before a preposition.
+ADDRESS_LABELS = [
+    "address", "anschrift", "adresse", "dirección", "direccion", "endereço", "morada", "indirizzo", "送り先", "住所", "адрес", "адресу", "доставка", "visit us", "find us", "venue",
 ]
-NAME_CUES = [
-    "ask for", "cc:", "signed,", "booked through", "my neighbour", "regards,", "gruß,", "grüße,", "ansprechpartner:", "ansprechpartnerin:", "frau", "herr", "cordialement,",
-    "demander", "mme", "saludo,", "preguntar por", "sra.", "sr.", "cumprimentos,", "perguntar por", "уважением,", "担当:", "担当：", "спросить", "dr.", "ms.", "mr.", "mrs.",
-    "contact person:", "спросите", "менеджер",
+ADDRESS_VERBS = [
+    "live", "lives", "living", "send", "sent", "ship", "ships", "shipped", "deliver", "delivered", "mail", "mailed", "post", "posted", "moved", "pressing", "disc", "record", "tape", "parcel", "load-in", "meet",
+    "wohne", "wohnt", "wohnen", "lieferung", "schick", "schicken", "platte", "paket", "habite", "habitons", "envoyez", "envoyer", "disque", "colis", "vivo", "vive", "envía", "enviar", "disco", "paquete",
+    "moro", "mora", "envie", "pacote", "живу", "живёт", "живет", "отправьте", "диск", "пластинку", "посылку",
 ]
-NAME_TAILS = [
-    " checked my ears", " lent me the deck", ", tour manager", " hat die bänder gebracht", " a prêté la platine", " trajo las cintas",
-    " last week", " trouxe as fitas", " принёс", " принесла", " привёз", " привезла", " передал",
+_TO_PLACE = re.compile(r"(?:[ \t](?!\d)[\w’']+){0,6}?[ \t](?:at|to|in|an|au|à|a|en|na|no|em|para|по|на|в)\b[ \t]+|[ \t]+(?=[A-ZÄÖÜА-ЯЁ\d])|[ \t]*[:：,-][ \t]*", re.I)
+_GAP = re.compile(r"[ \t:：,]*")
+STREET_WORDS = [
+    "street", "st", "road", "rd", "avenue", "ave", "drive", "lane", "ln", "close", "row", "court", "way", "place", "square", "sq", "terrace", "boulevard", "blvd", "hill", "walk", "crescent", "mews",
 ]
+STREET_ENDS = ["straße", "strasse", "gasse", "platz", "allee", "ufer", "damm", "chaussee", "weg", "ring", "steig", "str."]
+STREET_STARTS = [
+    "rue", "quai", "impasse", "allée", "chemin", "calle", "plaza", "avenida", "paseo", "camino", "ronda", "rua", "travessa", "praça", "largo", "alameda", "ул.", "улица", "просп.", "проспект", "пер.", "переулок", "наб.", "набережная",
+]
+TITLES = [
+    "mr", "mrs", "ms", "miss", "mx", "dr", "prof", "professor", "herr", "herrn", "frau", "mme", "mlle", "madame", "monsieur", "sr", "sra", "srta", "señor", "señora", "don", "doña", "dona", "dra", "senhor", "senhora",
+    "госпожа", "господин", "г-н", "г-жа",
+]
+SIGN_OFFS = [
+    "signed", "regards", "wishes", "sincerely", "yours", "cheers", "love", "thanks", "gruß", "grüße", "grüßen", "gruss", "cordialement", "amicalement", "bien à vous", "amitiés", "saludo", "saludos", "atentamente",
+    "abrazo", "cumprimentos", "abraço", "obrigado", "obrigada", "уважением", "приветом", "спасибо",
+]
+NAME_LABELS = [
+    "cc", "attn", "name", "contact", "contact person", "kontakt", "ansprechpartner", "ansprechpartnerin", "contacto", "contato", "contatto", "nom", "nombre", "nome", "responsable", "担当", "氏名", "контакт", "имя", "from", "to",
+    "спросить", "спросите", "менеджер", "manager", "agent", "driver", "guest list", "guest", "guests", "reservation",
+]
+# Words that lead straight to a name: asking, booking and thanking for someone.
+ASKING = [
+    "ask for", "asked for", "speak to", "speak with", "talk to", "booked through", "booked by", "booked via", "thanks to", "call for", "fragen sie nach", "bitte an", "demander", "demandez", "parler à", "preguntar por", "pregunte por",
+    "pregunta por", "hablar con", "perguntar por", "pergunte por", "falar com", "спросить", "спросите", "звать", "my name is", "ich heiße", "je m’appelle", "je m'appelle", "me llamo", "meu nome é", "меня зовут",
+]
+RELATIONS = [
+    "neighbour", "neighbor", "friend", "brother", "sister", "colleague", "cousin", "uncle", "aunt", "wife", "husband", "flatmate", "roommate", "boss", "nachbar", "nachbarin", "freund", "freundin", "bruder", "schwester", "kollege", "kollegin",
+    "voisin", "voisine", "ami", "amie", "frère", "sœur", "collègue", "vecino", "vecina", "amigo", "amiga", "hermano", "hermana", "vizinho", "vizinha", "irmão", "irmã", "сосед", "соседка", "друг", "подруга", "брат", "сестра", "коллега",
+]
+OWNERS = {"my", "our", "his", "her", "their", "mein", "meine", "meinem", "meiner", "unser", "unsere", "mon", "ma", "notre", "mi", "nuestro", "nuestra", "meu", "minha", "nosso", "nossa", "o", "a", "мой", "моя", "наш", "наша"}
+ROLES = [
+    "manager", "agent", "promoter", "booker", "engineer", "technician", "driver", "photographer", "accountant", "lawyer", "assistant", "coordinator", "merch", "security", "stage hand", "publicist", "veranstalter", "veranstalterin", "technikerin",
+    "techniker", "gérant", "régisseur", "régisseuse", "mánager", "representante", "gerente", "agente", "producer’s assistant", "менеджер", "директор", "агент",
+]
+HONORIFIC_ENDS = ["さん", "様", "氏"]
+#: A word for the writer, before which a full name at the head of a sentence is a person who does something to or for them.
+SELF_WORDS = ["my", "me", "our", "us", "mir", "uns", "mich", "m’a", "m'a", "nous a", "мне", "нам", "me ha", "nos ha"]
+# Words of organisations and releases, which are no parts of people's names.
+NOT_NAMES = set(
+    "records office booking bookings agency management music press team label studio studios gmbh ltd inc llc verlag festival club bar radio box orchestra ensemble collective quartet quintet trio brothers sisters project band "
+    "various artists ep lp vol the and dj mc street road avenue lane hi hello dear all everyone side".split()
+)
+
+
+NOT_NAMES.update(w for cue in SIGN_OFFS + NAME_LABELS + PHONE_WORDS for w in cue.split() if len(w) > 3)
+#: Words after which a street may be any words in capitals before a number.
+LOOSE = re.compile(r"wohn|schick|lieferung|platte|paket|anschrift|adresse|address", re.I)
 
 
 def _automaton() -> ahocorasick.Automaton:
+    classes = (
+        ("at", AT_MARKS), ("phone", PHONE_WORDS + PHONE_MARKS), ("id", ID_WORDS), ("place", ADDRESS_LABELS + ADDRESS_VERBS), ("street", STREET_WORDS), ("street_end", STREET_ENDS), ("street_start", STREET_STARTS),
+        ("title", TITLES), ("sign", SIGN_OFFS), ("label", NAME_LABELS), ("ask", ASKING), ("relation", RELATIONS), ("role", ROLES), ("honorific", HONORIFIC_ENDS), ("self", SELF_WORDS),
+    )
     found: dict[str, list[str]] = {}
-    for kind, cues in (("at", AT_CUES), ("phone", PHONE_CUES), ("id", ID_CUES), ("address", ADDRESS_CUES), ("name", NAME_CUES), ("tail", NAME_TAILS)):
+    for kind, cues in classes:
         for cue in cues:
             found.setdefault(cue, []).append(kind)
     out = ahocorasick.Automaton()
@@ -119,9 +170,14 @@ _PHONE = re.compile("|".join(f"(?:{s})" for s in _SHAPES))
 _PLAIN = re.compile(
     r"(?:\+\d{1,3}|00\d{2}|\(\+?\d{2,4}\)|\(0\d{1,4}\))[ .\-/]*\(?\d[\d ().\-/]{5,}\d"
     r"|(?:1[ .\-])?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\- ]\d{4}"
-    r"|0\d{2} \d{4}[ \-]?\d{4}|0\d[ .]\d\d(?:[ .]\d\d){3}|0\d-\d{4}-\d{4}|0\d{2,4}(?: ?[/\-] ?| )\d{5}[ \-]?\d{3}"
+    r"|0\d{2} \d{4}[ \-]?\d{4}|0\d[ .]\d\d(?:[ .]\d\d){3}|0\d-\d{4}-\d{4}|0\d{2,4}(?: ?[/\-] ?| )\d{5}[ \-]?\d{3}|0\d{3} \d{4} \d{3}"
 )
-_TO_NUMBER = re.compile(r"[^\d+(\n]{0,24}")
+#: From the word to the number, within its sentence.
+_TO_NUMBER = re.compile(r"(?:(?![.!?;|]\s+[A-ZÀ-ÖØ-ÞА-ЯЁ])[^\d+(\n])*")
+
+
+#: A code in brackets, whose number begins at the bracket.
+_AREA = re.compile(r"\+?\d{1,5}\)")
 
 
 def _edge(text: str, i: int, j: int) -> bool:
@@ -146,9 +202,25 @@ _TO_ID = re.compile(r"(?:\s*(?:is|lautet|est|es|é|n[°ºo]\.?|nr\.?|no\.?|numbe
 _ID = re.compile(r"[A-Z]{0,3}\d[0-9A-Z]*(?:[ .\-/]?[0-9]+[A-Z]{0,2}\b|[ .\-/][A-Z]{1,2}\b|[ .\-/][A-Z]{1,3}\d+)*|[A-Z]\d{5,}[A-Z]{0,3}")
 
 
+_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+
+
+def _account(text: str) -> bool:
+    """The check digits of an international account number."""
+    flat = text.replace(" ", "")
+    return 15 <= len(flat) <= 34 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
+def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers need no word before them, as their check digits tell them."""
+    for m in _IBAN.finditer(text):
+        if _account(m.group()):
+            yield m.start(), m.end()
+
+
 def _identity(text: str, j: int) -> tuple[int, int] | None:
     at = _TO_ID.match(text, j).end()
-    m = _ID.match(text, at)
+    m = _IBAN.match(text, at) or _ID.match(text, at)
     if not m or sum(c.isdigit() for c in m.group()) < 6:
         return None
     return at, m.end()
@@ -160,6 +232,11 @@ _W = r"(?:(?:St|Mt|ST|MT|[NSEW])\.|[^\W\d_a-z][\w’'\-]*)"
 _TYPE = r"(?i:Street|St|Road|Rd|Avenue|Ave|Drive|Dr|Lane|Ln|Close|Row|Court|Ct|Way|Place|Pl|Square|Sq|Terrace|Boulevard|Blvd|Hill|Walk|Crescent|Mews)\b\.?"
 _UNIT = r"(?:,? (?i:Unit|Apt\.?|Apartment|Flat|Suite|Ste\.?|#) ?[\w\-]+)?"
 _TOWN = r"[^\W\d_][^\W\d_’'\-]*(?:[ \-’'][^\W\d_]+){0,4}?"
+_END = r"(?=[.;|/,\n]|\s*$|  | [|/])"
+_MIXED = r"(?-i:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ’']+)"
+_SMALL = r"(?:am|an|der|im|bei|de|del|des|du|la|le|les|sur|sous|el|do|da|dos|das|on|of|sea)"
+#: Words in capitals with small ones between them; a town in capitals only ends where the sentence or field does.
+_PLACE = rf"(?:{_MIXED}(?:[ \-](?:{_SMALL}[ \-]){{0,2}}{_MIXED})*(?!\w)|{_TOWN}{_END})"
 _ADDRESS = [
     # number first, street type last; unit, town and postcode
     re.compile(
@@ -167,16 +244,16 @@ _ADDRESS = [
     ),
     # number first, street type next
     re.compile(
-        rf"\d+(?: ?(?:bis|ter|[a-z])\b)?,? (?:rue|avenue|quai|impasse|boulevard|place|allée|chemin|route|cours)\b(?: (?!\d)[\w’'\-]+){{1,6}}?(?:, \d{{5}} {_TOWN})?(?=[.;|/,\n]|\s*$|  | [|/])",
+        rf"\d+(?: ?(?:bis|ter|[a-z])\b)?,? (?:rue|avenue|quai|impasse|boulevard|place|allée|chemin|route|cours)\b(?:(?: (?:{_SMALL}|aux?|et|à)(?!\w)|[ ’'](?:[ld][’'])?{_MIXED}(?:-{_MIXED})*(?!\w)){{1,7}}(?:, \d{{5}} {_PLACE})?|(?: (?!\d)[\w’'\-]+){{1,6}}?(?:, \d{{5}} {_PLACE}|{_END}))",
         re.I,
     ),
     # street word ends in a type, number after it
-    re.compile(rf"(?:[^\W\d_]+[ \-])?[^\W\d_]*(?:straße|strasse|gasse|weg|platz|allee|ufer|damm|ring|str\.|steig|chaussee) \d+ ?[a-z]?\b(?:, \d{{5}} {_TOWN}(?=[.;|/,\n]|\s*$|  | [|/]))?", re.I),
+    re.compile(rf"(?:[^\W\d_]+[ \-](?=[A-ZÄÖÜ])[^\W\d_]*|(?=[A-ZÄÖÜ])[^\W\d_]+?)(?i:straße|strasse|gasse|weg|platz|allee|ufer|damm|ring|str\.|steig|chaussee) \d+ ?[a-z]?\b(?:, \d{{5}} {_PLACE})?"),
     # other street names before a number, with postcode and town
-    re.compile(rf"(?:[A-ZÄÖÜ][\wäöüß\-]*\.? ){{1,4}}\d+ ?[a-z]?\b(?:, \d{{5}} {_TOWN}(?=[.;|/,\n]|\s*$|  | [|/]))?"),
+    re.compile(rf"(?:[A-ZÄÖÜ][\wäöüß\-]*\.? ){{1,4}}\d+ ?[a-z]?\b(?:, \d{{5}} {_PLACE})?"),
     # street type first, number after the name
     re.compile(
-        rf"(?:Calle|Plaza|Avenida|Paseo|Camino|Ronda|Rua|Travessa|Praça|Largo|Alameda|C/)\b(?: (?!\d)[^\W\d_][\w’'\-]*){{1,5}}?,? (?:n[º°o]\.? ?)?\d+[A-Z]?\b(?:, \d+[º°ª]\.? ?[A-Za-z]+)?(?:, \d{{4,5}}(?:-\d{{3}})? {_TOWN}(?=[.;|/,\n]|\s*$|  | [|/]))?",
+        rf"(?:Calle|Plaza|Avenida|Paseo|Camino|Ronda|Rua|Travessa|Praça|Largo|Alameda|C/)\b(?: (?!\d)[^\W\d_][\w’'\-]*){{1,5}}?,? (?:n[º°o]\.? ?)?\d+[A-Z]?\b(?:, \d+[º°ª]\.? ?[A-Za-z]+)?(?:, \d{{4,5}}(?:-\d{{3}})? {_PLACE})?",
         re.I,
     ),
     re.compile(r"(?:〒?\d{3}-\d{4} ?)?[぀-ヿ一-鿿]{2,}?[市区町村郡県都府][぀-ヿ一-鿿]{1,}?\d+(?:[-－]\d+){1,3}(?: ?[぀-ヿ一-鿿]*\d+号室?)?"),
@@ -186,19 +263,50 @@ _ADDRESS = [
 ]
 
 
-def _address(text: str, j: int) -> tuple[int, int] | None:
-    while j < len(text) and text[j] in " :：\t":
-        j += 1
-    best = None
-    for form in _ADDRESS:
-        m = form.match(text, j)
-        if m and (best is None or m.end() > best):
-            best = m.end()
-    if best is None:
-        return None
-    while text[best - 1] in " ," or text[best - 1] == "." and text[best : best + 1] not in (".", ",", ";"):
-        best -= 1
-    return j, best
+#: The form that a street word of each class belongs to.
+_FORMS = {"street": [0], "street_end": [2], "street_start": [1, 4, 6]}
+_HEAD = {
+    "street": re.compile(r"(?<![\w.,:'’/-])\d+(?:/\d+)?(?: ?[A-Za-z])?,? "),
+    "street_end": re.compile(r"(?<![\w-])[A-ZÄÖÜ]"),
+    "street_start": re.compile(r"(?<![\w.,:'’/-])\d|(?<![\w-])[A-ZА-ЯЁ〒]|(?<!\w)ул|(?<!\w)пр|(?<!\w)наб|(?<!\w)пер"),
+}
+
+
+#: Words of clauses, which no street holds.
+_CLAUSE = re.compile(r"(?i)\b(?:and|then|the|but|while|because|was|were|is|are)\b")
+
+
+def _trim_end(text: str, end: int) -> int:
+    while text[end - 1] in " ," or text[end - 1] == "." and text[end : end + 1] not in (".", ",", ";"):
+        end -= 1
+    return end
+
+
+def _address(text: str, j: int, loose: bool) -> tuple[int, int] | None:
+    """Address that begins at ``j``; names without a word for a street need a postcode unless ``loose``."""
+    ends = [m.end() for n, form in enumerate(_ADDRESS) if (m := form.match(text, j)) and (n != 3 or loose or re.search(r", \d{5} ", m.group()))]
+    best = max(ends, default=None)
+    return None if best is None else (j, _trim_end(text, best))
+
+
+def _sentence_start(text: str, i: int) -> int:
+    """The place after the last border of a sentence or field before ``i``; a point after one capital is no border."""
+    while True:
+        cut = max(text.rfind(c, 0, i) for c in ".!?\n\r|;:/—>#")
+        if cut < 0 or text[cut] != "." or not (cut and text[cut - 1].isupper() and (cut == 1 or not text[cut - 2].isalpha())):
+            return cut + 1
+        i = cut
+
+
+def _address_around(text: str, kind: str, i: int, j: int) -> tuple[int, int] | None:
+    """Address whose street word is text[i:j]; without a word that introduces it, it needs a house number, and all its words capitals."""
+    low = max(text.rfind(c, 0, i) for c in "\n\r|;!?") + 1
+    for m in reversed(list(_HEAD[kind].finditer(text, low, i + 1))):
+        for form in _FORMS[kind]:
+            got = _ADDRESS[form].match(text, m.start())
+            if got and not _CLAUSE.search(got.group()) and got.end() >= j and (kind != "street_end" or re.search(r"\d{5} ", got.group())):
+                return m.start(), _trim_end(text, got.end())
+    return None
 
 
 # --- names ---------------------------------------------------------------------------------
@@ -211,26 +319,75 @@ _INITIAL = rf"[A-ZА-ЯЁ]\.(?:[ \-]?[A-ZА-ЯЁ]\.)? ?{_N}(?:-{_N})?|{_N}(?:-{_
 _NAME = re.compile(rf"{_LAST_FIRST}|{_INITIAL}|{_FULL}")
 _CJK_NAME = re.compile(r"[一-鿿]{1,4}[ 　]?[一-鿿぀-ヿ]{1,4}(?=[。、\s.|/;]|$)")
 
-def _name(text: str, j: int) -> tuple[int, int] | None:
-    at = _TITLE.match(text, j).end()
-    m = _NAME.match(text, at) or _CJK_NAME.match(text, at)
-    return (at, m.end()) if m else None
+_TITLE_WORD = re.compile(rf"\.?(?:\s+(?:{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\b\.?)*\s+", re.I)
+_SURNAME = re.compile(rf"{_N}(?:-{_N})?")
+
+
+def _is_name(text: str) -> bool:
+    """No part is a word of organisations, and none is in lower case but particles."""
+    return not any(t in NOT_NAMES for t in re.split(r"[\s,.\-]+", text.lower()) if t)
+
+
+def _name(text: str, at: int, single: bool = False) -> tuple[int, int] | None:
+    """Name at ``at``, titles before it left out; after a title a surname alone counts."""
+    start = _TITLE.match(text, at).end()
+    m = _NAME.match(text, start) or _CJK_NAME.match(text, start) or (_SURNAME.match(text, start) if single or start > at and text[at:start].strip() else None)
+    return (start, m.end()) if m and _is_name(m.group()) else None
 
 
 def _name_before(text: str, i: int) -> tuple[int, int] | None:
-    low = max(0, i - 80)
-    window = text[low:i]
-    cut = max(window.rfind(c) for c in ".!?\n\r|;:/—>#")
-    while cut >= 0 and re.search(r"(?:^|[\s\-])[A-ZА-Я]\.$", window[: cut + 1]):
-        cut = max(window[:cut].rfind(c) for c in ".!?\n\r|;:/—>#")
-    part = window[cut + 1 :]
+    """Name that ends at ``i``."""
+    low = _sentence_start(text, i)
+    part = text[low:i]
     for k in [m.start() for m in re.finditer(rf"(?<![\w\-’']){_N}", part)]:
         m = _NAME.match(part, k)
-        if m and m.end() == len(part):
+        if m and m.end() == len(part) and _is_name(m.group()):
             lead = _TITLE.match(part, k).end()
             start = lead if lead > k and _NAME.fullmatch(part, lead) else k
-            return low + cut + 1 + start, i
-    return None
+            return low + start, i
+    m = re.search(r"[一-鿿]{1,4}[ 　]?[一-鿿぀-ヿ]{0,4}$", part)
+    return (low + m.start(), i) if m else None
+
+
+_COLON = re.compile(r"(?:\s+(?:is|ist|est|es|é))?\s*[:：]\s*|\s+[-–—]\s+")
+_AFTER_SIGN = re.compile(r"(?:\s+(?:from|von|de|от))?\s*[,，:：]?\s*(?:[-–—]\s*)?")
+_BEFORE_ROLE = re.compile(r"(?:,\s|\(\s?)(?:[^\W\d_]+\s){0,2}$")
+_TO_NAME = re.compile(r"[:：]?\s+|[:：]")
+_DOES = re.compile(rf"({_FULL})((?: [^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁ][\w’']*){{1,3}} )$")
+
+
+def _person(text: str, low: str, kind: str, i: int, j: int) -> tuple[int, int] | None:
+    """Name at an anchor text[i:j] of a class of people; where all letters are capitals, only marks tell names."""
+    if text[i:j].isupper() and (kind in ("relation", "role", "self") or kind == "title" and text[j : j + 1] != "."):
+        return None
+    if kind == "title":
+        m = _TITLE_WORD.match(text, j)
+        return _name(text, m.end(), single=True) if m and text[i].isupper() and (text[j : j + 1] == "." or text[j : j + 1] == " ") else None
+    if kind == "sign":
+        m = _AFTER_SIGN.match(text, j)
+        return _name(text, m.end()) if m.end() > j and re.search(r"[,，:：\n]", m.group()) else None
+    if kind == "label":
+        m = _COLON.match(text, j)
+        return _name(text, m.end()) if m else None
+    if kind == "ask":
+        m = _TO_NAME.match(text, j)
+        return _name(text, m.end()) if m else None
+    if kind == "relation":
+        owner = re.search(r"([^\W\d_]+)\s$", low[max(0, i - 20) : i])
+        m = re.compile(r",?\s+").match(text, j)
+        return _name(text, m.end()) if m and owner and owner.group(1) in OWNERS else None
+    if kind == "role":
+        before = _BEFORE_ROLE.search(text, max(0, text.rfind(",", 0, i), text.rfind("(", 0, i)), i)
+        if before:
+            return _name_before(text, before.start() - (text[before.start()] == "(" and text[before.start() - 1 : before.start()] == " "))
+        m = re.compile(r",?\s+").match(text, j)
+        return _name(text, m.end()) if m else None
+    if kind == "honorific":
+        return _name_before(text, i)
+    start = _sentence_start(text, i)
+    start += len(text[start:i]) - len(text[start:i].lstrip())
+    m = _DOES.match(text[start:i])
+    return (start, start + len(m.group(1))) if m and _is_name(m.group(1)) else None
 
 
 # --- all together ----------------------------------------------------------------------------
@@ -238,48 +395,78 @@ def _name_before(text: str, i: int) -> tuple[int, int] | None:
 _SPECIFIC = {"email": 0, "id_number": 1, "address": 2, "phone": 3, "person_name": 4}
 
 
+_PEOPLE = {"title", "sign", "label", "ask", "relation", "role", "honorific", "self"}
+
+
+def _word(low: str, i: int, j: int) -> bool:
+    """Nothing of a word touches low[i:j]."""
+    return not (low[i].isalpha() and i > 0 and (low[i - 1].isalnum())) and not (low[j - 1].isalpha() and low[j : j + 1].isalnum())
+
+
+def _at_anchor(text: str, low: str, kind: str, i: int, j: int, tried: set) -> tuple[int, int, str] | None:
+    if kind == "at":
+        got = _mail(text, i, j)
+        return (*got, "email") if got else None
+    cjk = ord(low[i]) > 0x2E7F
+    if kind == "phone":
+        if low[i].isdigit() or low[i] in "+(":
+            if i and (low[i - 1].isdigit() or low[i - 1] == "+" or low[i - 1] == "(" and _AREA.match(low, i)):
+                return None
+            at, cued = i, False
+        elif low[j - 1].isascii() and low[j : j + 1].isalpha() or low[i - 1 : i].isalpha() and low[i - 1].isascii():
+            return None
+        else:
+            at, cued = _TO_NUMBER.match(text, j).end(), True
+        if (at, cued) in tried:
+            return None
+        tried.add((at, cued))
+        got = _phone(text, at, cued)
+        return (*got, "phone") if got else None
+    if kind == "street_end":
+        got = _address_around(text, kind, i, j) if not low[j : j + 1].isalpha() else None
+        return (*got, "address") if got else None
+    if not cjk and not _word(low, i, j):
+        return None
+    if kind == "id":
+        got = _identity(text, j)
+        return (*got, "id_number") if got else None
+    if kind == "place":
+        for m in (_TO_PLACE.match(text, j), _GAP.match(text, j)):
+            got = _address(text, m.end(), bool(LOOSE.match(low, i))) if m and m.end() > j else None
+            if got:
+                return (*got, "address")
+        return None
+    if kind in _FORMS:
+        got = _address_around(text, kind, i, j)
+        return (*got, "address") if got else None
+    got = _person(text, low, kind, i, j)
+    return (*got, "person_name") if got else None
+
+
 def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """Disjoint (start, end, kind) in order."""
     low = _lower(text)
-    hits: list[tuple[int, int, str]] = []
-    tried: set[tuple[str, int]] = set()
+    hits: set[tuple[int, int, str]] = {(i, j, "id_number") for i, j in _accounts(text)}
+    tried: set[tuple[int, bool]] = set()
     for end, (size, kinds) in automaton.iter(low):
-        i, j = end - size + 1, end + 1
-        word = low[i:j]
-        if kinds == ("phone",) and word[-1].isascii() and word[-1].isalpha() and low[j : j + 1].isalpha():
-            continue
-        inner = word[0].isalpha() and i > 0 and low[i - 1].isalpha() and low[i - 1].isascii()
         for kind in kinds:
-            got, name = None, ""
-            if kind == "at":
-                got, name = _mail(text, i, j), "email"
-            elif kind == "phone" and not inner:
-                if word[0].isdigit() or word[0] in "+(":
-                    if i and (low[i - 1].isdigit() or low[i - 1] == "+" or low[i - 1] == "(" and word[0] != "("):
-                        continue
-                    if ("plain", i) not in tried:
-                        tried.add(("plain", i))
-                        got, name = _phone(text, i, False), "phone"
-                else:
-                    at = _TO_NUMBER.match(text, j).end()
-                    if ("phone", at) not in tried:
-                        tried.add(("phone", at))
-                        got, name = _phone(text, at, True), "phone"
-            elif kind == "id" and not inner:
-                got, name = _identity(text, j), "id_number"
-            elif kind == "address":
-                got, name = _address(text, j), "address"
-            elif kind == "name" and not inner:
-                got, name = _name(text, j), "person_name"
-            elif kind == "tail":
-                got, name = _name_before(text, i), "person_name"
+            got = _at_anchor(text, low, kind, end - size + 1, end + 1, tried)
             if got and got[0] < got[1]:
-                hits.append((got[0], got[1], name))
+                hits.add(got)
     out: list[tuple[int, int, str]] = []
-    for start, end, kind in sorted(set(hits), key=lambda h: (_SPECIFIC[h[2]], h[0], -h[1])):
-        if all(end <= a or start >= b for a, b, _ in out):
-            out.append((start, end, kind))
-    return sorted(out)
+    for hit in sorted(hits, key=lambda h: (_SPECIFIC[h[2]], h[0], -h[1])):
+        at = bisect(out, hit)
+        if (at == 0 or out[at - 1][1] <= hit[0]) and (at == len(out) or out[at][0] >= hit[1]):
+            insort(out, hit)
+    for name in {text[i:j] for i, j, kind in out if kind == "person_name" and " " in text[i:j]}:
+        i = text.find(name)
+        while i >= 0:  # the same name elsewhere in the text
+            hit, at = (i, i + len(name), "person_name"), bisect(out, (i, i + len(name), "person_name"))
+            free = (at == 0 or out[at - 1][1] <= i) and (at == len(out) or out[at][0] >= hit[1])
+            if free and not text[i - 1 : i].isalnum() and not text[hit[1] : hit[1] + 1].isalnum():
+                insort(out, hit)
+            i = text.find(name, hit[1])
+    return out
 
 
 def _finder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
