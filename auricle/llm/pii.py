@@ -16,7 +16,7 @@ scanned whole; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from bisect import bisect, insort
+from bisect import bisect, bisect_left, insort
 from collections.abc import Iterator
 
 import ahocorasick
@@ -129,6 +129,48 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+class Indexed:
+    """A text with the places that parsers look back or ahead for, each found once, so that a text is scanned in linear time."""
+
+    _MARKS = {
+        "border": re.compile(r"[.!?\n\r|;:/—>#]"),
+        "field": re.compile(r"[\n\r|;!?]"),
+        "number": re.compile(r"[\d+(\n]"),
+        "end": re.compile(r"[.!?;|](?=\s+[A-ZÀ-ÖØ-ÞА-ЯЁ])"),
+        "capital": re.compile(r"(?<![\w\-’'])[A-ZÀ-ÖØ-ÞŁŚŽČŠА-ЯЁ]"),
+        "street": re.compile(r"(?<![\w.,:'’/-])\d+(?:/\d+)?(?: ?[A-Za-z])?,? "),
+        "street_end": re.compile(r"(?<![\w-])[A-ZÄÖÜ]"),
+        "street_start": re.compile(r"(?<![\w.,:'’/-])\d|(?<![\w-])[A-ZА-ЯЁ〒]|(?<!\w)(?:ул|пр|наб|пер)"),
+    }
+
+    def __init__(self, text: str):
+        self.text, self.low = text, _lower(text)
+        self._places: dict[str, list[int]] = {}
+
+    def places(self, mark: str) -> list[int]:
+        if mark not in self._places:
+            self._places[mark] = [m.start() for m in self._MARKS[mark].finditer(self.text)]
+        return self._places[mark]
+
+    def before(self, mark: str, i: int, n: int = 1) -> list[int]:
+        """The last ``n`` places before ``i``, the nearest first."""
+        at = bisect_left(self.places(mark), i)
+        return self.places(mark)[max(0, at - n) : at][::-1]
+
+    def after(self, mark: str, i: int) -> int:
+        at = bisect_left(self.places(mark), i)
+        return self.places(mark)[at] if at < len(self.places(mark)) else len(self.text)
+
+    def sentence(self, i: int) -> int:
+        """Where the sentence or field of ``i`` begins; a point after one capital is no border."""
+        text = self.text
+        while True:
+            cut = next(iter(self.before("border", i)), -1)
+            if cut < 0 or text[cut] != "." or not (cut and text[cut - 1].isupper() and (cut == 1 or not text[cut - 2].isalpha())):
+                return cut + 1
+            i = cut
+
+
 # --- mail ------------------------------------------------------------------------
 
 _LOCAL_END = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?$|[A-Za-z0-9]$")
@@ -172,8 +214,6 @@ _PLAIN = re.compile(
     r"|(?:1[ .\-])?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\- ]\d{4}"
     r"|0\d{2} \d{4}[ \-]?\d{4}|0\d[ .]\d\d(?:[ .]\d\d){3}|0\d-\d{4}-\d{4}|0\d{2,4}(?: ?[/\-] ?| )\d{5}[ \-]?\d{3}|0\d{3} \d{4} \d{3}"
 )
-#: From the word to the number, within its sentence.
-_TO_NUMBER = re.compile(r"(?:(?![.!?;|]\s+[A-ZÀ-ÖØ-ÞА-ЯЁ])[^\d+(\n])*")
 
 
 #: A code in brackets, whose number begins at the bracket.
@@ -199,7 +239,7 @@ def _phone(text: str, i: int, cued: bool) -> tuple[int, int] | None:
 # --- identity numbers ----------------------------------------------------------------
 
 _TO_ID = re.compile(r"(?:\s*(?:is|lautet|est|es|é|n[°ºo]\.?|nr\.?|no\.?|number|nummer|[:：(#.]))*\s*", re.I)
-_ID = re.compile(r"[A-Z]{0,3}\d[0-9A-Z]*(?:[ .\-/]?[0-9]+[A-Z]{0,2}\b|[ .\-/][A-Z]{1,2}\b|[ .\-/][A-Z]{1,3}\d+)*|[A-Z]\d{5,}[A-Z]{0,3}")
+_ID = re.compile(r"(?:[A-Z]{1,3} ?)?\d[0-9A-Z]*(?:[ .\-/]?[0-9]+[A-Z]{0,2}\b|[ .\-/][A-Z]{1,2}\b|[ .\-/][A-Z]{1,3}\d+)*|[A-Z]\d{5,}[A-Z]{0,3}")
 
 
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -265,11 +305,8 @@ _ADDRESS = [
 
 #: The form that a street word of each class belongs to.
 _FORMS = {"street": [0], "street_end": [2], "street_start": [1, 4, 6]}
-_HEAD = {
-    "street": re.compile(r"(?<![\w.,:'’/-])\d+(?:/\d+)?(?: ?[A-Za-z])?,? "),
-    "street_end": re.compile(r"(?<![\w-])[A-ZÄÖÜ]"),
-    "street_start": re.compile(r"(?<![\w.,:'’/-])\d|(?<![\w-])[A-ZА-ЯЁ〒]|(?<!\w)ул|(?<!\w)пр|(?<!\w)наб|(?<!\w)пер"),
-}
+#: Words of an address before its street word, at most.
+_WORDS = 8
 
 
 #: Words of clauses, which no street holds.
@@ -289,23 +326,14 @@ def _address(text: str, j: int, loose: bool) -> tuple[int, int] | None:
     return None if best is None else (j, _trim_end(text, best))
 
 
-def _sentence_start(text: str, i: int) -> int:
-    """The place after the last border of a sentence or field before ``i``; a point after one capital is no border."""
-    while True:
-        cut = max(text.rfind(c, 0, i) for c in ".!?\n\r|;:/—>#")
-        if cut < 0 or text[cut] != "." or not (cut and text[cut - 1].isupper() and (cut == 1 or not text[cut - 2].isalpha())):
-            return cut + 1
-        i = cut
-
-
-def _address_around(text: str, kind: str, i: int, j: int) -> tuple[int, int] | None:
+def _address_around(t: Indexed, kind: str, i: int, j: int) -> tuple[int, int] | None:
     """Address whose street word is text[i:j]; without a word that introduces it, it needs a house number, and all its words capitals."""
-    low = max(text.rfind(c, 0, i) for c in "\n\r|;!?") + 1
-    for m in reversed(list(_HEAD[kind].finditer(text, low, i + 1))):
-        for form in _FORMS[kind]:
-            got = _ADDRESS[form].match(text, m.start())
+    low = next(iter(t.before("field", i)), -1)
+    for start in t.before(kind, i + 1, _WORDS):
+        for form in _FORMS[kind] if start > low else []:
+            got = _ADDRESS[form].match(t.text, start)
             if got and not _CLAUSE.search(got.group()) and got.end() >= j and (kind != "street_end" or re.search(r"\d{5} ", got.group())):
-                return m.start(), _trim_end(text, got.end())
+                return start, _trim_end(t.text, got.end())
     return None
 
 
@@ -335,18 +363,16 @@ def _name(text: str, at: int, single: bool = False) -> tuple[int, int] | None:
     return (start, m.end()) if m and _is_name(m.group()) else None
 
 
-def _name_before(text: str, i: int) -> tuple[int, int] | None:
+def _name_before(t: Indexed, i: int) -> tuple[int, int] | None:
     """Name that ends at ``i``."""
-    low = _sentence_start(text, i)
-    part = text[low:i]
-    for k in [m.start() for m in re.finditer(rf"(?<![\w\-’']){_N}", part)]:
-        m = _NAME.match(part, k)
-        if m and m.end() == len(part) and _is_name(m.group()):
-            lead = _TITLE.match(part, k).end()
-            start = lead if lead > k and _NAME.fullmatch(part, lead) else k
-            return low + start, i
-    m = re.search(r"[一-鿿]{1,4}[ 　]?[一-鿿぀-ヿ]{0,4}$", part)
-    return (low + m.start(), i) if m else None
+    text, low = t.text, t.sentence(i)
+    for k in t.before("capital", i, _WORDS)[::-1]:
+        m = _NAME.match(text, k, i) if k >= low else None
+        if m and m.end() == i and _is_name(m.group()):
+            lead = _TITLE.match(text, k, i).end()
+            return (lead if lead > k and _NAME.fullmatch(text, lead, i) else k), i
+    m = re.compile(r"[一-鿿]{1,4}[ 　]?[一-鿿぀-ヿ]{0,4}$").search(text, max(low, i - 9), i)
+    return (m.start(), i) if m else None
 
 
 _COLON = re.compile(r"(?:\s+(?:is|ist|est|es|é))?\s*[:：]\s*|\s+[-–—]\s+")
@@ -356,8 +382,9 @@ _TO_NAME = re.compile(r"[:：]?\s+|[:：]")
 _DOES = re.compile(rf"({_FULL})((?: [^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁ][\w’']*){{1,3}} )$")
 
 
-def _person(text: str, low: str, kind: str, i: int, j: int) -> tuple[int, int] | None:
+def _person(t: Indexed, kind: str, i: int, j: int) -> tuple[int, int] | None:
     """Name at an anchor text[i:j] of a class of people; where all letters are capitals, only marks tell names."""
+    text, low = t.text, t.low
     if text[i:j].isupper() and (kind in ("relation", "role", "self") or kind == "title" and text[j : j + 1] != "."):
         return None
     if kind == "title":
@@ -377,17 +404,17 @@ def _person(text: str, low: str, kind: str, i: int, j: int) -> tuple[int, int] |
         m = re.compile(r",?\s+").match(text, j)
         return _name(text, m.end()) if m and owner and owner.group(1) in OWNERS else None
     if kind == "role":
-        before = _BEFORE_ROLE.search(text, max(0, text.rfind(",", 0, i), text.rfind("(", 0, i)), i)
+        before = _BEFORE_ROLE.search(text, max(0, i - 60), i)
         if before:
-            return _name_before(text, before.start() - (text[before.start()] == "(" and text[before.start() - 1 : before.start()] == " "))
+            end = before.start()
+            return _name_before(t, end - (text[end] == "(" and text[end - 1 : end] == " "))
         m = re.compile(r",?\s+").match(text, j)
         return _name(text, m.end()) if m else None
     if kind == "honorific":
-        return _name_before(text, i)
-    start = _sentence_start(text, i)
-    start += len(text[start:i]) - len(text[start:i].lstrip())
-    m = _DOES.match(text[start:i])
-    return (start, start + len(m.group(1))) if m and _is_name(m.group(1)) else None
+        return _name_before(t, i)
+    start = re.compile(r"\s*").match(text, t.sentence(i)).end()
+    m = _DOES.match(text, start, i)
+    return (start, m.end(1)) if m and _is_name(m.group(1)) else None
 
 
 # --- all together ----------------------------------------------------------------------------
@@ -403,7 +430,8 @@ def _word(low: str, i: int, j: int) -> bool:
     return not (low[i].isalpha() and i > 0 and (low[i - 1].isalnum())) and not (low[j - 1].isalpha() and low[j : j + 1].isalnum())
 
 
-def _at_anchor(text: str, low: str, kind: str, i: int, j: int, tried: set) -> tuple[int, int, str] | None:
+def _at_anchor(t: Indexed, kind: str, i: int, j: int, tried: set) -> tuple[int, int, str] | None:
+    text, low = t.text, t.low
     if kind == "at":
         got = _mail(text, i, j)
         return (*got, "email") if got else None
@@ -416,14 +444,14 @@ def _at_anchor(text: str, low: str, kind: str, i: int, j: int, tried: set) -> tu
         elif low[j - 1].isascii() and low[j : j + 1].isalpha() or low[i - 1 : i].isalpha() and low[i - 1].isascii():
             return None
         else:
-            at, cued = _TO_NUMBER.match(text, j).end(), True
+            at, cued = min(t.after("number", j), t.after("end", j)), True  # the first number within the sentence
         if (at, cued) in tried:
             return None
         tried.add((at, cued))
         got = _phone(text, at, cued)
         return (*got, "phone") if got else None
     if kind == "street_end":
-        got = _address_around(text, kind, i, j) if not low[j : j + 1].isalpha() else None
+        got = _address_around(t, kind, i, j) if not low[j : j + 1].isalpha() else None
         return (*got, "address") if got else None
     if not cjk and not _word(low, i, j):
         return None
@@ -437,20 +465,20 @@ def _at_anchor(text: str, low: str, kind: str, i: int, j: int, tried: set) -> tu
                 return (*got, "address")
         return None
     if kind in _FORMS:
-        got = _address_around(text, kind, i, j)
+        got = _address_around(t, kind, i, j)
         return (*got, "address") if got else None
-    got = _person(text, low, kind, i, j)
+    got = _person(t, kind, i, j)
     return (*got, "person_name") if got else None
 
 
 def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """Disjoint (start, end, kind) in order."""
-    low = _lower(text)
+    t = Indexed(text)
     hits: set[tuple[int, int, str]] = {(i, j, "id_number") for i, j in _accounts(text)}
     tried: set[tuple[int, bool]] = set()
-    for end, (size, kinds) in automaton.iter(low):
+    for end, (size, kinds) in automaton.iter(t.low):
         for kind in kinds:
-            got = _at_anchor(text, low, kind, end - size + 1, end + 1, tried)
+            got = _at_anchor(t, kind, end - size + 1, end + 1, tried)
             if got and got[0] < got[1]:
                 hits.add(got)
     out: list[tuple[int, int, str]] = []
