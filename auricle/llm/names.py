@@ -1,13 +1,18 @@
 """Link the spellings of names that people typed in many ways.
 
-Distinct names are parsed into tokens. Every name gives a few cores: its
-tokens that are no common given names or kinds of ensemble, and all its tokens
-joined. Cores live in the metric space of the unrestricted Damerau-Levenshtein
-distance: each belongs to its nearest pivot, is replicated to the pivots that
-the triangle inequality cannot rule out, and cells are joined exactly within
-the radius. Cells are cut into blocks, so none is gathered whole. Names that
-share close cores are compared part by part (typos, initials, nicknames,
-order, abbreviations); linked names form acts by label propagation.
+Distinct names are parsed into tokens; those that parse alike are one form.
+Tokens live in the metric space of the unrestricted Damerau-Levenshtein
+distance. Its pivots are one long run of each letter: the distance of a token
+to the run of ``c`` is the length of the run less the number of ``c`` in the
+token, so the distances to all pivots, its cell, need no table of pivots. A
+token within the radius differs by at most one step from each pivot (triangle
+inequality), so a token is replicated to the cells one step further from a
+pivot, and every close pair meets in a cell, where the true distance is
+computed. Cells hold near-anagrams only, whatever the number of names.
+A form meets another where a close token stands in an equal context (the other
+tokens, or their nicknames or initials); such pairs are compared part by part,
+and linked names form acts by label propagation. No token is too common, and
+none too short, to be a key, because the context is part of the key.
 
 Defined results: null, empty and blank names are left out; names differ by case
 and inner spaces; repeated rows count as one name; an initial that fits several
@@ -20,21 +25,12 @@ import re
 import unicodedata as ud
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auricle.io import materialize
 
-RADIUS = 1
-#: Pivots are drawn by hash from the cores: about a quarter of the root of their number, within these bounds.
-PIVOTS = (4, 96)
-#: Members of a cell that one task compares at once.
-BLOCK = 4000
-#: A token with more distinct companions than this is a given name or kind, not a core.
-COMPANIONS = 40
-
 # Kinds of ensemble with their abbreviations and translations (fixed values).
 KINDS = {
     "orchestra": "orchestra orch orchestre orchester orquesta orquestra orkester orchestr",
@@ -56,61 +52,25 @@ SHORT = {
     "deejay": "dj", "dr": "doctor", "doc": "doctor", "st": "saint", "st.": "saint", "capt": "captain", "cpt": "captain", "lil": "little", "lil'": "little",
     "lil’": "little", "yg": "young", "yng": "young", "elec": "electric", "nthn": "northern", "mdnt": "midnight", "n": "&", "and": "&", "+": "&", "et": "&", "und": "&", "y": "&",
 }
-# Nicknames that are no prefix or suffix of the given name (fixed values); more are learned from quoted ones.
+# Common nicknames of given names (fixed values); more are learned from quoted ones.
 NICKNAMES = {
-    "elisabeth": "betty liz elsie lisa beth liesel bess lise libby eliza",
-    "josephine": "josie jo fina joey posy",
-    "wilhelmina": "billie mina willa minnie wilma helmi",
-    "jacqueline": "jackie jacky lina",
-    "emmanuel": "manny manu",
-    "ottilie": "otti tilly tilda",
-    "mathilda": "tilda tilly mattie maddie",
-    "charlotte": "lottie charlie lotte lotta carly",
-    "gwendolyn": "gwen wendy",
-    "gabriella": "gabi ella gabby bella gaby",
-    "theodora": "dora thea teddy theo",
-    "cornelius": "neil corny nelis con",
-    "nathaniel": "nate nat nathan",
-    "bartholomew": "bart barry tolly bat",
-    "benedikt": "benno ben bene",
-    "sebastian": "bastian seb basti",
-    "aleksander": "alek sander sasha alex olek",
-    "zacharias": "zack zach zak",
-    "konstantin": "stan kostya kosta konny",
-    "valentina": "val tina vally",
-    "margarete": "greta maggie gretchen meg grete peggy",
-    "henrietta": "hetty etta hattie henny",
-    "hildegard": "hilde hilda gard gardi",
-    "dominique": "dom nika nicki nico",
-    "florence": "flo flora florrie",
-    "isidore": "izzy dory isi",
-    "rosalind": "linda roz rosie ros",
-    "antonia": "toni nia tonia",
-    "lawrence": "larry laurie lorry laz",
-    "leopold": "leo poldi pol",
-    "ignatius": "iggy nace ig",
-    "katarina": "kat kati katya rina",
-    "kimberley": "kim kimmy",
-    "patricia": "pat patty trish tricia",
-    "frederick": "fred freddie rick fritz",
-    "quentin": "quin quent",
-    "yolanda": "yola landa yoli",
-    "desmond": "des dez",
-    "ulrike": "rike uli ulli",
-    "xaver": "xavi veri",
-    "александр": "саша шура саня",
-    "николай": "коля",
-    "екатерина": "катя",
-    "мария": "маша",
-    "светлана": "света",
-    "дмитрий": "дима митя",
-    "владимир": "вова володя",
-    "анастасия": "настя ася",
-    "ольга": "оля",
-    "игорь": "гоша",
+    "abigail": "abby gail", "albert": "al bert bertie", "aleksander": "alek sander sasha alex olek", "alexander": "alex sander sasha xander", "alexandra": "alex sandra sasha", "alfred": "alf fred freddie", "amanda": "mandy",
+    "andrew": "andy drew", "anna": "annie nan ania", "anthony": "tony ant", "antonia": "toni nia tonia", "barbara": "barb babs barbie", "bartholomew": "bart barry tolly bat", "benedikt": "benno ben bene", "benjamin": "ben benny benji",
+    "catherine": "cathy kate katie cat", "charles": "charlie chuck chas", "charlotte": "lottie charlie lotte lotta carly", "christina": "chris tina chrissy", "christopher": "chris kit topher", "cornelius": "neil corny nelis con",
+    "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie", "desmond": "des dez", "dominique": "dom nika nicki nico", "donald": "don donnie", "dorothy": "dot dottie dolly", "edward": "ed eddie ted ned teddy",
+    "eleanor": "ellie nell nora", "elisabeth": "betty liz elsie lisa beth liesel bess lise libby eliza", "elizabeth": "betty liz elsie lisa beth bess libby eliza lizzie", "emmanuel": "manny manu", "eugene": "gene",
+    "florence": "flo flora florrie", "francis": "frank fran", "frederick": "fred freddie rick fritz", "gabriella": "gabi ella gabby bella gaby", "george": "georgie", "gerald": "gerry jerry", "gwendolyn": "gwen wendy", "harold": "harry hal",
+    "henrietta": "hetty etta hattie henny", "henry": "harry hank hal", "hildegard": "hilde hilda gard gardi", "ignatius": "iggy nace ig", "isabella": "bella izzy isa", "isidore": "izzy dory isi", "jacqueline": "jackie jacky lina",
+    "james": "jim jimmy jamie", "johannes": "hans hannes jo", "john": "jack johnny", "jonathan": "jon jonny nathan", "joseph": "joe joey", "josephine": "josie jo fina joey posy", "katarina": "kat kati katya rina", "kenneth": "ken kenny",
+    "kimberley": "kim kimmy", "konstantin": "stan kostya kosta konny", "lawrence": "larry laurie lorry laz", "leonard": "len lenny leo", "leopold": "leo poldi pol", "margaret": "maggie meg peggy greta", "margarete": "greta maggie gretchen meg grete peggy",
+    "mathilda": "tilda tilly mattie maddie", "matthew": "matt matty", "maximilian": "max maxi", "michael": "mike mick mickey", "nathaniel": "nate nat nathan", "nicholas": "nick nicky klaus", "ottilie": "otti tilly tilda", "patricia": "pat patty trish tricia",
+    "patrick": "pat paddy rick", "peter": "pete", "quentin": "quin quent", "rebecca": "becky bec", "richard": "rick dick rich", "robert": "bob rob bobby bert robbie", "ronald": "ron ronnie", "rosalind": "linda roz rosie ros", "samuel": "sam sammy",
+    "sebastian": "bastian seb basti", "stephen": "steve stevie", "susanne": "susi sue sanne", "theodora": "dora thea teddy theo", "thomas": "tom tommy", "timothy": "tim timmy", "ulrike": "rike uli ulli", "valentina": "val tina vally", "victoria": "vicky tori",
+    "walter": "walt wally", "wilhelmina": "billie mina willa minnie wilma helmi", "william": "bill will billy willy liam", "xaver": "xavi veri", "yolanda": "yola landa yoli", "zacharias": "zack zach zak",
+    "александр": "саша шура саня", "алексей": "алеша леша", "анастасия": "настя ася", "владимир": "вова володя", "дмитрий": "дима митя", "екатерина": "катя", "елена": "лена", "иван": "ваня", "игорь": "гоша", "мария": "маша", "михаил": "миша",
+    "наталья": "наташа", "николай": "коля", "ольга": "оля", "светлана": "света", "сергей": "сережа", "татьяна": "таня",
 }
 _KIND = {w: k for k, ws in KINDS.items() for w in ws.split()}
-_ARTICLE = {"the", "th", "hte", "teh", "tthe", "thhe", "thee", "te", "he"}
 
 
 def fold(text: str) -> str:
@@ -133,6 +93,11 @@ def near(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :] if la < lb else a[i + 1 :] == b[i:]
 
 
+def _is_article(token: str) -> bool:
+    """The article, also with a letter lost, doubled or out of place."""
+    return set(token) <= set("the") and near(token, "the")
+
+
 def _kind(token: str) -> str | None:
     got = _KIND.get(token)
     if got is None and len(token) >= 4:
@@ -166,11 +131,11 @@ def parse(name: str) -> tuple[list[str], str, str, str]:
     if "&" in words:
         at = words.index("&")
         parts = [words[:at], words[at + 1 :]]
-        parts.sort(key=lambda p: bool(p and p[0] in _ARTICLE))
-        words = [t for p in parts for t in p if t not in _ARTICLE] + ["&"]
+        parts.sort(key=lambda p: bool(p and _is_article(p[0])))
+        words = [t for p in parts for i, t in enumerate(p) if i or not _is_article(t)] + ["&"]
     kinds, tokens = [], []
     for i, t in enumerate(words):
-        if t in _ARTICLE and len(words) > 1:
+        if i == 0 and _is_article(t) and len(words) > 1:
             continue
         k = _kind(t) if len(words) > 1 else None
         if k:
@@ -202,111 +167,33 @@ def _parser(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 # --- metric space ------------------------------------------------------------------------
 
-
-def distances(texts: list[str], pivot: str) -> np.ndarray:
-    """Unrestricted Damerau-Levenshtein distance of every text to the pivot, for all texts at once."""
-    n, m = len(texts), len(pivot)
-    width = max(map(len, texts), default=0)
-    lengths = np.fromiter(map(len, texts), np.int64, n)
-    codes = np.zeros((n, width), np.uint32)
-    for i, t in enumerate(texts):
-        codes[i, : len(t)] = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-    big = np.int16(m + width)
-    d = np.empty((m + 2, width + 2, n), np.int16)
-    d[0], d[:, 0] = big, big
-    d[1, 1:] = np.arange(width + 1, dtype=np.int16)[:, None]
-    d[1:, 1] = np.arange(m + 1, dtype=np.int16)[:, None]
-    rows = np.arange(n)
-    last_row = np.zeros((width, n), np.int16)  # last row at which the pivot held the character of this column
-    for i in range(1, m + 1):
-        char = ord(pivot[i - 1])
-        last_col = np.zeros(n, np.int16)
-        for j in range(1, width + 1):
-            same = codes[:, j - 1] == char
-            k = last_row[j - 1]
-            swap = d[k, last_col, rows] + (i - k - 1) + 1 + (j - last_col - 1)
-            d[i + 1, j + 1] = np.minimum(np.minimum(d[i, j] + ~same, np.minimum(d[i + 1, j], d[i, j + 1]) + 1), swap)
-            last_col = np.where(same, np.int16(j), last_col)
-        last_row[codes.T == char] = i
-    return d[m + 1, lengths + 1, rows]
-
-
-def _assigner(pivots: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            cores = batch["core"].tolist()
-            order = np.argsort([len(c) for c in cores], kind="stable")
-            for chunk in np.array_split(order, max(1, len(order) // 2000)):
-                texts = [cores[i] for i in chunk]
-                d = np.stack([distances(texts, p) for p in pivots])
-                home = d.argmin(0)
-                # a core within the radius of a home of cell c has d(core, c) <= d(core, home) + 2 radius;
-                # of two cells only the lower numbered one needs the visit
-                guest = (d <= d[home, np.arange(len(texts))] + 2 * RADIUS) & (np.arange(len(pivots))[:, None] <= home)
-                cell, which = np.nonzero(guest)
-                yield pd.DataFrame(
-                    {"core": [texts[i] for i in which], "cell": cell, "home": cell == home[which], "d": d[cell, which].astype(int)}
-                )
-
-    return run
-
-
-def _mask(text: str) -> int:
-    out = 0
-    for c in text:
-        out |= 1 << (ord(c) * 2654435761 >> 7 & 63)
-    return out
+#: Letters of a text in order; the text that they spell stands for its distances to all pivots.
+_LETTERS = "array_join(array_sort(split(core, '')), '')"
+#: The cells one step further from one pivot: one letter less.
+_FURTHER = "transform(array_distinct(split(letters, '')), c -> xxhash64(concat(substr(letters, 1, instr(letters, c) - 1), substr(letters, instr(letters, c) + 1))))"
 
 
-def _join_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact pairs within the radius between the two blocks of one cell."""
-    rows = []
-    sides = pdf["row"].iloc[0], pdf["col"].iloc[0]
-    cores, block, home = pdf["core"].to_numpy(), pdf["block"].to_numpy(), pdf["home"].to_numpy()
-    mask = np.fromiter((_mask(c) for c in cores), np.uint64, len(cores))
-    size = np.fromiter(map(len, cores), np.int32, len(cores))
-    d = pdf["d"].to_numpy()
-    left, right = np.nonzero(block == sides[0])[0], np.nonzero(block == sides[1])[0]
-    order = right[np.argsort(size[right], kind="stable")]
-    sizes = size[order]
-    for i in left:
-        lo, hi = np.searchsorted(sizes, size[i] - 1), np.searchsorted(sizes, size[i] + 1, "right")
-        other = order[lo:hi]
-        if not len(other):
-            continue
-        ok = (np.bitwise_count(mask[other] ^ mask[i]) <= 2) & (np.abs(d[other] - d[i]) <= RADIUS) & (home[other] | home[i])
-        if sides[0] == sides[1]:
-            ok &= other > i
-        for j in other[ok]:
-            if near(cores[i], cores[j]):
-                a, b = (cores[i], cores[j]) if cores[i] < cores[j] else (cores[j], cores[i])
-                rows.append((a, b))
-    return pd.DataFrame(rows, columns=["core_a", "core_b"], dtype=object)
+def _swapped(a: Column, b: Column) -> Column:
+    """One pair of neighbours changes places."""
+    at = F.sequence(F.lit(1), F.length(a) - 1)
+    one = F.lit(1)
+    turned = lambda i: F.concat(F.substr(b, one, i - 1), F.substr(b, i + 1, one), F.substr(b, i, one), F.substr(b, i + 2))
+    return F.exists(at, lambda i: a == turned(i))
 
 
 def radius_join(cores: DataFrame) -> DataFrame:
-    """(core_a, core_b) of all pairs of different cores within the radius, code points ascending."""
-    cores = materialize(cores.where("core != ''").distinct())
-    n = cores.count()
-    if not n:
-        return cores.select(F.col("core").alias("core_a"), F.col("core").alias("core_b"))
-    want = int(min(PIVOTS[1], max(PIVOTS[0], n**0.5 / 4)))
-    drawn = cores.where(F.length("core").between(4, 24)).orderBy(F.xxhash64("core")).limit(want).collect()
-    pivots = sorted({r["core"] for r in drawn} | {"a"})
-    tasks = cores.sparkSession.sparkContext.defaultParallelism
-    placed = materialize(
-        cores.repartition(tasks).mapInPandas(_assigner(pivots), "core string, cell int, home boolean, d int")
-    )
-    # at most PIVOTS[1] + 1 rows
-    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("core"), F.col("blocks")).cast("int")
-    split = placed.join(F.broadcast(blocks), "cell").withColumn("block", block)
-    met = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "core", "cell", "home", "d", "block", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col")
+    """(core_a, core_b) of all pairs of different cores at distance one, code points ascending.
+
+    A pair meets at home (a swap), in the home of the shorter one (a letter more) or, for another letter, one step from both homes.
+    """
+    home = cores.where("core != ''").distinct().selectExpr("core", f"{_LETTERS} AS letters")
+    placed = home.selectExpr("core", "letters", "xxhash64(letters) AS cell", "true AS home").unionByName(
+        home.selectExpr("core", "letters", f"explode({_FURTHER}) AS cell", "false AS home")
     )
-    return met.groupBy("cell", "row", "col").applyInPandas(_join_block, "core_a string, core_b string").distinct()
+    a, b = placed.toDF("core_a", "letters_a", "cell", "home_a"), placed.toDF("core_b", "letters_b", "cell", "home_b")
+    swap = F.col("home_a") & F.col("home_b") & (F.col("letters_a") == F.col("letters_b")) & _swapped(F.col("core_a"), F.col("core_b"))
+    step = (F.col("letters_a") != F.col("letters_b")) & (F.levenshtein("core_a", "core_b", 1) >= 0)
+    return a.join(b, "cell").where((F.col("core_a") < F.col("core_b")) & (swap | step)).select("core_a", "core_b").distinct()
 
 
 # --- linking ------------------------------------------------------------------------------
@@ -352,7 +239,7 @@ def relation(a: dict, b: dict) -> str | None:
         return None
     # persons: one shared (or mistyped) surname, the rest are given names
     shared = [t for t in ta if t not in left]
-    if not any(len(t) > 3 for t in shared):
+    if not any(len(t) > 1 for t in shared):
         pair = next(((x, y) for x in left for y in tb if len(x) > 4 and len(y) > 4 and near(x, y)), None)
         if pair is None:
             return None
@@ -400,46 +287,74 @@ def _formal_table(parsed: DataFrame) -> DataFrame:
     return fixed.union(learned).where("nick != formal").distinct()
 
 
+def _contexts(tokens: list[str], kind: str, joined: str, formal: list[dict]) -> set[tuple[str, str, str]]:
+    """(context, core, side): forms that ``relation`` accepts share a context and have equal or close cores.
+
+    Sides ``i`` (has an initial) and ``f`` (has the given name) meet only each other.
+    """
+    long, initials = sorted(t for t in tokens if len(t) > 1), {t for t in tokens if len(t) == 1}
+    out = {("=", joined, "")}
+    stands_for = {t: {t} | {f["formal"] for f in formal if f["nick"] == t} for t in long}
+    for g, names in stands_for.items():
+        for name in names:
+            one = list(long)
+            one[one.index(g)] = name
+            out |= {(f"w{kind}|{' '.join(sorted(one[:i] + one[i + 1 :]))}", one[i], "") for i in range(len(one))}
+    if not long:
+        out.add((f"w{kind}|", " ".join(sorted(tokens)), ""))
+    if kind or "&" in tokens or "dj" in tokens:
+        # two mistyped tokens: one is the core, and one letter less of the other belongs to the context
+        typed = [t for t in tokens if len(t) > 3]
+        for x in typed:
+            for y in typed:
+                if x != y:
+                    rest = " ".join(sorted(t for t in tokens if t not in (x, y)))
+                    out |= {(f"2{kind}|{rest}|{y[:i] + y[i + 1 :]}", x, "") for i in range(len(y) + 1)}
+    elif len(long) == 1:
+        out |= {(f"i{i}", long[0], "i") for i in initials}
+    elif len(long) == 2:
+        for g, core in (long, long[::-1]):
+            out |= {(f"i{name[0]}", core, "f") for name in stands_for[g]}
+    return out
+
+
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [
+            (form, *entry)
+            for form, tokens, kind, joined, formal in zip(batch["form"], batch["tokens"], batch["kind"], batch["joined"], batch["formal"])
+            for entry in _contexts(list(tokens), kind, joined, list(formal))
+        ]
+        yield pd.DataFrame(rows, columns=["form", "context", "core", "side"], dtype=object)
+
+
 def link(names: DataFrame) -> DataFrame:
     """(name_a, name_b, how) of directly linked names from (name, n); of ``initial`` links, name_a has the initial."""
-    tasks = names.sparkSession.sparkContext.defaultParallelism
     schema = "name string, n long, tokens array<string>, kind string, nick string, joined string"
-    parsed = materialize(names.repartition(tasks).mapInPandas(_parser, schema))
-    token = parsed.select("name", F.explode("tokens").alias("token"))
+    parsed = materialize(names.repartition("name").mapInPandas(_parser, schema))
+    # names that parse alike are one form, called by its smallest name
+    spelled = F.xxhash64(F.array_sort("tokens"), "kind", "joined")
+    forms = parsed.groupBy(spelled.alias("key")).agg(F.min("name").alias("form"), F.any_value("tokens").alias("tokens"), F.any_value("kind").alias("kind"), F.any_value("joined").alias("joined"))
+    alike = parsed.withColumn("key", spelled).join(forms.select("key", "form"), "key").where("name != form")
+    alike = alike.select(F.col("form").alias("name_a"), F.col("name").alias("name_b"), F.lit("same").alias("how"))
+    token = forms.select("form", F.explode("tokens").alias("token"))
     formal = _formal_table(parsed)
-    given = token.join(formal, token["token"] == formal["nick"]).groupBy("name").agg(
-        F.collect_set(F.struct("nick", "formal")).alias("formal")
-    )
+    given = token.join(formal, token["token"] == formal["nick"]).groupBy("form").agg(F.collect_set(F.struct("nick", "formal")).alias("formal"))
     none = F.expr("cast(array() as array<struct<nick:string,formal:string>>)")
-    full = materialize(parsed.join(given, "name", "left").withColumn("formal", F.coalesce("formal", none)))
-    # companions: distinct other tokens of a token over all distinct names
-    pairs = parsed.select(F.explode("tokens").alias("token"), "joined").groupBy("token").agg(F.countDistinct("joined").alias("companions"))
-    common = pairs.where(F.col("companions") > COMPANIONS).select("token")
-    rare = token.where(F.length("token") > 3).join(common, "token", "left_anti").select("name", F.col("token").alias("core"))
-    # names of common tokens only are told apart by token and initials
-    initials = F.array_join(F.array_sort(F.transform("tokens", lambda t: F.substr(t, F.lit(1), F.lit(1)))), "")
-    plain = (
-        parsed.join(rare.select("name").distinct(), "name", "left_anti")
-        .select("name", F.explode("tokens").alias("token"), initials.alias("initials"))
-        .where(F.length("token") > 3)
-        .select("name", F.concat_ws("|", "token", "initials").alias("core"))
-    )
-    cores = materialize(rare.union(plain).union(parsed.select("name", F.concat(F.lit("="), "joined").alias("core"))).distinct())
-    close = radius_join(cores.select("core"))
-    same = cores.select("core").distinct().select(F.col("core").alias("core_a"), F.col("core").alias("core_b"))
-    left = cores.select(F.col("core").alias("core_a"), F.col("name").alias("name_a"))
-    right = cores.select(F.col("core").alias("core_b"), F.col("name").alias("name_b"))
-    met = (
-        close.union(same)
-        .join(left, "core_a")
-        .join(right, "core_b")
-        .where(F.col("name_a") != F.col("name_b"))
-        .select(F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"))
-        .distinct()
-    )
-    one = full.select(F.col("name"), F.struct("name", "n", "tokens", "kind", "joined", "formal").alias("s"))
-    candidates = met.join(one.toDF("name_a", "a"), "name_a").join(one.toDF("name_b", "b"), "name_b").select("a", "b")
-    return candidates.mapInPandas(_compare, "name_a string, name_b string, how string")
+    full = materialize(forms.drop("key").join(given, "form", "left").withColumn("formal", F.coalesce("formal", none)))
+    entries = full.repartition("form").mapInPandas(_entries, "form string, context string, core string, side string")
+    entries = materialize(entries.select("form", F.xxhash64("context").alias("context"), "core", "side"))
+    close = radius_join(entries.where(F.length("core") > 3).select("core"))
+    either = close.union(close.select("core_b", "core_a")).toDF("core", "other")
+    left = entries.where("side != 'f'").withColumnRenamed("form", "form_a")
+    near_by = left.join(either, "core").select("form_a", "side", "context", F.col("other").alias("core"))
+    right = entries.where("side != 'i'").select(F.col("form").alias("form_b"), "context", "core", F.col("side").alias("side_b"))
+    met = left.select("form_a", "side", "context", "core").unionByName(near_by).join(right, ["context", "core"])
+    met = met.where("(side = '' and side_b = '' and form_a < form_b) or (side = 'i' and side_b = 'f')")
+    pairs = met.select(F.least("form_a", "form_b").alias("form_a"), F.greatest("form_a", "form_b").alias("form_b")).distinct()
+    one = full.select("form", F.struct(F.col("form").alias("name"), "tokens", "kind", "joined", "formal").alias("s"))
+    candidates = pairs.join(one.toDF("form_a", "a"), "form_a").join(one.toDF("form_b", "b"), "form_b").select("a", "b")
+    return alike.unionByName(candidates.mapInPandas(_compare, "name_a string, name_b string, how string"))
 
 
 def acts(names: DataFrame) -> DataFrame:
@@ -471,9 +386,8 @@ def acts(names: DataFrame) -> DataFrame:
 def propagate(links: DataFrame) -> DataFrame:
     """(name, act) for the connected parts of the links, by smallest label with pointer jumping."""
     edges = materialize(links.union(links.select("name_b", "name_a")).toDF("name", "other").distinct())
-    labels = edges.groupBy("name").agg(F.least(F.min("other"), F.col("name")).alias("act"))
+    labels = materialize(edges.groupBy("name").agg(F.least(F.min("other"), F.col("name")).alias("act")))
     while True:
-        labels = materialize(labels)
         near_by = edges.join(labels.toDF("other", "their"), "other").groupBy("name").agg(F.min("their").alias("their"))
         lower = labels.join(near_by, "name").select("name", "act", F.least("act", "their").alias("new"))
         jump = labels.toDF("new", "next")

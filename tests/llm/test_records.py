@@ -31,21 +31,24 @@ def words(n, seed=1):
     return sorted(set(base))
 
 
-def test_distances():
+def test_near():
     texts = words(60)
-    for p in texts[:12]:
-        assert list(names.distances(texts, p)) == [damerau(t, p) for t in texts]
     for a, b in itertools.product(texts, texts):
         assert names.near(a, b) == (damerau(a, b) <= 1)
 
 
-def test_radius_join(spark, monkeypatch):
-    texts = words(150, 2)
-    want = {(a, b) for a, b in itertools.combinations(texts, 2) if damerau(a, b) <= 1}
-    df = spark.createDataFrame([(t,) for t in texts * 2], "core string")
-    for block in (4000, 9):
-        monkeypatch.setattr(names, "BLOCK", block)
-        assert {tuple(r) for r in names.radius_join(df).collect()} == want
+def test_distances_to_pivots():
+    """A run of one letter is as far as its length less the number of that letter."""
+    for t in words(40):
+        for c in "abcdefx":
+            assert damerau(t, c * 9) == 9 - t.count(c)
+
+
+def test_radius_join(spark):
+    texts = [*words(150, 2), "naïve", "naive", "näive", "白根", "白根沢", "根白", "x😀y", "x😀", "😀xy"]
+    want = {(a, b) for a, b in itertools.combinations(sorted(texts), 2) if damerau(a, b) <= 1}
+    df = spark.createDataFrame([(t,) for t in texts * 2 + [""]], "core string")
+    assert {tuple(r) for r in names.radius_join(df).collect()} == want
     assert names.radius_join(df.limit(0)).count() == 0
 
 
@@ -74,6 +77,39 @@ def test_ambiguous_initial(spark):
     assert names.acts(df).count() == 0
 
 
+def test_links_against_brute_force(spark):
+    """The keys lose no pair that the comparison accepts, also where a surname, a given name or a kind is common."""
+    rng = random.Random(7)
+    given = ["Elisabeth", "Betty", "Robert", "Bob", "Li", "Jo", "Wilhelmina", "Mina", "Xaver", "E.", "R.", "W. M."]
+    last = ["Jebuhuton", "Jebuhutn", "Ng", "Kim", "Pazetuton", "Paz-Etuton", "Northern Bribra", "Nrothern Bribar"]
+    people = [f"{rng.choice(given)} {rng.choice(last)}" for _ in range(120)] + [f"{rng.choice(last)}, {rng.choice(given)}" for _ in range(60)]
+    bands = [f"{rng.choice(['The ', 'Teh ', ''])}{a} {b} {k}".strip() for a in ("Velvet", "Velvte", "Silver") for b in ("Harbour", "Harbor", "Bridge") for k in ("Quartet", "4tet", "Trio", "")]
+    every = sorted({*people, *bands, "DJ Ravazu Kelp", "Deejay Ravzu Klep", "Ravazu & Kelpit", "Kelptit & Ravaz"})
+    got = {frozenset(r[:2]) for r in names.link(spark.createDataFrame([(n, 1) for n in every], "name string, n long")).collect()}
+    table = {(names.fold(n), names.fold(g)) for g, ns in names.NICKNAMES.items() for n in ns.split()}
+    parsed = []
+    for n in every:
+        tokens, kind, _, joined = names.parse(n)
+        parsed.append({"name": n, "tokens": tokens, "kind": kind, "joined": joined, "formal": [{"nick": a, "formal": b} for a, b in table if a in tokens]})
+    alike = {}
+    for x in parsed:
+        alike.setdefault((tuple(sorted(x["tokens"])), x["kind"], x["joined"]), []).append(x["name"])
+    heads = {min(v) for v in alike.values()}
+    want = {frozenset((min(v), n)) for v in alike.values() for n in v if n != min(v)}
+    want |= {frozenset((a["name"], b["name"])) for a, b in itertools.combinations([x for x in parsed if x["name"] in heads], 2) if names.relation(a, b)}
+    assert got == want and len(want) > 100
+
+
+def test_common_surname(spark):
+    """A surname of 500 companions keeps its nicknames, initials and typos."""
+    rng = random.Random(3)
+    crowd = {"".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).capitalize() + " Pazetuton" for _ in range(500)}
+    mine = ["Gwendolyn Pazetuton", "Wendy Pazetuton", "Gwendoly Pazetuton", "G. Q. Pazetuton"]
+    labels = names.acts(spark.createDataFrame([(n, 1) for n in [*crowd, *mine]], "name string, n long"))
+    act = {r["name"]: r["act"] for r in labels.collect()}
+    assert act["Gwendolyn Pazetuton"] == act["Wendy Pazetuton"] == act["Gwendoly Pazetuton"]
+
+
 def test_credited(spark):
     from pyspark.sql import functions as F
 
