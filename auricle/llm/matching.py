@@ -1,15 +1,20 @@
 """Match records of two sources that share no key, with a confidence.
 
 Titles, acts and paths of both sources are brought to plain keys inside the
-JVM. Rows of different sources meet by an equi-join over hashes of a title,
-a version and a part of the act's name, titles and parts within one edit; this
-covers every pair that the weighted similarities of the fields accept, however
-far apart sorting would put the two. A song goes to the track of highest
-confidence; as songs are the only side that may be used once, this
-assignment has the highest total confidence.
-
-Defined results: null and empty titles match by the path alone; rows without
-any name of an act match nothing; versions (live, remix, edit) must agree, while
+JVM. Every row has several composite sort keys of a title, a version and a part
+of the act's name. Rows are neighbours where their keys are equal or their
+titles and parts are within one edit. A window of a fixed number of rows would
+lose neighbours as soon as a title is common, so the window of the sorted
+neighbourhood is measured in edits: it holds the whole run of equal keys and
+the runs one edit away, which are looked up among the distinct titles and
+parts. Neighbours are compared by weighted similarities of their fields. A song
+goes to the track of highest confidence; as songs are the only side that may be
+used once, this assignment has the highest total confidence.
+
+Defined results: null and empty titles match by the path alone; a
+folder that resembles the artist is another name of the act; where none does or
+the artist is missing, each folder may be one, but only a name of the other side
+confirms it, or the heads of both files' names; rows without any name of an act match nothing; versions (live, remix, edit) must agree, while
 featured guests and remaster notes are ignored; ties go to the smaller track
 id; empty tables give an empty result; extra columns are ignored.
 """
@@ -20,24 +25,18 @@ import unicodedata as ud
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auricle.io import materialize
 from auricle.llm.lookalikes import LOOK_ALIKE
-from auricle.llm.names import near, parse, relation
+from auricle.llm.names import near, parse, relation, swapped
 
-WINDOW = 8
 #: Weights of title, act and path, and the confidence from which a pair counts.
 WEIGHTS = (0.55, 0.35, 0.10)
 LEAST = 0.80
 
-#: Rows of one source that a task of the sorted pass takes, so that tasks stay alike at any size.
-ROWS_PER_TASK = 50_000
-#: Folder names that are no acts (fixed values).
-ROOTS = ["music", "library", "upload", "archive", "audio", "sets", "tonlager", "vinyl rips", "ingest", "misc", "srv", "media", ""]
 _GUEST = r"(?i)\s*[\(\[](?:feat\.?|ft\.?|featuring|with)\s[^\)\]]*[\)\]]|\s(?:feat\.|ft\.|featuring)\s[^\(\)\[\]]*"
 _NOTE = r"(?i)\s*(?:[\(\[]|\s-\s)\s*(?:(?:\d{4}\s)?remaster(?:ed)?(?:\s\d{4})?(?:\sversion)?|album version|single version|mono|stereo|bonus track|explicit)\s*[\)\]]?"
 _VERSION = (
@@ -55,6 +54,7 @@ def _accents() -> tuple[str, str]:
 
 
 _FROM, _TO = _accents()
+_FIELDS = ["title", "acts", "version", "path_title", "maybe", "path_version"]
 
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
@@ -110,56 +110,49 @@ def _title_parts(rows: DataFrame, source: str, base: str, version: str) -> DataF
 
 
 def keys(rows: DataFrame, side: int, key: str, title: str, artist: str, path: str) -> DataFrame:
-    """(side, id, title, act, version, path_title, path_act, path_version) of one source."""
-    parts = F.filter(
-        F.split(F.coalesce(F.col(path), F.lit("")), r"[\\/]"),
-        lambda p: ~F.lower(p).isin(ROOTS) & ~p.rlike(r"^([A-Za-z]:|\d{4}|.)$"),
-    )
+    """(side, id, title, acts, version, path_title, maybe, path_version) of one source.
+
+    ``acts`` are the artist and the folder or head of the file's name that resembles it; where none does, ``maybe`` are the head and all folders.
+    """
+    parts = F.filter(F.split(F.coalesce(F.col(path), F.lit("")), r"[\\/]"), lambda p: ~p.rlike(r"^([A-Za-z]:|\d{4}|.|)$"))
     file = F.coalesce(F.regexp_replace(F.try_element_at("parts", F.lit(-1)), r"\.\w{2,5}$", ""), F.lit(""))
     slug = (F.instr("file", " ") == 0) & (F.instr("file", "_") > 0)
     spaced = F.when(slug, F.replace("file", F.lit("_"), F.lit(" "))).otherwise(F.col("file"))
-    folder = F.when(F.size("parts") > 1, F.replace(F.substring_index(F.element_at("parts", 1), " - ", 1), F.lit("_"), F.lit(" ")))
     bare = F.regexp_replace("spaced", r"^(?:\[\d+\]|\d{1,2}\s?[-.]|\d{1,2})\s+|^\([^)]*\)-", "")
-    dash = F.instr("bare", " - ")
+    none = F.expr("cast(array() as array<string>)")
+    named = lambda p: F.replace(F.substring_index(p, " - ", 1), F.lit("_"), F.lit(" "))
+    starts = F.transform(F.filter(F.split("act", " "), lambda t: F.length(t) > 3), lambda t: F.concat(F.lit(" "), F.substr(t, F.lit(1), F.lit(3))))
+    flat = lambda p: F.concat(F.lit(" "), F.translate(F.lower(p), "_" + _FROM, " " + _TO))
+    resembles = lambda p: F.exists("starts", lambda t: F.instr(flat(p), t) > 0)
     out = (
         rows.select(F.col(key).alias("id"), F.coalesce(F.col(title), F.lit("")).alias("t"), F.coalesce(F.col(artist), F.lit("")).alias("a"), parts.alias("parts"))
         .withColumn("t", legible(F.col("t")))
         .withColumn("a", legible(F.col("a")))
         .withColumn("act", plain(F.col("a")))
         .withColumn("file", file)
-        .withColumn("folder", F.coalesce(folder, F.lit("")))
-        .withColumn("path_act", plain(F.col("folder")))
+        .withColumn("folders", F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))))
         .withColumn("spaced", spaced)
         .withColumn("bare", bare)
-        .withColumn("dash", dash)
+        .withColumn("dash", F.instr("bare", " - "))
         .withColumn("lead", F.when(F.col("dash") > 1, F.substr("bare", F.lit(1), F.col("dash") - 1)).otherwise(""))
-        .withColumn("led", plain(F.col("lead")))
-    )
-    own = (F.col("led") != "") & ((F.col("led") == F.col("path_act")) | (F.col("path_act") == ""))
-    none = F.col("bare").rlike(r"^track[ _]\d+$")
-    out = (
-        out.withColumn("none", none)
-        .withColumn("rest", F.when(F.col("none"), "").when(own, F.substr("bare", F.col("dash") + 3)).otherwise(F.col("bare")))
-        .withColumn("path_act", F.when(F.col("none"), "").when(F.col("path_act") == "", F.col("led")).otherwise(F.col("path_act")))
+        .withColumn("led", F.when(F.col("lead") == "", "").otherwise(plain(F.col("lead"))))
+        .withColumn("starts", starts)
+        .withColumn("folder", F.coalesce(F.try_element_at(F.filter("folders", resembles), F.lit(1)), F.when(resembles(F.col("lead")), F.col("lead")), F.lit("")))
+        .withColumn("folder_act", F.when(F.col("folder") == "", "").otherwise(plain(named(F.col("folder")))))
+        # all folders are read only where they are asked
+        .withColumn("every", F.when(F.col("folder") == "", F.transform("folders", lambda p: plain(named(p)))).otherwise(none))
+        .withColumn("none", F.col("bare").rlike(r"^track[ _]\d+$"))
     )
+    own = (F.col("led") != "") & ((F.col("act") == "") | (F.col("led") == F.col("act")) | (F.col("led") == F.col("folder_act")) | F.array_contains("every", F.col("led")) | (F.size("folders") == 0))
+    rest = F.when(F.col("none"), "").when(own, F.substr("bare", F.col("dash") + 3)).otherwise(F.col("bare"))
+    filled = lambda *xs: F.array_distinct(F.filter(F.concat(*xs), lambda x: x != ""))
+    out = out.withColumn("rest", rest).withColumn("acts", filled(F.array("act", "folder_act"))).withColumn("maybe", filled(F.array(F.when(own, F.col("led")).otherwise("")), F.col("every")))
+    out = out.withColumn("maybe", F.when(F.col("folder") == "", F.array_except("maybe", "acts")).otherwise(none))
     out = _title_parts(_title_parts(out, "t", "title", "version"), "rest", "path_title", "path_version")
-    return out.select(F.lit(side).alias("side"), "id", "title", "act", "version", "path_title", "path_act", "path_version")
-
-
-# --- window -------------------------------------------------------------------------
+    return out.select(F.lit(side).alias("side"), "id", *_FIELDS)
 
 
-def _masks(texts: list[str]) -> np.ndarray:
-    """One bit per character class that a text holds."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
-    bits = np.uint64(1) << ((codes.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(7)) & np.uint64(63))
-    out = np.zeros(len(texts), np.uint64)
-    filled = sizes > 0
-    if len(bits):
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[filled]
-        out[filled] = np.bitwise_or.reduceat(bits, starts)
-    return out
+# --- comparison -----------------------------------------------------------------------
 
 
 def _digits(text: str) -> str:
@@ -189,99 +182,29 @@ def _named(name: str) -> dict:
 
 
 def compare(x: tuple, y: tuple) -> float:
-    """Confidence that two rows (title, act, version, path_title, path_act, path_version) are the same recording.
+    """Confidence that two rows (title, acts, version, path_title, maybe, path_version) are the same recording.
 
     0 where versions, titles or acts disagree.
     """
-    xt, xa, xv, xp, xpa, xpv = x
-    yt, ya, yv, yp, ypa, ypv = y
+    xt, xa, xv, xp, xm, xpv = x
+    yt, ya, yv, yp, ym, ypv = y
     path = WEIGHTS[2] * (1.0 if xp and xp == yp else 0.5)
-    if xv == yv and xt and xt == yt and xa and xa == ya:
+    if xv == yv and xt and xt == yt and len(xa) and len(ya) and xa[0] == ya[0]:
         return WEIGHTS[0] + WEIGHTS[1] + path
     versions = [{v, *([pv] if pv else [])} if t else {pv} for t, v, pv in ((xt, xv, xpv), (yt, yv, ypv))]
     if not versions[0] & versions[1]:
         return 0.0
     title = max(_close(xt, yt), 0.98 * _close(xp, yp), 0.98 * _close(xt, yp), 0.98 * _close(xp, yt))
-    act = title and _act({xa, xpa} - {""}, {ya, ypa} - {""})
+    if not title:
+        return 0.0
+    if len(xa) or len(ya):
+        act = max(_act({*xa, *xm}, {*ya}), _act({*xa}, {*ya, *ym}))
+    else:  # the heads of the files' names must agree
+        act = float(len(xm) > 0 and len(ym) > 0 and xm[0] == ym[0])
     return WEIGHTS[0] * title + WEIGHTS[1] * act + path if act else 0.0
 
 
-_COLUMNS = ["side", "id", "title", "act", "version", "path_title", "path_act", "path_version"]
-
-
-def _window(rows: pd.DataFrame, fresh: int) -> list[tuple[str, str, float]]:
-    """Pairs of sorted rows at most WINDOW apart, of which one at least is among the last ``fresh``."""
-    n = len(rows)
-    if n < 2:
-        return []
-    side = rows["side"].to_numpy(dtype=np.int8)
-    columns = [rows[c].tolist() for c in _COLUMNS[1:]]
-    ids, titles, paths = columns[0], columns[1], columns[4]
-    kinds = [(_masks(t), np.fromiter(map(len, t), np.int32, n)) for t in (titles, paths)]
-    record = list(zip(*columns[1:]))
-    out = []
-    for k in range(1, min(WINDOW, n - 1) + 1):
-        b = np.arange(max(k, n - fresh), n)
-        a = b - k
-        keep = side[a] != side[b]
-        a, b = a[keep], b[keep]
-        ok = np.zeros(len(a), bool)
-        for ma, la in kinds:
-            for mb, lb in kinds:
-                ok |= (np.bitwise_count(ma[a] ^ mb[b]) <= 2) & (np.abs(la[a] - lb[b]) <= 1) & (la[a] > 0)
-        for i, j in zip(a[ok].tolist(), b[ok].tolist()):
-            if side[i]:
-                i, j = j, i
-            got = compare(record[i], record[j])
-            if got >= LEAST:
-                out.append((ids[i], ids[j], round(got, 6)))
-    return out
-
-
-_PAIR = ["metadata_id", "song_id", "confidence"]
-_SCHEMA = (
-    "metadata_id string, song_id string, confidence double, border int, place int, "
-    "side int, id string, title string, act string, version string, path_title string, path_act string, path_version string"
-)
-
-
-def _output(rows: pd.DataFrame) -> pd.DataFrame:
-    """All output columns, absent values as None."""
-    out = rows.reindex(columns=[*_PAIR, "border", "place", *_COLUMNS]).astype(object)
-    return out.where(out.notna(), None)
-
-
-def _slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Windows inside one sorted partition; its first and last rows go out too, for the borders."""
-    tail, head, part = None, None, 0
-    for batch in batches:
-        if not len(batch):
-            continue
-        part = int(batch["part"].iloc[0])
-        batch = batch[_COLUMNS].astype(object)
-        rows = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
-        pairs = _window(rows, len(batch))
-        head = rows.head(WINDOW) if head is None or len(head) < WINDOW else head
-        tail = rows.tail(WINDOW)
-        yield _output(pd.DataFrame(pairs, columns=_PAIR).assign(border=-1, place=0))
-    if tail is not None:
-        for border, rows, shift in ((part - 1, head, WINDOW), (part, tail, 0)):
-            yield _output(rows.assign(border=border, place=np.arange(len(rows)) + shift))
-
-
-def _at_border(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("place")
-    fresh = int((rows["place"] >= WINDOW).sum())
-    if fresh == len(rows):
-        return pd.DataFrame([], columns=_PAIR)
-    return pd.DataFrame(_window(rows[_COLUMNS].reset_index(drop=True), fresh), columns=_PAIR)
-
-
-# --- complete candidates --------------------------------------------------------------
-
-
-def _filled(*columns: str) -> Column:
-    return F.array_distinct(F.filter(F.array(*columns), lambda x: x != ""))
+# --- neighbours -------------------------------------------------------------------------
 
 
 def _cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,37 +214,56 @@ def _cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for side, act in zip(batch["side"], batch["act"]):
             tokens, _, _, joined = parse(act)
             longer = {t for t in tokens if len(t) > 3}
+            if len(longer) < 2:
+                longer |= {t for t in tokens if len(t) > 1}
             rows += [(side, act, core) for core in {act.replace(" ", ""), joined, *(longer or {"".join(sorted(tokens))})} if core]
         yield pd.DataFrame(rows, columns=["side", "act", "core"]).astype({"side": "int32"})
 
 
-def _within_one_edit(texts: DataFrame, text: str) -> DataFrame:
-    """(song_hash, track_hash) of texts of the two sides at most one edit apart.
+def _halves(text: Column) -> Column:
+    """Hashes of (length, half, letters) of the two halves of a text."""
+    n = F.length(text)
+    h = (n / 2).cast("int")
+    return F.array(F.xxhash64(n, F.lit(1), F.substr(text, F.lit(1), h)), F.xxhash64(n, F.lit(2), F.substr(text, h + 1)))
+
+
+def _halves_within_one_edit(text: Column) -> Column:
+    """Hashes of all halves that a text within one edit of this one can have in common with it, by its length."""
+    n, one = F.length(text), F.lit(1)
+    h, short, long = (n / 2).cast("int"), ((n - 1) / 2).cast("int"), ((n + 1) / 2).cast("int")
+    first = lambda size, k: F.xxhash64(size, F.lit(1), F.substr(text, one, k))
+    second = lambda size, at: F.xxhash64(size, F.lit(2), F.substr(text, at))
+    # neighbours on both sides of the middle that change places touch both halves
+    turned = F.xxhash64(n, F.lit(1), F.concat(F.substr(text, one, h - 1), F.substr(text, h + 1, one)))
+    return F.array_distinct(F.array(first(n, h), second(n, h + 1), turned, first(n - 1, short), second(n - 1, short + 2), first(n + 1, long), second(n + 1, long)))
+
+
+def _one_edit_away(texts: DataFrame, text: str) -> DataFrame:
+    """(hash, near) of different texts (side 1, side 0) within one edit, as hashes.
 
-    Such texts are equal after at most one letter is left out of each, so this is an equi-join without hot keys.
+    One edit leaves one half of a text as it is, so the texts meet there and the true distance decides.
     """
-    c = F.col(text)
-    less = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.xxhash64(F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1))))
-    left_out = F.array_distinct(F.concat(F.array(F.xxhash64(c)), less))
-    side = lambda n, name: texts.where(F.col("side") == n).select(text).distinct().select(F.xxhash64(c).alias(name), F.explode(left_out).alias("rest"))
-    return side(0, "track_hash").join(side(1, "song_hash"), "rest").select("song_hash", "track_hash").distinct()
+    ours = texts.where(F.col("side") == 1).select(F.col(text).alias("a")).distinct().where("a != ''")
+    theirs = texts.where(F.col("side") == 0).select(F.col(text).alias("b")).distinct().where("b != ''")
+    met = ours.select("a", F.explode(_halves_within_one_edit(F.col("a"))).alias("half")).join(theirs.select("b", F.explode(_halves(F.col("b"))).alias("half")), "half")
+    swap = (F.length("a") == F.length("b")) & (F.length("a") > 1) & swapped(F.col("a"), F.col("b"))
+    one = met.where((F.col("a") != F.col("b")) & ((F.levenshtein("a", "b", 1) >= 0) | swap))
+    return one.select(F.xxhash64("a").alias("hash"), F.xxhash64("b").alias("near")).distinct()
 
 
-def _block_keys(rows: DataFrame, titles: DataFrame | None, cores: DataFrame) -> DataFrame:
-    """(id, key): each way to combine a title, a version and a core of the act of a row, as its hash."""
+def _sort_keys(rows: DataFrame, cores: DataFrame) -> DataFrame:
+    """(row, title, version, core) as hashes: each way to combine a title, a version and a part of the act of a row."""
     own = F.array_distinct(F.filter(F.array("version", "path_version"), lambda v: (v != "") | (F.col("version") == "")))
     versions = F.when(F.col("title") == "", F.array("path_version")).when(F.col("path_version") == "", F.array("version")).otherwise(own)
+    titles = F.array_distinct(F.filter(F.array("title", "path_title"), lambda x: x != ""))
     hashed = lambda texts: F.transform(texts, lambda x: F.xxhash64(x))
-    acts = hashed(_filled("act", "path_act")).alias("acts")
-    out = rows.select("id", hashed(versions).alias("versions"), acts, F.explode(hashed(_filled("title", "path_title"))).alias("title_hash"))
-    if titles is not None:
-        out = out.join(titles.withColumnRenamed("song_hash", "title_hash"), "title_hash").withColumn("title_hash", F.col("track_hash"))
-    out = out.select("id", "acts", "title_hash", F.explode("versions").alias("version"))
-    out = out.select("id", F.explode("acts").alias("act_hash"), F.xxhash64("title_hash", "version").alias("part"))
-    return out.join(cores, "act_hash").select("id", F.xxhash64("part", "core_hash").alias("key"))
+    out = rows.select("row", hashed(_acts()).alias("acts"), hashed(versions).alias("versions"), F.explode(hashed(titles)).alias("title"))
+    out = out.select("row", "title", "acts", F.explode("versions").alias("version")).select("row", "title", "version", F.explode("acts").alias("act"))
+    return out.join(cores.select(F.xxhash64("act").alias("act"), F.xxhash64("core").alias("core")), "act").select("row", "title", "version", "core")
 
 
-_FIELDS = ["title", "act", "version", "path_title", "path_act", "path_version"]
+def _acts() -> Column:
+    return F.concat("acts", "maybe")
 
 
 def _confident(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,31 +277,34 @@ def _confident(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """(metadata_id, song_id, confidence) of all pairs that ``compare`` accepts.
 
-    It accepts only rows with a title of each within one edit, a common version, and acts with cores within one edit;
-    these three make the keys of an equi-join, so no pair depends on the number of rows between its two.
+    It accepts only rows with a title of each within one edit, a common version, and acts with parts within one edit;
+    these three make the sort keys, so no pair depends on the number of rows between its two. Rows go by number until
+    the pairs are known.
     """
-    rows = materialize(left.unionByName(right))
-    tasks = rows.sparkSession.sparkContext.defaultParallelism
-    acts = rows.select("side", F.explode(_filled("act", "path_act")).alias("act")).distinct()
-    cores = materialize(acts.repartition(tasks).mapInPandas(_cores, "side int, act string, core string"))
-    hashed = cores.select("side", F.xxhash64("act").alias("act_hash"), F.xxhash64("core").alias("core_hash"))
-    titles = _within_one_edit(rows.select("side", F.explode(_filled("title", "path_title")).alias("title")), "title")
-    close = _within_one_edit(cores, "core")
-    of_songs = hashed.where("side = 1").join(close, F.col("core_hash") == F.col("song_hash")).select("act_hash", F.col("track_hash").alias("core_hash"))
-    track_keys = _block_keys(rows.where("side = 0"), None, hashed.where("side = 0").select("act_hash", "core_hash"))
-    song_keys = _block_keys(rows.where("side = 1"), titles, of_songs.distinct())
-    ids = track_keys.withColumnRenamed("id", "metadata_id").join(song_keys.withColumnRenamed("id", "song_id"), "key").select("metadata_id", "song_id").distinct()
-    track = rows.where("side = 0").select(F.col("id").alias("metadata_id"), *[F.col(f).alias(f"track_{f}") for f in _FIELDS])
-    song = rows.where("side = 1").select(F.col("id").alias("song_id"), *[F.col(f).alias(f"song_{f}") for f in _FIELDS])
-    met = ids.join(track, "metadata_id").join(song, "song_id")
-    found = met.mapInPandas(_confident, "metadata_id string, song_id string, confidence double")
-    return found.groupBy("metadata_id", "song_id").agg(F.max("confidence").alias("confidence"))
+    rows = materialize(left.unionByName(right).withColumn("row", F.monotonically_increasing_id()))
+    tracks, songs = rows.where("side = 0"), rows.where("side = 1")
+    acts = rows.select("side", F.explode(_acts()).alias("act")).distinct()
+    cores = materialize(acts.repartition("act").mapInPandas(_cores, "side int, act string, core string"))
+    near_title = _one_edit_away(rows.select("side", F.explode(F.array("title", "path_title")).alias("title")), "title")
+    near_core = materialize(_one_edit_away(cores, "core"))
+    mine = _sort_keys(songs, cores.where("side = 1"))
+    mine = mine.unionByName(mine.join(near_core, mine["core"] == near_core["hash"]).select("row", "title", "version", F.col("near").alias("core")))
+    mine = materialize(mine)
+    mine = mine.unionByName(mine.join(near_title, mine["title"] == near_title["hash"]).select("row", F.col("near").alias("title"), "version", "core"))
+    run = F.xxhash64("title", "version", "core").alias("run")
+    theirs = _sort_keys(tracks, cores.where("side = 0")).select(F.col("row").alias("track"), run)
+    met = theirs.join(mine.select(F.col("row").alias("song"), run), "run").select("track", "song").distinct()
+    track = tracks.select(F.col("row").alias("track"), F.col("id").alias("metadata_id"), *[F.col(f).alias(f"track_{f}") for f in _FIELDS])
+    song = songs.select(F.col("row").alias("song"), F.col("id").alias("song_id"), *[F.col(f).alias(f"song_{f}") for f in _FIELDS])
+    found = met.join(track, "track").join(song, "song").mapInPandas(_confident, "metadata_id string, song_id string, confidence double")
+    return found
 
 
 def assign(pairs: DataFrame) -> DataFrame:
-    """The best track of each song."""
-    order = Window.partitionBy("song_id").orderBy(F.desc("confidence"), "metadata_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
+    """The best track of each song: every song has at most one, while a track may have several."""
+    best = F.struct((-F.col("confidence")).alias("c"), "metadata_id")
+    top = pairs.groupBy("song_id").agg(F.min(best).alias("b"))
+    return top.select(F.col("b.metadata_id").alias("metadata_id"), "song_id", (-F.col("b.c")).alias("confidence"))
 
 
 def match(tracks: DataFrame, songs: DataFrame) -> DataFrame:

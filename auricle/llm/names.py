@@ -173,7 +173,7 @@ _LETTERS = "array_join(array_sort(split(core, '')), '')"
 _FURTHER = "transform(array_distinct(split(letters, '')), c -> xxhash64(concat(substr(letters, 1, instr(letters, c) - 1), substr(letters, instr(letters, c) + 1))))"
 
 
-def _swapped(a: Column, b: Column) -> Column:
+def swapped(a: Column, b: Column) -> Column:
     """One pair of neighbours changes places."""
     at = F.sequence(F.lit(1), F.length(a) - 1)
     one = F.lit(1)
@@ -191,7 +191,7 @@ def radius_join(cores: DataFrame) -> DataFrame:
         home.selectExpr("core", "letters", f"explode({_FURTHER}) AS cell", "false AS home")
     )
     a, b = placed.toDF("core_a", "letters_a", "cell", "home_a"), placed.toDF("core_b", "letters_b", "cell", "home_b")
-    swap = F.col("home_a") & F.col("home_b") & (F.col("letters_a") == F.col("letters_b")) & _swapped(F.col("core_a"), F.col("core_b"))
+    swap = F.col("home_a") & F.col("home_b") & (F.col("letters_a") == F.col("letters_b")) & swapped(F.col("core_a"), F.col("core_b"))
     step = (F.col("letters_a") != F.col("letters_b")) & (F.levenshtein("core_a", "core_b", 1) >= 0)
     return a.join(b, "cell").where((F.col("core_a") < F.col("core_b")) & (swap | step)).select("core_a", "core_b").distinct()
 

@@ -146,27 +146,48 @@ def test_matches(spark):
     assert matching.match(tracks.limit(0), songs).count() == 0
 
 
-def test_window_borders(spark, monkeypatch):
-    """Ranges of any number give the same pairs."""
-    rng = random.Random(4)
-    tracks = [(f"t{i:03}", f"Title {rng.choice('abcdefgh')}{i} Moth", f"Act {i % 9}", f"/srv/media/music/Act {i % 9}/Title {i}.mp3") for i in range(120)]
-    songs = [(f"s{i:03}", t[1], t[2], "") for i, t in enumerate(tracks)]
+def _keyed(spark, tracks, songs):
     a = spark.createDataFrame(tracks, "metadata_id string, title string, artist string, full_path string")
     b = spark.createDataFrame(songs, "song_id string, title string, artist string, path string")
-    left, right = matching.keys(a, 0, "metadata_id", "title", "artist", "full_path"), matching.keys(b, 1, "song_id", "title", "artist", "path")
-    whole = {tuple(r) for r in matching.candidates(left, right).collect()}
-    assert len({p[1] for p in whole}) == 120
-    rows = left.unionByName(right).toPandas().sort_values(["title", "act", "side", "id"])
-    for cut in (1, 5, 100, 119):
-        parts = [rows.iloc[:cut].assign(part=0), rows.iloc[cut:].assign(part=1)]
-        out = [x for p in parts for x in matching._slide(iter([p]))]
-        import pandas as pd
-
-        flat = pd.concat(out)
-        edge = matching._at_border(flat[flat.border == 0])
-        got = {(r.metadata_id, r.song_id) for r in flat[flat.song_id.notna()].itertuples()} | {(r.metadata_id, r.song_id) for r in edge.itertuples()}
-        one = matching._window(rows[matching._COLUMNS].reset_index(drop=True), len(rows))
-        assert got == {(a, b) for a, b, _ in one}
+    return matching.keys(a, 0, "metadata_id", "title", "artist", "full_path"), matching.keys(b, 1, "song_id", "title", "artist", "path")
+
+
+def _brute(left, right):
+    record = lambda df: [(r["id"], tuple(r[c] for c in matching._FIELDS)) for r in df.collect()]
+    scores = {(i, j): round(matching.compare(x, y), 6) for i, x in record(left) for j, y in record(right)}
+    return {k: v for k, v in scores.items() if v >= matching.LEAST}
+
+
+def test_one_edit_away(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))) for _ in range(90)]
+    df = spark.createDataFrame([(i % 2, t) for i, t in enumerate(base)], "side int, t string")
+    from pyspark.sql import functions as F
+
+    number = {r["h"]: r["t"] for r in df.select("t", F.xxhash64("t").alias("h")).collect()}
+    got = {(number[r["hash"]], number[r["near"]]) for r in matching._one_edit_away(df, "t").collect()}
+    assert got == {(a, b) for a in base[1::2] for b in base[::2] if damerau(a, b) == 1} and len(got) > 5
+
+
+def test_many_songs_of_one_track(spark):
+    """A run of equal keys is compared as a whole, however long it is."""
+    tracks = [(f"t{i:02}", "Lonely Satellite", f"Act Number {i}", f"/srv/media/music/Act Number {i}/Lonely Satellite.mp3") for i in range(20)]
+    songs = [(f"s{i:02}{k:02}", "Lonely Satellite", f"Act Number {i}", "") for i in range(20) for k in range(50)]
+    left, right = _keyed(spark, tracks, songs)
+    got = {r["song_id"]: r["metadata_id"] for r in matching.assign(matching.candidates(left, right)).collect()}
+    assert got == {s[0]: f"t{s[0][1:3]}" for s in songs}
+
+
+def test_against_brute_force(spark, data):
+    """All pairs of the smallest tables that the comparison accepts are found."""
+    import pandas as pd
+
+    t, s = pd.read_parquet(f"{data}/tracks.parquet"), pd.read_parquet(f"{data}/indexedsong.parquet")
+    tracks = t[["metadata_id", "title", "artist", "full_path"]].astype(object).where(lambda x: x.notna(), None)
+    songs = s[["song_id", "title", "artist", "path"]].astype(object).where(lambda x: x.notna(), None)
+    left, right = _keyed(spark, tracks.values.tolist(), songs.values.tolist())
+    got = {(r["metadata_id"], r["song_id"]): r["confidence"] for r in matching.candidates(left, right).collect()}
+    assert got == _brute(left, right) and len(got) > 100
 
 
 def test_large_title_block(spark):
@@ -175,13 +196,9 @@ def test_large_title_block(spark):
     forms = [lambda g, x: f"{x} {g}", lambda g, x: f"{g} {x[:3]}{x[4]}{x[3]}{x[5:]}", lambda g, x: f"{g[0]} {x}", lambda g, x: f"{g} {x}"]
     tracks = [(f"t{i:02}", "La canción tímida (Live)", n, "") for i, n in enumerate(names_)]
     songs = [(f"s{i:02}{k}", title, form(*n.split()), "ingest/c/track_7") for i, n in enumerate(names_) for k, form in enumerate(forms) for title in [("La canción tímida (Live)", "a canción tímida (Live)")[k % 2]]]
-    a = spark.createDataFrame(tracks, "metadata_id string, title string, artist string, full_path string")
-    b = spark.createDataFrame(songs, "song_id string, title string, artist string, path string")
-    left, right = matching.keys(a, 0, "metadata_id", "title", "artist", "full_path"), matching.keys(b, 1, "song_id", "title", "artist", "path")
+    left, right = _keyed(spark, tracks, songs)
     got = {(r["metadata_id"], r["song_id"]): r["confidence"] for r in matching.candidates(left, right).collect()}
-    record = lambda df: [(r["id"], tuple(r[c] for c in matching._COLUMNS[2:])) for r in df.collect()]
-    scores = {(i, j): round(matching.compare(x, y), 6) for i, x in record(left) for j, y in record(right)}
-    assert got == {k: v for k, v in scores.items() if v >= matching.LEAST}
+    assert got == _brute(left, right)
     assert {s[0] for s in songs} == {s for _, s in got}
 
 
