@@ -76,7 +76,7 @@ def plain(text: Column) -> Column:
     low = F.lower(text)
     folded = F.replace(F.regexp_replace(F.translate(F.replace(low, F.lit("ß"), F.lit("")), _FROM + "’‘", _TO), r"\p{M}+", ""), F.lit("ss"), F.lit(""))
     out = F.when(F.octet_length(text) == F.length(text), F.replace(low, F.lit("ss"), F.lit(""))).otherwise(folded)
-    return F.trim(F.regexp_replace(F.translate(out, "'`", ""), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.replace(F.replace(out, F.lit("'"), F.lit("")), F.lit("`"), F.lit("")), r"[^\p{L}\p{N}]+", " "))
 
 
 def _has(text: Column, *parts: str) -> Column:
@@ -121,8 +121,8 @@ def keys(rows: DataFrame, side: int, key: str, title: str, artist: str, path: st
     bare = F.regexp_replace("spaced", r"^(?:\[\d+\]|\d{1,2}\s?[-.]|\d{1,2})\s+|^\([^)]*\)-", "")
     none = F.expr("cast(array() as array<string>)")
     named = lambda p: F.replace(F.substring_index(p, " - ", 1), F.lit("_"), F.lit(" "))
-    starts = F.transform(F.filter(F.split("act", " "), lambda t: F.length(t) > 3), lambda t: F.concat(F.lit(" "), F.substr(t, F.lit(1), F.lit(3))))
-    flat = lambda p: F.concat(F.lit(" "), F.translate(F.lower(p), "_" + _FROM, " " + _TO))
+    starts = F.transform(F.filter(F.split(F.lower("a"), " "), lambda t: F.length(t) > 3), lambda t: F.concat(F.lit(" "), F.substr(t, F.lit(1), F.lit(3))))
+    flat = lambda p: F.concat(F.lit(" "), F.replace(F.lower(p), F.lit("_"), F.lit(" ")))
     resembles = lambda p: F.exists("starts", lambda t: F.instr(flat(p), t) > 0)
     out = (
         rows.select(F.col(key).alias("id"), F.coalesce(F.col(title), F.lit("")).alias("t"), F.coalesce(F.col(artist), F.lit("")).alias("a"), parts.alias("parts"))
@@ -135,10 +135,10 @@ def keys(rows: DataFrame, side: int, key: str, title: str, artist: str, path: st
         .withColumn("bare", bare)
         .withColumn("dash", F.instr("bare", " - "))
         .withColumn("lead", F.when(F.col("dash") > 1, F.substr("bare", F.lit(1), F.col("dash") - 1)).otherwise(""))
-        .withColumn("led", F.when(F.col("lead") == "", "").otherwise(plain(F.col("lead"))))
+        .withColumn("led", F.when(F.col("lead") == "", "").when(F.col("lead") == F.col("a"), F.col("act")).otherwise(plain(F.col("lead"))))
         .withColumn("starts", starts)
         .withColumn("folder", F.coalesce(F.try_element_at(F.filter("folders", resembles), F.lit(1)), F.when(resembles(F.col("lead")), F.col("lead")), F.lit("")))
-        .withColumn("folder_act", F.when(F.col("folder") == "", "").otherwise(plain(named(F.col("folder")))))
+        .withColumn("folder_act", F.when(F.col("folder") == "", "").when(F.col("folder") == F.col("a"), F.col("act")).otherwise(plain(named(F.col("folder")))))
         # all folders are read only where they are asked
         .withColumn("every", F.when(F.col("folder") == "", F.transform("folders", lambda p: plain(named(p)))).otherwise(none))
         .withColumn("none", F.col("bare").rlike(r"^track[ _]\d+$"))
@@ -148,7 +148,11 @@ def keys(rows: DataFrame, side: int, key: str, title: str, artist: str, path: st
     filled = lambda *xs: F.array_distinct(F.filter(F.concat(*xs), lambda x: x != ""))
     out = out.withColumn("rest", rest).withColumn("acts", filled(F.array("act", "folder_act"))).withColumn("maybe", filled(F.array(F.when(own, F.col("led")).otherwise("")), F.col("every")))
     out = out.withColumn("maybe", F.when(F.col("folder") == "", F.array_except("maybe", "acts")).otherwise(none))
-    out = _title_parts(_title_parts(out, "t", "title", "version"), "rest", "path_title", "path_version")
+    # most files are called as their title
+    out = _title_parts(out, "t", "title", "version").withColumn("same", F.col("rest") == F.col("t"))
+    out = _title_parts(out.withColumn("rest", F.when(F.col("same"), "").otherwise(F.col("rest"))), "rest", "path_title", "path_version")
+    for name in ("title", "version"):
+        out = out.withColumn(f"path_{name}", F.when(F.col("same"), F.col(name)).otherwise(F.col(f"path_{name}")))
     return out.select(F.lit(side).alias("side"), "id", *_FIELDS)
 
 
@@ -212,42 +216,50 @@ def _cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for side, act in zip(batch["side"], batch["act"]):
-            tokens, _, _, joined = parse(act)
+            tokens = parse(act)[0]
             longer = {t for t in tokens if len(t) > 3}
             if len(longer) < 2:
                 longer |= {t for t in tokens if len(t) > 1}
-            rows += [(side, act, core) for core in {act.replace(" ", ""), joined, *(longer or {"".join(sorted(tokens))})} if core]
+            rows += [(side, act, core) for core in {act.replace(" ", ""), "".join(tokens), *(longer or {"".join(sorted(tokens))})} if core]
         yield pd.DataFrame(rows, columns=["side", "act", "core"]).astype({"side": "int32"})
 
 
-def _halves(text: Column) -> Column:
-    """Hashes of (length, half, letters) of the two halves of a text."""
-    n = F.length(text)
-    h = (n / 2).cast("int")
-    return F.array(F.xxhash64(n, F.lit(1), F.substr(text, F.lit(1), h)), F.xxhash64(n, F.lit(2), F.substr(text, h + 1)))
+def _thirds(size: Column) -> tuple[Column, Column]:
+    """Ends of the first and the second third of a text of this size."""
+    return (size / 3).cast("int"), (size * 2 / 3).cast("int")
 
 
-def _halves_within_one_edit(text: Column) -> Column:
-    """Hashes of all halves that a text within one edit of this one can have in common with it, by its length."""
-    n, one = F.length(text), F.lit(1)
-    h, short, long = (n / 2).cast("int"), ((n - 1) / 2).cast("int"), ((n + 1) / 2).cast("int")
-    first = lambda size, k: F.xxhash64(size, F.lit(1), F.substr(text, one, k))
-    second = lambda size, at: F.xxhash64(size, F.lit(2), F.substr(text, at))
-    # neighbours on both sides of the middle that change places touch both halves
-    turned = F.xxhash64(n, F.lit(1), F.concat(F.substr(text, one, h - 1), F.substr(text, h + 1, one)))
-    return F.array_distinct(F.array(first(n, h), second(n, h + 1), turned, first(n - 1, short), second(n - 1, short + 2), first(n + 1, long), second(n + 1, long)))
+def _pieces(text: Column, size: Column, left: int, moved: int) -> Column:
+    """Hash of the two other thirds of a text of ``size`` letters, if ``text`` is one whose third ``left`` has ``moved`` letters more."""
+    p, q = _thirds(size)
+    one, end = F.lit(1), F.lit(1 << 20)
+    first, second = F.substr(text, one, p), F.substr(text, p + 1 + moved * (left == 1), q - p)
+    third = F.substr(text, q + 1 + moved * (left < 3), end)
+    return F.xxhash64(size, F.lit(left), *{1: (second, third), 2: (first, third), 3: (first, second)}[left])
+
+
+def _turned(text: Column, at: Column) -> Column:
+    """The letter at ``at`` and the next one change places."""
+    one = F.lit(1)
+    return F.concat(F.substr(text, one, at - 1), F.substr(text, at + 1, one), F.substr(text, at, one), F.substr(text, at + 2))
 
 
 def _one_edit_away(texts: DataFrame, text: str) -> DataFrame:
     """(hash, near) of different texts (side 1, side 0) within one edit, as hashes.
 
-    One edit leaves one half of a text as it is, so the texts meet there and the true distance decides.
+    One edit leaves two thirds of a text as they are, unless neighbours of two thirds change places; so the texts meet
+    under two thirds, by the size of the other one, and the true distance decides.
     """
-    ours = texts.where(F.col("side") == 1).select(F.col(text).alias("a")).distinct().where("a != ''")
-    theirs = texts.where(F.col("side") == 0).select(F.col(text).alias("b")).distinct().where("b != ''")
-    met = ours.select("a", F.explode(_halves_within_one_edit(F.col("a"))).alias("half")).join(theirs.select("b", F.explode(_halves(F.col("b"))).alias("half")), "half")
-    swap = (F.length("a") == F.length("b")) & (F.length("a") > 1) & swapped(F.col("a"), F.col("b"))
-    one = met.where((F.col("a") != F.col("b")) & ((F.levenshtein("a", "b", 1) >= 0) | swap))
+    side = lambda n, name: texts.where(F.col("side") == n).select(F.col(text).alias(name)).distinct().where(f"{name} != ''")
+    a, b = F.col("a"), F.col("b")
+    n = F.length(a)
+    p, q = _thirds(n)
+    ways = [_pieces(a, n - moved, left, moved) for moved in (0, 1, -1) for left in (1, 2, 3)]
+    ways += [_pieces(_turned(a, p), n, 3, 0), _pieces(_turned(a, q), n, 1, 0)]
+    ours = side(1, "a").select("a", F.explode(F.array_distinct(F.array(*ways))).alias("piece"))
+    theirs = side(0, "b").select("b", F.explode(F.array(*[_pieces(b, F.length(b), left, 0) for left in (1, 2, 3)])).alias("piece"))
+    met = ours.join(theirs, "piece").where(a != b).withColumn("d", F.levenshtein("a", "b", 2))
+    one = met.where((F.col("d") == 1) | (F.col("d") == 2) & (F.length("a") == F.length("b")) & swapped(a, b))
     return one.select(F.xxhash64("a").alias("hash"), F.xxhash64("b").alias("near")).distinct()
 
 
