@@ -26,6 +26,8 @@ from auricle.io import materialize
 from auricle.llm.tokens import DEFAULT_VOCABULARY, count_tokens
 
 SEED = 20
+#: Documents of one range partition, so that tasks stay alike at any size.
+ROWS_PER_TASK = 500_000
 
 
 def _within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,7 +43,7 @@ def _within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def prefix_sums(counts: DataFrame) -> DataFrame:
     """(doc_id, source, n_tokens, ends): ``ends`` is the token sum of the source up to and with the document."""
     keyed = counts.withColumn("key", F.xxhash64("doc_id", F.lit(SEED)))
-    tasks = max(2, keyed.sparkSession.sparkContext.defaultParallelism)
+    tasks = max(keyed.sparkSession.sparkContext.defaultParallelism, -(-counts.count() // ROWS_PER_TASK))
     laid = (
         keyed.repartitionByRange(tasks, "source", "key", "doc_id")
         .sortWithinPartitions("source", "key", "doc_id")
@@ -56,8 +58,8 @@ def prefix_sums(counts: DataFrame) -> DataFrame:
         .withColumn("offset", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
         .drop("tokens")
     )
-    # one row per (source, partition) that holds it: at most sources + partitions of them
-    return laid.join(F.broadcast(offsets), ["source", "part"]).select(
+    # one row per (source, partition) that holds it; Spark broadcasts it only below its threshold
+    return laid.join(offsets, ["source", "part"]).select(
         "doc_id", "source", "n_tokens", (F.col("local_end") + F.col("offset")).alias("ends")
     )
 
@@ -68,7 +70,7 @@ def budgets(counts: DataFrame, targets: DataFrame) -> DataFrame:
     whole = counts.agg(F.sum("n_tokens")).first()[0] or 0
     repeats = F.coalesce("max_repeats", F.lit(1)).cast("long")
     out = (
-        targets.join(F.broadcast(sizes), "source", "left")  # as many rows as there are sources
+        targets.join(sizes, "source", "left")
         .withColumn("available", F.coalesce("available", F.lit(0)).cast("long"))
         .withColumn("budget", F.floor(F.lit(whole) * F.col("size_ratio") * F.col("target_share")).cast("long"))
         .withColumn("usable", F.least("budget", F.col("available") * repeats))
@@ -83,9 +85,9 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCA
     counts = materialize(count_tokens(documents, vocabulary).where((F.col("n_tokens") > 0) & F.col("source").isNotNull()))
     plan = materialize(budgets(counts, targets))
     chosen = (
-        # the plan has one row per mix and source
+        # the stored plan has one row per mix and source; Spark broadcasts it only below its threshold
         prefix_sums(counts)
-        .join(F.broadcast(plan.select("mix_name", "source", "epochs", "rest")), "source")
+        .join(plan.select("mix_name", "source", "epochs", "rest"), "source")
         .withColumn("copies", F.col("epochs") + F.when(F.col("ends") * 2 - F.col("n_tokens") <= F.col("rest") * 2, 1).otherwise(0))
         .where(F.col("copies") > 0)
         .select("mix_name", "source", "doc_id", "n_tokens", "copies")

@@ -31,7 +31,9 @@ from auricle.operators.malformed import length_in_seconds, size_in_bytes
 #: Known lengths of one group differ by at most this many seconds from the next one.
 SLACK = 3
 FIELDS = ["album", "year", "genre", "track_number", "album_artist", "label", "disc_number", "original_year"]
-ROUNDS = 3
+#: Rounds of the estimation end when no accuracy moves by more than this.
+STILL = 0.005
+MOST_ROUNDS = 20
 #: Prior that two sources depend on each other, and the chance that a dependent source copied a value.
 DEPENDENT, COPIED = 0.2, 0.8
 #: False values that a field may take.
@@ -100,10 +102,9 @@ def claims(held: DataFrame) -> DataFrame:
 def _votes(said: DataFrame, sources: DataFrame) -> DataFrame:
     """(group_key, cluster, field, value, sources, p): posterior of every value.
 
-    ``sources`` is (source, a, dep): accuracy, and the chance of depending on each other source.
+    ``sources`` is (source, a, dep): accuracy, and the chance of depending on each source with which it shares a false value.
     """
-    # as many rows as there are path roots
-    judged = said.join(F.broadcast(sources), "source")
+    judged = said.join(sources, "source")
     together = judged.groupBy("group_key", "cluster", "field", "value").agg(
         F.collect_list(F.struct(F.greatest(F.least("a", F.lit(0.99)), F.lit(0.01)).alias("a"), "source", "dep")).alias("who")
     )
@@ -127,35 +128,46 @@ def fuse(held: DataFrame) -> DataFrame:
     said = materialize(claims(held))
     none = F.expr("cast(map() as map<string,double>)")
     sources = said.select("source").distinct().select("source", F.lit(0.8).alias("a"), none.alias("dep"))
-    best = None
-    for step in range(ROUNDS):
+    for _ in range(MOST_ROUNDS):
         votes = materialize(_votes(said, sources))
         best = votes.groupBy("group_key", "cluster", "field").agg(
             F.max(F.struct("p", "value")).alias("top"), F.count("*").alias("values")
         ).select("group_key", "cluster", "field", F.col("top.value").alias("value"), F.col("top.p").alias("p"), "values")
-        if step == ROUNDS - 1:
-            break
         accuracy = votes.select(F.explode("sources").alias("source"), "p").groupBy("source").agg(((F.sum("p") + 4) / (F.count("*") + 5)).alias("a"))
-        truth = best.where("values > 1").select("group_key", "cluster", "field", F.col("value").alias("truth"))
-        judged = votes.join(truth, ["group_key", "cluster", "field"]).withColumn("right", F.col("value") == F.col("truth"))
-        # pairs of distinct sources behind one value; there are as many sources as path roots
-        pair = judged.select("right", F.explode("sources").alias("x"), "sources").select("right", "x", F.explode("sources").alias("y")).where("x < y")
-        shared = pair.groupBy("x", "y").agg(
-            F.count_if(~F.col("right")).alias("false_shared"), F.count_if("right").alias("true_shared")
-        )
-        # a shared false value is rare among independent sources: e^2 / values against copying
-        odds = (
-            math.log(DEPENDENT / (1 - DEPENDENT))
-            + F.col("false_shared") * math.log((COPIED + (1 - COPIED) * 0.04 / FALSE_VALUES) / (0.2 / FALSE_VALUES))
-            - F.col("true_shared") * 0.25
-        )
-        chance = 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(50.0)), F.lit(-50.0))))
-        pairs = shared.select("x", "y", chance.alias("v"))
-        both = pairs.union(pairs.select("y", "x", "v")).groupBy(F.col("x").alias("source")).agg(F.map_from_entries(F.collect_list(F.struct("y", "v"))).alias("dep"))
-        sources = materialize(accuracy.join(both, "source", "left").select("source", "a", F.coalesce("dep", none).alias("dep")))
+        after = materialize(accuracy.join(_dependence(votes, best), "source", "left").select("source", "a", F.coalesce("dep", none).alias("dep")))
+        moved = after.join(sources.select("source", F.col("a").alias("was")), "source").agg(F.max(F.abs(F.col("a") - F.col("was")))).first()[0]
+        sources = after
+        if (moved or 0.0) <= STILL:
+            break
     return best
 
 
+def _dependence(votes: DataFrame, best: DataFrame) -> DataFrame:
+    """(source, dep): the chance of depending on each source with which it shares a false value of a contested field.
+
+    Independent sources rarely share a false value and often differ; sources that share none are taken as independent.
+    """
+    truth = best.where("values > 1").select("group_key", "cluster", "field", F.col("value").alias("truth"))
+    judged = votes.join(truth, ["group_key", "cluster", "field"]).select("group_key", "cluster", "field", (F.col("value") == F.col("truth")).alias("right"), "sources")
+    # two sources of one value once; each pair and its order is kept, as there are few sources of one value
+    pair = judged.select("right", F.explode("sources").alias("x"), "sources").select("right", "x", F.explode("sources").alias("y")).where("x < y")
+    shared = pair.groupBy("x", "y").agg(F.count_if(~F.col("right")).alias("false_shared"), F.count_if("right").alias("true_shared")).where("false_shared > 0")
+    # fields on which both speak, to tell how often they differ
+    fields = judged.groupBy("group_key", "cluster", "field").agg(F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources"))
+    met = fields.select(F.explode("sources").alias("x"), "sources").select("x", F.explode("sources").alias("y")).where("x < y").groupBy("x", "y").agg(F.count("*").alias("met"))
+    same = F.col("false_shared") + F.col("true_shared")
+    # log odds of dependence: a shared false value speaks for it, a shared true one little and a difference clearly against it
+    odds = (
+        math.log(DEPENDENT / (1 - DEPENDENT))
+        + F.col("false_shared") * math.log((COPIED + (1 - COPIED) * 0.04 / FALSE_VALUES) / (0.2 / FALSE_VALUES))
+        - F.col("true_shared") * 0.25
+        + (F.col("met") - same) * math.log(1 - COPIED)
+    )
+    chance = 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(50.0)), F.lit(-50.0))))
+    pairs = shared.join(met, ["x", "y"]).select("x", "y", chance.alias("v"))
+    return pairs.union(pairs.select("y", "x", "v")).groupBy(F.col("x").alias("source")).agg(F.map_from_entries(F.collect_list(F.struct("y", "v"))).alias("dep"))
+
+
 def surviving(tracks: DataFrame, technical: DataFrame) -> DataFrame:
     """One row per group: the survivor's id, the copies, act, title, and the fused value of every field."""
     held = members(tracks, technical)

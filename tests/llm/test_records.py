@@ -230,3 +230,26 @@ def test_copied_votes_count_less(spark):
     sources = spark.createDataFrame([(s, 0.8, dep.get(s, {})) for s in "ABCDE"], "source string, a double, dep map<string,double>")
     best = {r["group_key"]: (r["value"], r["p"]) for r in survivors._votes(votes, sources).collect() if r["p"] > 0.5}
     assert best["g0"][0] == "right" and best["g0"][1] > 0.8
+
+
+def test_fusion_finds_true_values(spark):
+    """Five independent sources and three that copy the worst one: fused values are right more often than those of a majority."""
+    rng = random.Random(11)
+    accuracy = {"A": 0.9, "B": 0.85, "C": 0.8, "D": 0.75, "E": 0.5}
+    rows, truth, majority = [], {}, {}
+    for g in range(600):
+        truth[g] = f"true {g}"
+        said = {s: truth[g] if rng.random() < a else f"false {g} {rng.randrange(20)}" for s, a in accuracy.items()}
+        for copier in "FGH":
+            said[copier] = said["E"] if rng.random() < 0.9 else (truth[g] if rng.random() < 0.5 else f"false {g} {rng.randrange(20)}")
+        counts = {v: list(said.values()).count(v) for v in said.values()}
+        majority[g] = max(sorted(counts), key=counts.get)
+        rows += [(f"m{g}{s}", f"g{g}", 0, s, v) for s, v in said.items()]
+    from pyspark.sql import functions as F
+
+    held = spark.createDataFrame(rows, "metadata_id string, group_key string, cluster int, source string, album string")
+    held = held.select("*", *[F.lit(None).cast("string").alias(f) for f in survivors.FIELDS if f != "album"])
+    fused = {int(r["group_key"][1:]): r["value"] for r in survivors.fuse(held).collect()}
+    right = sum(fused[g] == truth[g] for g in truth) / len(truth)
+    plain = sum(majority[g] == truth[g] for g in truth) / len(truth)
+    assert right >= 0.95 and right > plain + 0.05, (right, plain)
