@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auricle.functions.features import correlation
+from auricle.functions.features import correlation, deviation, mean
 
 # Key profiles over the twelve semitones from the tonic, and the note names (fixed values).
 MAJOR = [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]
@@ -78,10 +78,10 @@ def quality_flags(samples: Column) -> Column:
 
 
 def chunks(samples: Column, size: int) -> Column:
-    """Whole chunks of ``size`` standardized samples; a signal that is too short has none."""
-    mean = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x) / F.size(samples)
+    """Whole chunks of ``size`` samples of mean 0 and deviation 1; a signal that is too short has none, one without any deviation is 0."""
+    middle, spread = mean(samples), deviation(samples)
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(samples)), F.lit(size)), lambda s: s + size - 1 <= F.size(samples))
-    return F.transform(starts, lambda s: F.transform(F.slice(samples, s, F.lit(size)), lambda x: x - mean))
+    return F.transform(starts, lambda s: F.transform(F.slice(samples, s, F.lit(size)), lambda x: F.when(spread > 0, (x - middle) / spread).otherwise(0.0)))
 
 
 def classify(rows: DataFrame, key: str, features: str, load_model: Callable[[], Callable[[np.ndarray], tuple[str, float]]]) -> DataFrame:

@@ -149,10 +149,14 @@ def playlist_id(text: Column) -> Column:
     return F.when(got != "", got).when(text.rlike(r"^[A-Za-z0-9]{22}$"), text)
 
 
+#: Words of a version tag in brackets (fixed values).
+TAG_WORDS = ["remix", "mix", "edit", "version", "dub", "vip", "bootleg", "rework", "live"]
+VERSION_TAG = rf"(?i)[\(\[][^\)\]]*(?:{'|'.join(TAG_WORDS)})[^\)\]]*[\)\]]"
+
+
 def core_title(text: Column) -> Column:
-    """Lower case title without bracketed version tags anywhere."""
-    tags = r"(?i)[\(\[][^\)\]]*\b(?:remix|mix|edit|version|rework|dub|bootleg|vip|live|instrumental|acoustic)\b[^\)\]]*[\)\]]"
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), tags, " ")
+    """Folded title without bracketed version tags anywhere."""
+    out = F.regexp_replace(folded(text), VERSION_TAG, "")
     return F.btrim(F.regexp_replace(out, r"\s+", " "), F.lit(" -_"))
 
 

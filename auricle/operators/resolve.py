@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from auricle.functions.similarity import bound, percent_ratio, ratio
 from auricle.io import materialize
+from auricle.operators.selection import star_clusters
 
-#: Distinct keys of one side that a task compares at once.
+#: Keys of one side that a task compares at once.
 BLOCK = 4000
 
 
@@ -30,86 +31,184 @@ def _counts(texts: list[str]) -> np.ndarray:
     return out.astype(np.uint8) if out.size and out.max() < 256 else out
 
 
-def _best_of_block(least: float):
-    """Best song of each track of a block: upper bounds of both ratios by lengths and characters first, then the ratios."""
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        songs = pdf[pdf["song_id"].notna()]
-        ids, titles, artists = songs["song_id"].tolist(), songs["title_key"].tolist(), songs["artists"].tolist()
-        tracks = pdf[pdf["song_id"].isna()]
-        wanted = list(zip(tracks["title_key"], tracks["artists"]))
-        variants = sorted({v for _, a in wanted for v in a.split("|")})
-        place = {v: len(artists) + i for i, v in enumerate(variants)}
-        title_counts, artist_counts = _counts(titles + [t for t, _ in wanted]), _counts(artists + variants)
-        title_size, artist_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (titles + [t for t, _ in wanted], artists + variants))
-        n, out = len(titles), []
-        for i, (title, keys) in enumerate(wanted, n):
-            at = np.arange(n)
-            at = at[200 * np.minimum(title_size[at], title_size[i]) >= least * (title_size[at] + title_size[i])]
-            for size, counts, mine in ((title_size, title_counts, [i]), (artist_size, artist_counts, [place[v] for v in keys.split("|")])):
-                ok = np.zeros(len(at), bool)
-                for m in mine:
-                    ok |= 200 * np.minimum(counts[at], counts[m]).sum(1, dtype=np.int64) >= least * (size[at] + size[m])
-                at = at[ok]
-            found = None
-            for j in at.tolist():
-                artist = max(ratio(v, artists[j]) * 100.0 for v in keys.split("|"))
-                same = ratio(title, titles[j]) * 100.0 if artist >= least else 0.0
-                if same >= least:
-                    found = max(found or (0.0, ""), (same * 0.6 + artist * 0.4, ids[j]))
-            if found:
-                out.append((title, keys, *found))
-        return pd.DataFrame(out, columns=["title_key", "artists", "score", "song_id"]).astype({"score": "float64"})
-
-    return best
+def _above(size_a: int, counts_a: np.ndarray, size: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """Places that may reach ``least``: upper bounds of the ratio by lengths, then by characters."""
+    at = np.nonzero(200 * np.minimum(size, size_a) >= least * (size + size_a))[0]
+    return at[200 * np.minimum(counts[at], counts_a).sum(1, dtype=np.int64) >= least * (size[at] + size_a)]
 
 
-def _over_all(rows: DataFrame, songs: DataFrame, least: float) -> DataFrame:
-    """(id, song_id, score) of rows compared with all songs, distinct keys only, in pairs of hash-cut blocks."""
-    mine = rows.select("title_key", "artists").distinct().withColumn("song_id", F.lit(None).cast("string"))
-    theirs = songs.where("song_artist != ''").groupBy("title_key", F.col("song_artist").alias("artists")).agg(F.max("song_id").alias("song_id"))
-    theirs, mine = materialize(theirs), materialize(mine)
-    height, width = (max(1, -(-x.count() // BLOCK)) for x in (mine, theirs))
-    own = lambda n: F.pmod(F.xxhash64("title_key", "artists"), F.lit(n)).cast("int")
+def _places(text: str) -> dict[str, int]:
+    """Bit set of the places of every letter."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _in_order(places: dict[str, int], n: int, text: str) -> int:
+    """Length of the longest common subsequence, which no sum of matching blocks exceeds; one step of all places a letter."""
+    free = full = (1 << n) - 1
+    for c in text:
+        used = free & places.get(c, 0)
+        free = (free + used | free - used) & full
+    return n - free.bit_count()
+
+
+def _measured(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(map(len, texts), np.int64, len(texts)), _counts(texts)
+
+
+def _alike_in_block(least: float):
+    """(mine, theirs, score) of the texts of two blocks."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts, ours = pdf["text"].tolist(), pdf["mine"].to_numpy(dtype=bool)
+        size, counts = _measured(texts)
+        left, right = np.nonzero(ours)[0], np.nonzero(~ours)[0]
+        out = []
+        for i in left.tolist():
+            mine, n, places = texts[i], len(texts[i]), _places(texts[i])
+            for j in right[_above(size[i], counts[i], size[right], counts[right], least)].tolist():
+                if 200 * _in_order(places, n, texts[j]) >= least * (n + len(texts[j])):
+                    score = ratio(mine, texts[j]) * 100.0
+                    if score >= least:
+                        out.append((mine, texts[j], score))
+        return pd.DataFrame(out, columns=["mine", "theirs", "score"]).astype({"score": "float64"})
+
+    return run
+
+
+def _alike(mine: DataFrame, theirs: DataFrame, least: float) -> DataFrame:
+    """(mine, theirs, score) of distinct texts; all are compared, in pairs of hash-cut blocks.
+
+    A ratio of 70 leaves texts without any common pair of letters possible, so no index is exact; names are few beside rows.
+    """
+    ours = materialize(mine.distinct().toDF("text"))
+    them = materialize(theirs.distinct().toDF("text"))
+    height, width = (max(1, -(-x.count() // BLOCK)) for x in (ours, them))
+    own = lambda n: F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    fields = ["title_key", "artists", "song_id"]
-    met = mine.select(*fields, own(height).alias("row"), every(width).alias("col")).unionByName(theirs.select(*fields, every(height).alias("row"), own(width).alias("col")))
-    found = met.groupBy("row", "col").applyInPandas(_best_of_block(least), "title_key string, artists string, score double, song_id string")
-    best = found.groupBy("title_key", "artists").agg(F.max(F.struct("score", "song_id")).alias("b"))
-    return rows.join(best, ["title_key", "artists"]).select("id", F.col("b.song_id").alias("song_id"), F.col("b.score").alias("score"))
+    met = ours.select("text", F.lit(True).alias("mine"), own(height).alias("row"), every(width).alias("col")).unionByName(
+        them.select("text", F.lit(False).alias("mine"), every(height).alias("row"), own(width).alias("col"))
+    )
+    return met.groupBy("row", "col").applyInPandas(_alike_in_block(least), "mine string, theirs string, score double")
+
+
+def _titles_of_artists(least: float):
+    """Best song of each (title, artist of songs) of a bucket of artists, or of two blocks of one artist."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for artist, part in pdf.groupby("artist", sort=False):
+            ours, songs = part[part["song_id"].isna()], part[part["song_id"].notna()]
+            if not len(ours) or not len(songs):
+                continue
+            titles, ids = songs["title_key"].tolist(), songs["song_id"].tolist()
+            size, counts = _measured([*titles, *ours["title_key"]])
+            n = len(titles)
+            for i, title in enumerate(ours["title_key"], n):
+                best, places = None, _places(title)
+                for j in _above(size[i], counts[i], size[:n], counts[:n], least).tolist():
+                    if 200 * _in_order(places, len(title), titles[j]) < least * (len(title) + len(titles[j])):
+                        continue
+                    score = ratio(title, titles[j]) * 100.0
+                    if score >= least and (best is None or (-score, ids[j]) < best):
+                        best = (-score, ids[j])
+                if best:
+                    out.append((title, artist, -best[0], best[1]))
+        return pd.DataFrame(out, columns=["title_key", "artist", "title_score", "song_id"]).astype({"title_score": "float64"})
+
+    return run
+
+
+def _over_all(rows: DataFrame, songs: DataFrame, least: float) -> DataFrame:
+    """(id, song_id, score) of rows compared with all songs: first the distinct artists, then the titles of artists that are alike.
+
+    Titles of an artist with many songs are cut by hash into blocks that meet pairwise.
+    """
+    theirs = materialize(songs.where("song_artist != ''").groupBy("title_key", F.col("song_artist").alias("artist")).agg(F.min("song_id").alias("song_id")))
+    wanted = rows.select("id", "title_key", F.explode("artists").alias("variant"))
+    alike = _alike(wanted.select("variant"), theirs.select("artist"), least).toDF("variant", "artist", "artist_score")
+    ours = materialize(wanted.join(alike, "variant").groupBy("id", "title_key", "artist").agg(F.max("artist_score").alias("artist_score")))
+    asked = ours.select("title_key", "artist").distinct()
+    count = lambda df, name: df.groupBy("artist").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    blocks = count(asked, "height").join(count(theirs, "width"), "artist")
+    buckets = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    own = lambda n: F.pmod(F.xxhash64("title_key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # artists of one block share buckets, larger ones have their own groups
+    group = F.when((F.col("height") > 1) | (F.col("width") > 1), F.xxhash64("artist")).otherwise(F.pmod(F.xxhash64("artist"), F.lit(buckets))).alias("bucket")
+    left = asked.join(blocks, "artist").select(group, "title_key", "artist", F.lit(None).cast("string").alias("song_id"), own("height").alias("row"), every("width").alias("col"))
+    right = theirs.join(blocks, "artist").select(group, "title_key", "artist", "song_id", every("height").alias("row"), own("width").alias("col"))
+    found = left.unionByName(right).groupBy("bucket", "row", "col").applyInPandas(_titles_of_artists(least), "title_key string, artist string, title_score double, song_id string")
+    scored = ours.join(found, ["title_key", "artist"]).withColumn("score", F.col("title_score") * 0.6 + F.col("artist_score") * 0.4)
+    return _first_best(scored)
+
+
+def _first_best(scored: DataFrame) -> DataFrame:
+    """The smallest song of the highest score of each row."""
+    top = scored.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("score"), "song_id")).alias("b"))
+    return top.select("id", F.col("b.song_id").alias("song_id"), (-F.col("b.score")).alias("score"))
 
 
 def best_fuzzy(rows: DataFrame, songs: DataFrame, least: float = 70.0) -> DataFrame:
     """(id, song_id, score): 0.6 title + 0.4 artist, both at least ``least``, among the songs of the title key, or all songs if none has it.
 
     ``rows`` has id, title_key and artist_key, or artist_keys of which the best counts; ``songs`` song_id, title_key, artist_key.
+    Ties go to the smallest song id.
     """
     s = songs.select(F.col("song_id").cast("string").alias("song_id"), "title_key", F.col("artist_key").alias("song_artist")).where("title_key != ''")
     keys = F.col("artist_keys") if "artist_keys" in rows.columns else F.array("artist_key")
-    keys = F.filter(keys, lambda k: k.isNotNull() & (k != ""))
-    wanted = materialize(rows.where("title_key != ''").select("id", "title_key", F.array_join(keys, "|").alias("artists")).where("artists != ''"))
-    met = wanted.join(s, "title_key").withColumn("_k", F.explode(F.split("artists", r"\|"))).where(bound(F.col("_k"), F.col("song_artist")) * 100 >= least)
+    keys = F.array_distinct(F.filter(keys, lambda k: k.isNotNull() & (k != "")))
+    wanted = materialize(rows.where("title_key != ''").select("id", "title_key", keys.alias("artists")).where("size(artists) > 0"))
+    met = wanted.join(s, "title_key").withColumn("_k", F.explode("artists")).where(bound(F.col("_k"), F.col("song_artist")) * 100 >= least)
     scored = met.withColumn("artist_score", percent_ratio(F.col("_k"), F.col("song_artist"))).where(F.col("artist_score") >= least)
-    in_block = (
-        scored.withColumn("score", F.lit(60.0) + F.col("artist_score") * 0.4)
-        .groupBy("id")
-        .agg(F.max(F.struct("score", F.col("song_id"))).alias("b"))
-        .select("id", F.col("b.song_id").alias("song_id"), F.col("b.score").alias("score"))
-    )
+    in_block = _first_best(scored.withColumn("score", F.lit(60.0) + F.col("artist_score") * 0.4))
     alone = wanted.join(s.select("title_key").distinct(), "title_key", "left_anti")
     return in_block.unionByName(_over_all(alone, s, least))
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of ``n`` letters."""
+    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def contained(probes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(probe, text) of all texts that hold a probe. Both have one column of distinct, not empty texts.
+
+    A text that holds a probe holds its rarest run of three letters, so they meet there; shorter probes meet whole.
+    """
+    p, t = probes.toDF("probe"), texts.toDF("text")
+    held = materialize(t.select("text", F.explode(_grams(F.col("text"), 3)).alias("gram")))
+    common = held.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = p.where(F.length("probe") > 2).select("probe", F.explode(_grams(F.col("probe"), 3)).alias("gram")).join(common, "gram", "left")
+    rarest = asked.groupBy("probe").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0").select("probe", F.col("g.gram").alias("gram"))
+    long = rarest.join(held, "gram").where(F.instr(F.col("text"), F.col("probe")) > 0).select("probe", "text")
+    short = p.where(F.length("probe") < 3)
+    pieces = t.select("text", F.explode(F.array_union(_grams(F.col("text"), 1), _grams(F.col("text"), 2))).alias("probe"))
+    return long.unionByName(short.join(pieces, "probe").select("probe", "text"))
+
+
 def tiered(rows: DataFrame, tracks: DataFrame) -> DataFrame:
-    """(id, metadata_id, confidence): exact title and artist, else the same title; one track per row.
+    """(id, metadata_id, confidence): one track per row by tiers, without case.
 
-    Both tiers are equi-joins on lower case keys, so nothing is compared with everything.
+    Exact title and artist; else a title and an artist that hold the searched ones; else a title that holds the searched
+    one. Within a tier equal titles come first, then equal artists, then the smallest id. Wildcards in a title are letters.
     """
-    t = tracks.select("metadata_id", F.lower("title").alias("tk"), F.lower("artist").alias("ak")).where("tk != ''")
-    r = rows.select("id", F.lower("title").alias("tk"), F.lower("artist").alias("want"))
-    met = r.join(t, "tk").withColumn("tier", F.when(F.col("ak") == F.col("want"), 0).otherwise(1))
-    best = met.groupBy("id").agg(F.min(F.struct("tier", "metadata_id")).alias("b"))
-    return best.select("id", F.col("b.metadata_id").alias("metadata_id"), F.when(F.col("b.tier") == 0, "exact").otherwise("fuzzy").alias("confidence"))
+    t = tracks.select("metadata_id", F.lower("title").alias("tk"), F.coalesce(F.lower("artist"), F.lit("")).alias("ak")).where("tk != ''")
+    t = materialize(t.groupBy("tk", "ak").agg(F.min("metadata_id").alias("metadata_id")))
+    r = rows.select("id", F.lower("title").alias("probe"), F.coalesce(F.lower("artist"), F.lit("")).alias("want")).where("probe != ''")
+    pairs = contained(r.select("probe").distinct(), t.select("tk").distinct()).withColumnRenamed("text", "tk")
+    asked = r.select("probe", "want").distinct()
+    met = asked.join(pairs, "probe").join(t, "tk")
+    same_title, same_artist = F.col("tk") == F.col("probe"), F.col("ak") == F.col("want")
+    named = (F.col("want") != "") & (F.instr(F.col("ak"), F.col("want")) > 0)
+    tier = F.when(named & same_title & same_artist, 0).when(named, 1).otherwise(2)
+    place = F.struct(tier.alias("tier"), F.when(same_title, 0).otherwise(1).alias("t"), F.when(named & same_artist, 0).otherwise(1).alias("a"), "metadata_id")
+    best = met.groupBy("probe", "want").agg(F.min(place).alias("b"))
+    out = r.join(best, ["probe", "want"])
+    return out.select("id", F.col("b.metadata_id").alias("metadata_id"), F.when(F.col("b.tier") == 0, "exact").otherwise("fuzzy").alias("confidence"))
 
 
 def match_rank(candidates: DataFrame, key: str, score: str, tie: str, least: float) -> DataFrame:
@@ -124,3 +223,22 @@ def audit(members: DataFrame, by: str, item: str) -> DataFrame:
     return members.groupBy(by).agg(
         F.count("*").alias("members"), F.countDistinct(item).alias("distinct_members"), (F.count("*") - F.countDistinct(item)).alias("repeats")
     )
+
+
+def fuzzy_repeats(members: DataFrame, by: str, order: str, least: float = 85.0) -> DataFrame:
+    """(by, fuzzy_repeats): members whose artist key an earlier kept member has, with an equal or similar title key.
+
+    Needs ``artist_key`` and ``title_key``. Members are taken in order; a repeat is not kept, so later ones are compared
+    with kept ones only: these are star clusters of the links between members of one list and artist.
+    """
+    m = members.select(by, F.col(order).alias("at"), "artist_key", "title_key")
+    seen = m.groupBy(by, "artist_key", "title_key").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    a, b = seen.select(by, "artist_key", F.col("title_key").alias("ta"), F.col("at").alias("aa")), seen.select(by, "artist_key", F.col("title_key").alias("tb"), F.col("at").alias("ab"))
+    met = a.join(b, [by, "artist_key"]).where((F.col("aa") < F.col("ab")) & (bound(F.col("ta"), F.col("tb")) * 100 >= least))
+    close = met.where(percent_ratio(F.col("ta"), F.col("tb")) >= least)
+    node = lambda at: F.struct(F.col(by).alias("l"), F.col(at).alias("at"))
+    stars = star_clusters(close.select(node("aa").alias("a"), node("ab").alias("b")))
+    similar = stars.groupBy(F.col("member.l").alias(by)).agg(F.count("*").alias("similar"))
+    # copies of a kept or repeated title repeat it, except its first occurrence
+    same = seen.groupBy(by).agg(F.sum(F.col("n") - 1).alias("same"))
+    return same.join(similar, by, "left").select(by, (F.col("same") + F.coalesce("similar", F.lit(0))).cast("long").alias("fuzzy_repeats"))

@@ -1,6 +1,7 @@
 """Order-dependent selections, as rounds of joins instead of loops over rows.
 
-Both operators are the lexicographically first independent set of a conflict
+Where groups of one kind lie inside groups of the other, a single aggregate
+decides; only rows of groups that overlap go through rounds. Both operators are the lexicographically first independent set of a conflict
 graph: a row is decided as soon as it is the first undecided one among its
 neighbours, so every round decides all local minima at once and gives the
 result of the row-by-row loop. No group is gathered in one task.
@@ -23,7 +24,42 @@ def first_of_groups(rows: DataFrame, key: str, order: str, groups: list[str]) ->
     names = [f"g{i}" for i in range(len(groups))]
     grouped = F.coalesce(*names).isNotNull()
     kept = state.where(~grouped).select("id")
-    left = materialize(state.where(grouped))
+    left = state.where(grouped)
+    if len(names) == 1:
+        return rows.join(kept.unionByName(_heads(left, "g0")).withColumnRenamed("id", key), key, "left_semi")
+    if len(names) == 2:
+        judged = materialize(_nested(_nested(left, "g0", "g1"), "g1", "g0"))
+        for g in names:
+            kept = kept.unionByName(_heads(judged.where(F.col("rule") == g), g))
+        left = judged.where("rule is null").select("id", "at", *names)
+    kept = kept.unionByName(_in_rounds(left, names))
+    return rows.join(kept.withColumnRenamed("id", key), key, "left_semi")
+
+
+def _heads(state: DataFrame, group: str) -> DataFrame:
+    """The first row of every group, by a partial aggregate."""
+    return state.groupBy(group).agg(F.min_by("id", "at").alias("id")).select("id")
+
+
+def _nested(state: DataFrame, inner: str, outer: str) -> DataFrame:
+    """``rule`` is ``outer`` for rows of groups in which every row's inner group, if it has one, lies inside the group.
+
+    Such a group shares no row with any other group, so its first row alone is kept.
+    """
+    inside = state.where(F.col(inner).isNotNull()).groupBy(inner).agg(
+        F.when((F.count(outer) == F.count("*")) & (F.min(outer) == F.max(outer)), F.min(outer)).alias("within")
+    )
+    told = state.join(inside, inner, "left").withColumn("closed", F.col(inner).isNull() | F.coalesce(F.col("within") == F.col(outer), F.lit(False)))
+    whole = told.where(F.col(outer).isNotNull()).groupBy(outer).agg(F.bool_and("closed").alias("all_closed"))
+    old = F.col("rule") if "rule" in state.columns else F.lit(None).cast("string")
+    out = told.drop("within", "closed").join(whole, outer, "left")
+    return out.withColumn("rule", F.coalesce(old, F.when(F.col("all_closed"), F.lit(outer)))).drop("all_closed")
+
+
+def _in_rounds(left: DataFrame, names: list[str]) -> DataFrame:
+    """Ids of kept rows, a round deciding all rows that come first in each of their groups."""
+    left = materialize(left)
+    kept = left.select("id").limit(0)
     while left.limit(1).count():
         judged = left
         for g in names:
@@ -36,7 +72,7 @@ def first_of_groups(rows: DataFrame, key: str, order: str, groups: list[str]) ->
             taken = leads.where(F.col(g).isNotNull()).select(g).distinct()
             left = left.join(taken, g, "left_anti")
         left = materialize(left.select("id", "at", *names))
-    return rows.join(kept.withColumnRenamed("id", key), key, "left_semi")
+    return kept
 
 
 def star_clusters(edges: DataFrame) -> DataFrame:

@@ -96,10 +96,7 @@ _PART = "sha256(CASE WHEN length(text) <= 80 THEN text ELSE substr(text, 1, 40)
 _FULL_GROUPS = "f AS (SELECT sha256(text) AS digest, count(*) AS members, min(doc_id) AS first FROM documents WHERE text <> '' GROUP BY 1 HAVING count(*) > 1)"
 _PART_GROUPS = f"p AS (SELECT {_PART} AS digest, count(*) AS members, min(doc_id) AS first FROM documents WHERE text <> '' AND sha256(text) NOT IN (SELECT digest FROM f) GROUP BY 1 HAVING count(*) > 1)"
 _FOLD = r"trim(regexp_replace(lower(coalesce({0}, '')), '\s+', ' ', 'g'))"
-_CORE = (
-    r"trim(regexp_replace(regexp_replace(lower(coalesce(title, '')), "
-    r"'(?i)[\(\[][^\)\]]*\b(?:remix|mix|edit|version|rework|dub|bootleg|vip|live|instrumental|acoustic)\b[^\)\]]*[\)\]]', ' ', 'g'), '\s+', ' ', 'g'), ' -_')"
-)
+_CORE = rf"trim(regexp_replace(regexp_replace({_FOLD.format('title')}, '{txt.VERSION_TAG}', '', 'g'), '\s+', ' ', 'g'), ' -_')"
 _LEN = r"^(\d+|\d+:[0-5]\d|\d+:[0-5]\d:[0-5]\d)$"
 _SIZE = r"^(\d+|\d+(\.\d{1,2})? ?(KB|MB|GB))$"
 _TECH = rf"""tech AS (SELECT lib.*, CASE WHEN regexp_matches(length_seconds, '{_LEN}') THEN
@@ -124,10 +121,12 @@ SELECT CAST(doc_id AS VARCHAR) AS metadata_id, CASE WHEN f.digest IS NOT NULL TH
 FROM documents d LEFT JOIN f ON d.text <> '' AND sha256(d.text) = f.digest LEFT JOIN p ON d.text <> '' AND f.digest IS NULL AND {_PART} = p.digest""",
     "q51_match_rank": """SELECT metadata_id, genre_primary, genre_confidence FROM ml_features WHERE genre_primary IS NOT NULL AND genre_confidence >= 0.5
 QUALIFY row_number() OVER (PARTITION BY genre_primary ORDER BY genre_confidence DESC, metadata_id DESC) = 1""",
-    "q52_tiered_best_match": """SELECT id, metadata_id, CASE WHEN tier = 0 THEN 'exact' ELSE 'fuzzy' END AS confidence FROM (
-SELECT s.song_id AS id, t.metadata_id, CASE WHEN lower(t.artist) = lower(s.artist) THEN 0 ELSE 1 END AS tier
-FROM indexedsong s JOIN tracks t ON lower(s.title) = lower(t.title) AND t.title <> '')
-QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, metadata_id) = 1""",
+    "q52_tiered_best_match": """WITH t AS (SELECT lower(title) AS tk, coalesce(lower(artist), '') AS ak, min(metadata_id) AS metadata_id FROM tracks WHERE title <> '' GROUP BY 1, 2),
+s AS (SELECT DISTINCT lower(title) AS p, coalesce(lower(artist), '') AS w FROM indexedsong WHERE title <> ''),
+m AS (SELECT p, w, tk, ak, metadata_id, w <> '' AND contains(ak, w) AS named FROM s JOIN t ON contains(tk, p)),
+b AS (SELECT *, CASE WHEN named AND tk = p AND ak = w THEN 0 WHEN named THEN 1 ELSE 2 END AS tier FROM m
+QUALIFY row_number() OVER (PARTITION BY p, w ORDER BY CASE WHEN named AND tk = p AND ak = w THEN 0 WHEN named THEN 1 ELSE 2 END, CASE WHEN tk = p THEN 0 ELSE 1 END, CASE WHEN named AND ak = w THEN 0 ELSE 1 END, metadata_id) = 1)
+SELECT song_id AS id, metadata_id, CASE WHEN tier = 0 THEN 'exact' ELSE 'fuzzy' END AS confidence FROM indexedsong JOIN b ON lower(title) = p AND coalesce(lower(artist), '') = w""",
     "q53_path_resolve": rf"""WITH f AS (SELECT metadata_id, full_path, lower(regexp_replace(replace(full_path, '\', '/'), '/+$', '')) AS p FROM tracks),
 r AS (SELECT *, CASE WHEN starts_with(p, '/srv/media/music/') THEN substr(p, 18) WHEN regexp_matches(p, '^[a-z]:/') THEN NULL ELSE regexp_replace(p, '^/+', '') END AS a,
   CASE WHEN starts_with(p, 'd:/tonlager/') THEN substr(p, 13) WHEN regexp_matches(p, '^[a-z]:/') THEN NULL ELSE regexp_replace(p, '^/+', '') END AS b FROM f),

@@ -23,7 +23,7 @@ def test_first_of_groups(spark):
         rows = [(f"{i:03}", rng.choice([None, "", "A", "B", "C", "D"]), rng.choice([None, "", "R", "S", "T"])) for i in range(n)]
         rows += [("x1", "P", None), ("x2", "P", "Q"), ("x3", None, "Q")]
         df = spark.createDataFrame(rows, "metadata_id string, duplicate_group string, remix_group string").repartition(3)
-        got = selection.first_of_groups(df, "metadata_id", "metadata_id", ["duplicate_group", "remix_group"])
+        got = selection.selection.first_of_groups(df, "metadata_id", "metadata_id", ["duplicate_group", "remix_group"])
         assert sorted(r[0] for r in got.collect()) == greedy(rows)
 
 
@@ -95,3 +95,22 @@ def test_unknown_strategy(spark):
     except ValueError:
         return
     raise AssertionError
+
+
+def test_groups_inside_groups_and_overlapping(spark):
+    """Groups of one kind inside the other, equal ones, and chains such as (A), (A, R), (R), against the loop over rows."""
+    rng = random.Random(9)
+    rows = [(f"{i:03}", rng.choice([None, "", *"ABCDEFGH"]), rng.choice([None, "", *"RSTUVWXYZ"])) for i in range(60)]
+    rows += [(f"x{i:02}", f"in{i % 4}", f"out{i % 2}") for i in range(12)] + [(f"y{i:02}", f"same{i % 3}", f"also{i % 3}") for i in range(9)]
+    rows += [("z1", "chain", None), ("z2", "chain", "link"), ("z3", None, "link"), ("z4", "alone", None), ("z5", "alone", None)]
+    seen_d, seen_r, want = set(), set(), []
+    for i, d, r in sorted(rows):
+        if (d and d in seen_d) or (r and r in seen_r):
+            continue
+        want.append(i)
+        seen_d |= {d} - {None, ""}
+        seen_r |= {r} - {None, ""}
+    df = spark.createDataFrame(rows, "id string, d string, r string")
+    for groups in (["d", "r"], ["r", "d"]):
+        assert sorted(x["id"] for x in selection.first_of_groups(df, "id", "id", groups).collect()) == want
+    assert "z1" in want and "z3" in want
