@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auricle.functions import features
-from auricle.functions.coerce import blank
+from auricle.functions.coerce import blank, leading_int
+from auricle.io import materialize
 from auricle.operators.selection import first_of_groups
 
 Order = list[tuple[Column, bool]]
@@ -37,7 +38,8 @@ def _order_key(order: Order) -> Column:
 
 def without_copies(rows: DataFrame, order: Order) -> DataFrame:
     """The first row of every duplicate or remix group, greedily in order."""
-    keyed = rows.withColumn("order_key", _order_key(order))
+    # the candidates are few beside the library, whose joins would run again for each step
+    keyed = materialize(rows.withColumn("order_key", _order_key(order)))
     return first_of_groups(keyed, "metadata_id", "order_key", ["duplicate_group", "remix_group"]).drop("order_key")
 
 
@@ -70,6 +72,10 @@ def custom_filter(params: Params) -> Column:
             cond = cond & (F.col(column) >= F.lit(get(f"{name}_min")))
         if get(f"{name}_max"):
             cond = cond & (F.col(column) <= F.lit(get(f"{name}_max")))
+    if get("year_min") or get("year_max"):
+        year = leading_int(F.substr("year", F.lit(1), F.lit(4)))
+        cond = cond & ~blank(F.col("year"))
+        cond = cond & (year >= get("year_min") if get("year_min") else F.lit(True)) & (year <= get("year_max") if get("year_max") else F.lit(True))
     if get("vocal"):
         cond = cond & (F.col("vocal_type") == F.lit(get("vocal")))
     if get("camelot"):
@@ -88,7 +94,7 @@ def custom_order(sort_by: str | None, seed: int = 0) -> Order:
         "energy_desc": [(_number("energy"), True)],
         "year": [(F.coalesce(F.col("year"), F.lit("")), False)],
         "danceability": [(_number("danceability"), True)],
-        "random": [(F.xxhash64("metadata_id", F.lit(seed)).cast("double"), False)],
+        "random": [(F.md5(F.concat(F.col("metadata_id"), F.lit(str(seed)))), False)],
     }
     return orders.get(sort_by or "", [(_number("listeners"), True)])
 

@@ -37,19 +37,12 @@ def library(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _group(tracks: DataFrame, name: str, key) -> DataFrame:
-    """(metadata_id, name): the key of groups of two or more; sizes are counted before they are joined back."""
-    keyed = tracks.select("metadata_id", F.lower(F.trim("artist")).alias("ak"), key.alias("tk")).where("ak != '' and tk != ''")
-    sizes = keyed.groupBy("ak", "tk").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(sizes, ["ak", "tk"]).select("metadata_id", F.concat_ws("|", "ak", "tk").alias(name))
-
-
 def grouped_library(spark: SparkSession, d: str) -> DataFrame:
+    """The library with the keys of copies (act and title) and versions (act and base title); a key that one row has groups nothing."""
+    act = F.lower(F.trim("artist"))
+    key = lambda title: F.when((act != "") & (title != ""), F.concat_ws("|", act, title))
     rows = library(spark, d)
-    tracks = load(spark, d, "tracks").select("metadata_id", "artist", "title")
-    same = _group(tracks, "duplicate_group", F.lower(F.trim("title")))
-    remix = _group(tracks, "remix_group", F.lower(base_title(F.col("title"))))
-    return rows.join(same, "metadata_id", "left").join(remix, "metadata_id", "left")
+    return rows.withColumn("duplicate_group", key(F.lower(F.trim("title")))).withColumn("remix_group", key(F.lower(base_title(F.col("title")))))
 
 
 LIB = """lib AS (
