@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auricle.functions.features import correlation, deviation, mean
+from auricle.functions.features import correlation, deviation, mean, rolloff
 
 # Key profiles over the twelve semitones from the tonic, and the note names (fixed values).
 MAJOR = [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]
@@ -67,6 +67,59 @@ def loudness(rms: Column) -> Column:
     return F.least(F.lit(1.0), rms / 0.707)
 
 
+def dynamic_range(samples: Column) -> Column:
+    """The peak over the mean level, in dB."""
+    level = F.transform(samples, F.abs)
+    return F.log10(F.array_max(level) / F.greatest(mean(level), F.lit(1e-9))) * 20
+
+
+def onset_rate(onsets: Column, seconds: Column) -> Column:
+    """Onsets a second, 0 for an empty signal."""
+    return F.when(seconds > 0, onsets / seconds).otherwise(0.0)
+
+
+def cutoff_bin(spectrum: Column, share: float = 0.995) -> Column:
+    """The first bin up to which nearly all energy lies."""
+    return rolloff(spectrum, share)
+
+
+def cepstrum(samples: np.ndarray, rate: float, bands: int = 26, keep: int = 13) -> np.ndarray:
+    """The first coefficients of the cosine transform of the log energies of mel bands of one signal."""
+    x = np.asarray(samples, float)
+    power = np.abs(np.fft.rfft(x)) ** 2
+    freq = np.fft.rfftfreq(len(x), 1 / rate)
+    edges = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + rate / 2 / 700), bands + 2) / 2595) - 1)
+    rise = (freq[None, :] - edges[:-2, None]) / np.maximum(edges[1:-1] - edges[:-2], 1e-9)[:, None]
+    fall = (edges[2:, None] - freq[None, :]) / np.maximum(edges[2:] - edges[1:-1], 1e-9)[:, None]
+    energy = np.log(np.maximum(0.0, np.minimum(rise, fall)) @ power + 1e-10)
+    k, n = np.arange(keep)[:, None], np.arange(bands)[None, :]
+    return (np.cos(np.pi * k * (2 * n + 1) / (2 * bands)) @ energy) * np.sqrt(2 / bands)
+
+
+def contrast(samples: np.ndarray, bands: int = 6, share: float = 0.02) -> np.ndarray:
+    """Peak less valley of the log spectrum in bands of octaves."""
+    power = np.sort(np.abs(np.fft.rfft(np.asarray(samples, float))) ** 2 + 1e-12) if len(samples) < 2 ** bands else np.abs(np.fft.rfft(np.asarray(samples, float))) ** 2 + 1e-12
+    cuts = np.unique(np.concatenate([[0], (len(power) / 2.0 ** np.arange(bands - 1, -1, -1)).astype(int)]))
+    out = []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        part = np.sort(np.log(power[lo:hi]))
+        n = max(1, int(len(part) * share))
+        out.append(part[-n:].mean() - part[:n].mean())
+    return np.array(out)
+
+
+def timbre(rate: float):
+    """A UDF from samples to ``mfcc`` and ``contrast``; null where there are fewer than two samples."""
+
+    @F.pandas_udf("mfcc array<double>, contrast array<double>")
+    def run(signals: pd.Series) -> pd.DataFrame:
+        short = signals.map(lambda s: s is None or len(s) < 2)
+        rows = [(None, None) if bad else (cepstrum(s, rate).tolist(), contrast(s).tolist()) for s, bad in zip(signals, short)]
+        return pd.DataFrame(rows, columns=["mfcc", "contrast"])
+
+    return run
+
+
 def quality_flags(samples: Column) -> Column:
     """struct(clipping, silence): shares of samples at full scale, and of samples at most 5 % of the peak."""
     n = F.size(samples)

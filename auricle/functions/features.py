@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auricle.functions.coerce import truthy
+
 # Wheel position of every key (fixed values).
 CAMELOT = {
     ("C", "major"): "8B", ("C", "minor"): "5A", ("C#", "major"): "3B", ("C#", "minor"): "12A", ("D", "major"): "10B", ("D", "minor"): "7A",
@@ -34,6 +36,18 @@ CORRUPTION = [
 ]
 
 
+# What a classifier takes where a feature is absent or 0 (fixed values).
+DEFAULTS = {"bpm": 120.0, "energy": 0.5, "dynamic_range": 6.0, "onsets": 2.0, "rms": 0.1, "key": "C", "mode": "major"}
+
+
+def with_defaults(rows: DataFrame) -> DataFrame:
+    """Every feature of ``DEFAULTS``, the default where it is absent, null, 0 or empty."""
+    out = rows
+    for name, value in DEFAULTS.items():
+        out = out.withColumn(name, truthy(F.col(name), value) if name in rows.columns else F.lit(value))
+    return out
+
+
 def ladder(value: Column, steps: list[tuple[float, str]], last: str) -> Column:
     """The first label whose bound lies above ``value``; null where null."""
     out = reduce(lambda acc, s: acc.when(value < s[0], s[1]), steps, F.when(value.isNull(), None))

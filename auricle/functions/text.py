@@ -112,6 +112,18 @@ def ascii_key_udf(texts: pd.Series) -> pd.Series:
     return texts.map(ascii_key)
 
 
+def plain_ascii(text: str | None) -> str:
+    """Decomposed, ASCII, lower case, single spaces; punctuation stays."""
+    flat = unicodedata.normalize("NFKD", text or "").encode("ascii", "ignore").decode()
+    return _SPACES.sub(" ", flat).strip().lower()
+
+
+@F.pandas_udf(T.StringType())
+def import_key(texts: pd.Series) -> pd.Series:
+    """The key by which imported titles are searched."""
+    return texts.map(plain_ascii)
+
+
 def title_key(text: Column) -> Column:
     return ascii_key_udf(without_brackets(release_title(text)))
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auricle.plans import data_quality, duplicates, playlists, signals, states, upkeep
+from auricle.plans import data_quality, duplicates, playlists, signals, states, texts, upkeep
 
-_MODULES = [playlists, duplicates, states, signals, upkeep, data_quality]
+_MODULES = [playlists, duplicates, states, signals, upkeep, texts, data_quality]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -120,3 +120,9 @@ def fingerprint_hits(rows: DataFrame, key: str, text: str) -> DataFrame:
         F.try_element_at("x.artists", F.lit(1))["name"].alias("artist"),
         F.try_element_at("x.releases", F.lit(1))["title"].alias("album"),
     )
+
+
+def best_hit(hits: DataFrame, key: str) -> DataFrame:
+    """The hit of the highest score of each lookup; ties go to the smallest recording."""
+    order = F.struct((-F.col("score")).alias("s"), "recording_id")
+    return hits.groupBy(key).agg(F.min_by(F.struct("score", "recording_id", "title", "artist", "album"), order).alias("b")).select(key, "b.*")
