@@ -112,3 +112,10 @@ def expire_leases(jobs: DataFrame, now: Column, seconds: int) -> DataFrame:
     """Running jobs claimed too long ago return to pending."""
     late = (F.col("status") == "running") & (F.col("claimed_at") < now - F.make_interval(secs=F.lit(seconds)))
     return jobs.withColumn("status", F.when(late, "pending").otherwise(F.col("status")))
+
+
+def coalesce_into(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """New values only where the old one is null; unlike ``fill_if_empty`` an empty text counts as a value."""
+    n = new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    joined = old.join(n, keys, "left")
+    return joined.select(*[F.coalesce(c, f"_new_{c}").alias(c) if c in columns else F.col(c) for c in old.columns])
