@@ -23,17 +23,26 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary
-    folder is made and stored in the session for later calls.
+    Where that setting is absent, a session on one machine gets a temporary folder, which it keeps for later calls; on a
+    cluster this is an error, as executors would write to their own disks.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("auricle.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="auricle-")
         _LOCAL_DIRS.append(path)
         spark.conf.set("auricle.checkpoint.dir", path)
     return path
 
 
+def new_path(spark: SparkSession) -> str:
+    """A fresh place in the shared folder, which ``clean`` deletes."""
+    path = f"{shared_dir(spark)}/auricle-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 @atexit.register
 def _clean() -> None:
     for path in _LOCAL_DIRS:
@@ -47,12 +56,11 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     so later scans prune columns and push filters.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/auricle-{uuid.uuid4().hex}"
+    path = new_path(spark)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ comes last, so every result is a total order.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -141,7 +141,11 @@ def energy_arc(library: DataFrame, p: Params) -> DataFrame:
 
 def custom_arc(rows: DataFrame, limit: int, peak_position: float = 0.6) -> DataFrame:
     """Candidates by popularity, then ascending to the peak and strictly reversed after it; unknown energy is 0."""
-    top = ranked(rows, custom_order(None), limit).drop("position")
+    return _arc(ranked(rows, custom_order(None), limit).drop("position"), peak_position)
+
+
+def _arc(top: DataFrame, peak_position: float) -> DataFrame:
+    """Few rows of one list with the ``position`` of an arc."""
     e = F.coalesce("energy", F.lit(0.0))
     at = F.row_number().over(Window.orderBy(e, "metadata_id"))
     n = F.count("*").over(Window.partitionBy())
@@ -150,6 +154,7 @@ def custom_arc(rows: DataFrame, limit: int, peak_position: float = 0.6) -> DataF
     return up.withColumn("position", place.cast("int")).drop("at", "peak")
 
 
+@lru_cache(4096)
 def _compatible(a: str | None, b: str | None) -> bool:
     if not a or not b:
         return False
@@ -192,8 +197,11 @@ def camelot_chain(library: DataFrame, p: Params) -> DataFrame:
     return heads.groupBy().applyInPandas(walk, "metadata_id string, position int")
 
 
-def harmonic(rows: list[tuple[str, str | None, float | None]]) -> list[str]:
-    """All ids from the first row on: the compatible row of smallest tempo gap, else the smallest gap of all."""
+def harmonic(rows: list[tuple[str, str | None, float | None]], reorder: bool = False) -> list[str]:
+    """All ids from the first row on: the compatible row of smallest tempo gap, else the smallest gap of all.
+
+    With ``reorder`` the rows that are left take the order of their gaps then, which decides later ties.
+    """
     left, out = list(rows), []
     if not left:
         return out
@@ -202,7 +210,11 @@ def harmonic(rows: list[tuple[str, str | None, float | None]]) -> list[str]:
     while left:
         gaps = [abs((r[2] or 0.0) - (now[2] or 0.0)) for r in left]
         fits = [i for i, r in enumerate(left) if _compatible(now[1], r[1]) and gaps[i] < 999]
-        i = min(fits or range(len(left)), key=lambda k: gaps[k])
+        if reorder and not fits:
+            left.sort(key=lambda r: abs((r[2] or 0.0) - (now[2] or 0.0)))
+            i = 0
+        else:
+            i = min(fits or range(len(left)), key=lambda k: gaps[k])
         now = left.pop(i)
         out.append(now[0])
     return out
@@ -232,6 +244,67 @@ def custom(library: DataFrame, p: Params) -> DataFrame:
     return ranked(rows, custom_order(sort_by, p.get("seed", 0)), limit)
 
 
+# --- curated lists ------------------------------------------------------------------------
+
+#: Lists of several dimensions: filters, number, order, and whether the best known or a mix of the surest is taken.
+SPECS: list[Params] = [
+    {"name": "night trance", "genres": ["trance"], "include_moods": ["hazy"], "bpm_min": 100, "bpm_max": 180, "confidence_min": 0.3, "limit": 60, "sort": "harmonic"},
+    {"name": "nineties revival", "decades": ["1990s"], "tags": ["trance"], "limit": 50, "sort": "bpm", "popular": True},
+    {"name": "minimal session", "genres": ["techno", "electro"], "bpm_min": 110, "bpm_max": 150, "energy_max": 0.8, "limit": 50, "sort": "harmonic"},
+    {"name": "sunrise", "genres": ["trance", "deep house"], "include_moods": ["bright"], "limit": 50, "sort": "energy_arc"},
+    {"name": "lounge", "genres": ["ambient", "downtempo"], "include_moods": ["calm", "hazy"], "energy_max": 0.6, "acousticness_min": 0.2, "limit": 50, "sort": "bpm"},
+    {"name": "peak hour", "include_moods": ["restless", "bright"], "bpm_min": 120, "energy_min": 0.3, "danceability_min": 0.6, "limit": 60, "sort": "energy_arc", "popular": True},
+    {"name": "dark repetition", "genres": ["techno", "dub", "breakbeat"], "exclude_moods": ["bright", "calm"], "bpm_min": 90, "bpm_max": 160, "limit": 50, "sort": "bpm"},
+    {"name": "classics of the 2000s", "decades": ["2000s"], "limit": 60, "sort": "harmonic", "popular": True},
+    {"name": "fast ride", "bpm_min": 160, "bpm_max": 180, "limit": 50, "sort": "bpm"},
+    {"name": "bass weight", "genres": ["dub", "breakbeat"], "limit": 50, "sort": "energy_arc"},
+    {"name": "jazz hour", "genres": ["jazz", "tin-can jazz"], "acousticness_max": 0.9, "limit": 40, "sort": "bpm"},
+    {"name": "folk evening", "genres": ["folk"], "energy_max": 0.9, "limit": 40, "sort": "bpm"},
+    {"name": "known everywhere", "min_popularity": 1000, "limit": 50, "sort": "bpm", "popular": True},
+    {"name": "easy to dance to", "danceability_min": 0.7, "bpm_min": 115, "bpm_max": 130, "limit": 50, "sort": "energy_arc"},
+    {"name": "house through the decades", "genres": ["deep house"], "decades": ["1980s", "1990s", "2000s", "2010s"], "limit": 50, "sort": "bpm"},
+]
+
+
+def curated_pool(library: DataFrame, spec: Params, tags: DataFrame | None = None) -> DataFrame:
+    """Rows with tempo, energy and a classification that pass all filters; ``tags`` is (metadata_id, tag)."""
+    rows = library.where("bpm is not null and energy is not null and classified").where(custom_filter(spec))
+    if spec.get("decades"):
+        rows = rows.where(features.decade(F.col("year")).isin(list(spec["decades"])))
+    if spec.get("acousticness_min"):
+        rows = rows.where(F.col("acousticness") >= spec["acousticness_min"])
+    if spec.get("acousticness_max"):
+        rows = rows.where(F.col("acousticness") <= spec["acousticness_max"])
+    if spec.get("tags") and tags is not None:
+        rows = rows.join(tags.where(F.lower("tag").isin([t.lower() for t in spec["tags"]])).select("metadata_id").distinct(), "metadata_id", "left_semi")
+    return rows
+
+
+def curated(library: DataFrame, spec: Params, tags: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """One list: copies left out in id order; the best known, or a mix of the three times ``limit`` surest; then the list's order."""
+    n = spec["limit"]
+    pool = without_copies(curated_pool(library, spec, tags), [])
+    if spec.get("popular"):
+        chosen = pool.orderBy(*ordering([(_number("listeners"), True)])).limit(n)
+    else:
+        surest = pool.orderBy(*ordering([(_number("genre_confidence"), True)])).limit(3 * n)
+        chosen = surest.orderBy(F.md5(F.concat("metadata_id", F.lit(str(seed)))), "metadata_id").limit(n)
+    chosen = chosen.select("metadata_id", "bpm", "energy", "camelot_key", F.lit(spec["name"]).alias("list_name"))
+    if spec["sort"] == "harmonic":
+        return chosen.groupBy("list_name").applyInPandas(_harmonic_list, "metadata_id string, list_name string, position int")
+    if spec["sort"] == "energy_arc":
+        return _arc(chosen, 0.6).select("metadata_id", "list_name", "position")
+    return chosen.select("metadata_id", "list_name", F.row_number().over(Window.partitionBy("list_name").orderBy("bpm", "metadata_id")).alias("position"))
+
+
+def _harmonic_list(rows: pd.DataFrame) -> pd.DataFrame:
+    """At most ``limit`` rows of one list in harmonic order; without a fitting key the rest is put in the order of tempo gaps."""
+    name = rows["list_name"].iloc[0]
+    rows = rows.sort_values("metadata_id").astype(object).where(lambda x: x.notna(), None)
+    ids = harmonic(list(zip(rows["metadata_id"], rows["camelot_key"], rows["bpm"])), reorder=True)
+    return pd.DataFrame({"metadata_id": ids, "list_name": name, "position": range(1, len(ids) + 1)})
+
+
 STRATEGIES: dict[str, Callable[[DataFrame, Params], DataFrame]] = {
     "genre": genre,
     "bpm_range": bpm_range,

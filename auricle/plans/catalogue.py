@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auricle.plans import data_quality, duplicates, feeds, playlists, signals, states, texts, upkeep
+from auricle.plans import data_quality, duplicates, feeds, playlists, signals, states, texts, upkeep, views
 
-_MODULES = [playlists, duplicates, states, signals, upkeep, texts, feeds, data_quality]
+_MODULES = [playlists, duplicates, states, signals, upkeep, texts, feeds, views, data_quality]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
