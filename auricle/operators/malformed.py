@@ -2,8 +2,10 @@
 
 Raw delimited lines are parsed into cells by a quote-aware state machine that
 runs inside the JVM; parsed cells (of lines and of already loaded tables) are
-exploded into (row, column, value), joined to a small rule table, evaluated,
-and failing cells are aggregated per row. Clean rows are what remains after an
+exploded into (row, column, value), joined to a small rule table, evaluated by
+the patterns in it, and failing cells are aggregated per row. The quoting of a
+line and the number of its fields are cells of their own, so that every reason
+comes from the table. Clean rows are what remains after an
 anti join.
 
 Defined results: a null or blank line and a header line are neither errors nor
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auricle.io import materialize
+
 #: Columns of the export dialect, in order (fixed values).
 HEADER = ["Title", "Artist", "Album", "Track", "Year", "Length", "Size", "Last Modified", "Path", "Filename"]
 
@@ -27,28 +31,19 @@ SIZE = r"^(\d+|\d+(\.\d{1,2})? ?(KB|MB|GB))$"
 #: column, reason, pattern, whether a match is an error (else a match is required)
 RULES = [
     ("title", "control_character", r"[\x00-\x1F]", True),
-    ("title", "swallowed_fields", r'"[;,]"|;(?=\S)', True),
+    # a quoted seam, or two delimiters with a field between them; one delimiter alone may belong to a name
+    ("title", "swallowed_fields", r'"[;,]"|;\S[^;]*;', True),
     ("length", "invalid_length", LENGTH, False),
     ("size", "invalid_size", SIZE, False),
+    ("line quoting", "broken_quoting", "^broken$", True),
+    ("line fields", "wrong_field_count", f"^{len(HEADER)}$", False),
 ]
-
-#: Copies of each header row, so that a file with a third of all lines is joined in many tasks.
-HEADER_SALT = 16
+_FIELDS = {"title": "title", "length": "length_seconds", "size": "file_size"}
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
     """The rules as rows; their number is fixed, so the join may broadcast them."""
-    rows = [(i, column, reason) for i, (column, reason, _, _) in enumerate(RULES)]
-    return spark.createDataFrame(rows, "rule int, column string, reason string")
-
-
-def _violates(rule: Column, value: Column) -> Column:
-    """Whether ``value`` breaks the rule; patterns stay literals so that they are compiled once."""
-    out = F.lit(False)
-    for i, (_, _, pattern, bad) in enumerate(RULES):
-        hit = value.rlike(pattern) if bad else (value != "") & ~value.rlike(pattern)
-        out = F.when(rule == i, hit).otherwise(out)
-    return F.coalesce(out, F.lit(False))
+    return spark.createDataFrame(RULES, "column string, reason string, pattern string, bad boolean")
 
 
 def _count(text: Column, what: str) -> Column:
@@ -108,25 +103,19 @@ def parse_cells(line: Column, sep: Column) -> Column:
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Record lines with their dialect and cells: record_id, file_name, line_no, cells, broken.
 
-    The dialect is the header's (line 1 of the file). The header side of the
-    join is salted, so that one huge file does not end up in one task.
+    The dialect is the header's (line 1 of the file). Headers are stored, so that Spark knows their size: below its
+    threshold they are broadcast and the lines do not move; beyond it the join splits a file that has many lines.
     """
-    salt = F.pmod(F.xxhash64("record_id"), F.lit(HEADER_SALT))
-    head = (
-        lines.where(F.col("line_no") == 1)
-        .groupBy("file_name")
-        .agg(F.min("raw_line").alias("header"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HEADER_SALT - 1)).cast("array<bigint>")))
-    )
+    head = materialize(lines.where(F.col("line_no") == 1).groupBy("file_name").agg(F.min("raw_line").alias("header")))
     body = lines.where((F.col("line_no") > 1) & (F.trim(F.regexp_replace("raw_line", r"[\s\x00]+", " ")) != "")).select(
-        "record_id", "file_name", "line_no", "raw_line", salt.alias("salt")
+        "record_id", "file_name", "line_no", "raw_line"
     )
     text = F.coalesce("header", "raw_line")
     sep = F.when(text.startswith('"'), F.lit(",")).otherwise(F.lit(";"))
     cells = parse_cells(F.col("raw_line"), F.col("sep"))
     ended = (F.col("sep") == ";") & (F.try_element_at("cells", F.lit(-1)) == "")
     return (
-        body.join(head, ["file_name", "salt"], "left")
+        body.join(head, "file_name", "left")
         .where(F.col("header").isNull() | (F.col("raw_line") != F.col("header")))
         .withColumn("sep", sep)
         .withColumn("cells", cells)
@@ -139,10 +128,11 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 def failing_cells(cells: DataFrame) -> DataFrame:
     """(src_table, rec_key, column, value) joined to the rules; one row per broken rule."""
     rules = F.broadcast(rule_table(cells.sparkSession))
+    hit = F.rlike("value", F.col("pattern"))
     return (
         cells.where(F.col("value").isNotNull())
         .join(rules, "column")
-        .where(_violates(F.col("rule"), F.col("value")))
+        .where(F.when(F.col("bad"), hit).otherwise((F.col("value") != "") & ~hit))
         .select("src_table", "rec_key", "reason")
     )
 
@@ -154,34 +144,27 @@ def _aggregate(reasons: DataFrame) -> DataFrame:
 
 
 def _line_cells(parsed: DataFrame) -> DataFrame:
+    """Cells of the judged columns; lines of another shape have only the cells of their shape."""
     at = {name: HEADER.index(head) for name, head in (("title", "Title"), ("length", "Length"), ("size", "Size"))}
-    pairs = [F.struct(F.lit(n).alias("column"), F.col("cells")[i].alias("value")) for n, i in at.items()]
-    return (
-        parsed.where(~F.col("broken") & (F.size("cells") == len(HEADER)))
-        .select(F.col("record_id").cast("string").alias("rec_key"), F.explode(F.array(*pairs)).alias("c"))
-        .select(F.lit("track_import_lines").alias("src_table"), "rec_key", "c.column", "c.value")
+    whole = ~F.col("broken") & (F.size("cells") == len(HEADER))
+    cell = lambda name, value: F.struct(F.lit(name).alias("column"), value.alias("value"))
+    fields = F.array(*[cell(n, F.col("cells")[i]) for n, i in at.items()])
+    shape = F.array(cell("line quoting", F.when(F.col("broken"), "broken")), cell("line fields", F.when(~F.col("broken"), F.size("cells").cast("string"))))
+    return parsed.select(F.col("record_id").cast("string").alias("rec_key"), F.explode(F.when(whole, fields).otherwise(shape)).alias("c")).select(
+        F.lit("track_import_lines").alias("src_table"), "rec_key", "c.column", "c.value"
     )
 
 
 def line_errors(lines: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """(src_table, rec_key, reasons) of the lines that do not load."""
-    parsed = parse_lines(lines) if parsed is None else parsed
-    shape = (
-        parsed.where(F.col("broken") | (F.size("cells") != len(HEADER)))
-        .select(
-            F.lit("track_import_lines").alias("src_table"),
-            F.col("record_id").cast("string").alias("rec_key"),
-            F.when(F.col("broken"), "broken_quoting").otherwise("wrong_field_count").alias("reason"),
-        )
-    )
-    return _aggregate(shape.unionByName(failing_cells(_line_cells(parsed))))
+    return _aggregate(failing_cells(_line_cells(parse_lines(lines) if parsed is None else parsed)))
 
 
 def track_failures(tracks: DataFrame) -> DataFrame:
     """(src_table, rec_key, reason), one row per broken rule of a loaded track."""
     pairs = [
         F.struct(F.lit(n).alias("column"), F.col(c).alias("value"))
-        for n, c in (("title", "title"), ("length", "length_seconds"), ("size", "file_size"))
+        for n, c in _FIELDS.items()
     ]
     cells = tracks.select(F.col("metadata_id").alias("rec_key"), F.explode(F.array(*pairs)).alias("c")).select(
         F.lit("tracks").alias("src_table"), "rec_key", "c.column", "c.value"
@@ -198,7 +181,9 @@ def is_malformed_track() -> Column:
     """The same rules as one predicate over a tracks row, for operators that leave such rows out."""
     out = F.lit(False)
     for column, _, pattern, bad in RULES:
-        value = F.col({"title": "title", "length": "length_seconds", "size": "file_size"}[column])
+        if column not in _FIELDS:
+            continue
+        value = F.col(_FIELDS[column])
         hit = value.rlike(pattern) if bad else (value != "") & ~value.rlike(pattern)
         out = out | F.coalesce(hit, F.lit(False))
     return out

@@ -50,7 +50,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p1_clean_lines, p1_clean
 _LENGTH_OK = r"^(\d+|\d+:[0-5]\d|\d+:[0-5]\d:[0-5]\d)$"
 _SIZE_OK = r"^(\d+|\d+(\.\d{1,2})? ?(KB|MB|GB))$"
 _BAD_TRACK = rf"""
-    coalesce(regexp_matches(title, '[\x00-\x1F]'), false) OR coalesce(regexp_matches(title, '"[;,]"|;\S'), false)
+    coalesce(regexp_matches(title, '[\x00-\x1F]'), false) OR coalesce(regexp_matches(title, '"[;,]"|;\S[^;]*;'), false)
     OR coalesce(length_seconds <> '' AND NOT regexp_matches(length_seconds, '{_LENGTH_OK}'), false)
     OR coalesce(file_size <> '' AND NOT regexp_matches(file_size, '{_SIZE_OK}'), false)"""
 
