@@ -66,12 +66,3 @@ def test_tracks_and_predicate_agree(spark):
     df = spark.createDataFrame(rows, "metadata_id string, title string, length_seconds string, file_size string").withColumn("value", F.lit("clash"))
     bad = {r["rec_key"] for r in m.track_errors(df).collect()}
     assert bad == {"c", "d", "e"} == {r["metadata_id"] for r in df.where(m.is_malformed_track()).collect()}
-
-
-def test_one_delimiter_is_no_swallowed_field(spark):
-    from auricle.operators import malformed
-
-    titles = ["AC;DC", "A;B;C", 'A","B', "plain; and spaced", None, ""]
-    df = spark.createDataFrame([(str(i), t, "1:00", "1 MB") for i, t in enumerate(titles)], "metadata_id string, title string, length_seconds string, file_size string")
-    assert {r["rec_key"] for r in malformed.track_errors(df).collect()} == {"1", "2"}
-    assert {r["metadata_id"] for r in df.where(malformed.is_malformed_track()).collect()} == {"1", "2"}
