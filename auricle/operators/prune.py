@@ -34,3 +34,10 @@ def axe_list(rows: DataFrame) -> DataFrame:
     level = F.create_map(*[x for t, p in PRIORITY.items() for x in (F.lit(t), F.lit(p))])
     every = exact.unionByName(poor).unionByName(extra).withColumn("level", level[F.col("tier")])
     return every.groupBy("metadata_id").agg(F.min_by(F.struct("tier", "reason"), "level").alias("s")).select("metadata_id", "s.tier", "s.reason")
+
+
+def axe_order(listed: DataFrame, tracks: DataFrame) -> DataFrame:
+    """The list with its tracks in the order of tiers, acts and titles, without case."""
+    level = F.create_map(*[x for t, p in PRIORITY.items() for x in (F.lit(t), F.lit(p))])
+    named = listed.join(tracks.select("metadata_id", "artist", "title"), "metadata_id")
+    return named.orderBy(level[F.col("tier")], F.lower(F.coalesce("artist", F.lit(""))), F.lower(F.coalesce("title", F.lit(""))), "metadata_id")

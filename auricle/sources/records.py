@@ -22,11 +22,28 @@ TAG_KEYS = {
     "title": ["tit2", "title", "©nam"],
     "artist": ["tpe1", "artist", "©art"],
     "album": ["talb", "album", "©alb"],
-    "year": ["tdrc", "date", "year", "©day"],
-    "genre": ["tcon", "genre", "©gen"],
+    "year": ["tdrc", "tyer", "date", "year", "©day"],
     "track_number": ["trck", "tracknumber", "trkn"],
+    "genre": ["tcon", "genre", "©gen"],
+    "album_artist": ["tpe2", "albumartist", "aart"],
     "disc_number": ["tpos", "discnumber", "disk"],
+    "total_tracks": ["tracktotal", "totaltracks", "trck_total", "trkn_total"],
+    "original_year": ["tdor", "originaldate", "originalyear"],
+    "label": ["tpub", "label", "organization"],
+}
+#: Ids that files hold, by the name of their source (fixed values).
+ID_KEYS = {
+    "musicbrainz": ["musicbrainz_trackid", "musicbrainz_recording_id"],
+    "musicbrainz_artist": ["musicbrainz_artistid"],
+    "musicbrainz_album": ["musicbrainz_albumid"],
+    "embedded_isrc": ["isrc", "tsrc"],
 }
+#: Frames of a tag and what a probe calls them (fixed values).
+FRAMES = {
+    "TIT2": "title", "TPE1": "artist", "TALB": "album", "TRCK": "track", "TDRC": "date", "TYER": "year", "TCON": "genre", "TBPM": "bpm", "TKEY": "key", "TPUB": "publisher", "COMM": "comment", "TLAN": "language", "TCOP": "copyright",
+    "TPE2": "album_artist", "TPOS": "disc_number",
+}
+SERVICE_TRACK = "tracks struct<items:array<struct<id:string,name:string,popularity:int,duration_ms:long,external_ids:struct<isrc:string>,album:struct<name:string,release_date:string>,artists:array<struct<id:string,name:string>>>>>"
 AUDIO = ("mp3", "flac", "m4a", "ogg", "opus", "wav", "aac", "wma")
 
 
@@ -46,10 +63,41 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("_corrupt_record is null and metadata_id is not null").drop("_corrupt_record")
 
 
-def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, modificationTime, length) of audio files below a folder; content is not read."""
+#: Encodings that are tried in order; the last one reads anything.
+ENCODINGS = ["utf-8", "utf-8-sig", "utf-16", "latin-1"]
+
+
+def encoding_of(head: bytes) -> str:
+    """The first encoding that reads the head of a file; a character cut at its end does not count against one."""
+    import codecs
+
+    for name in ENCODINGS:
+        try:
+            codecs.getincrementaldecoder(name)().decode(head)
+        except UnicodeError:
+            continue
+        return name
+    return ENCODINGS[-1]
+
+
+def sniff(spark: SparkSession, path: str, size: int = 65_536) -> tuple[str, str]:
+    """(separator, encoding) of an export, from the head of its first file only."""
+    head = spark.read.format("binaryFile").load(path).select(F.substr("content", F.lit(1), F.lit(size)).alias("h"), "path").where("length(h) > 0").orderBy("path").first()
+    if head is None:
+        raise FileNotFoundError(path)
+    raw = bytes(head["h"])
+    encoding = encoding_of(raw)
+    text = raw.decode(encoding, "ignore")
+    return separator_of(text.splitlines()[0] if text else ""), encoding
+
+
+def scan_files(spark: SparkSession, path: str, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """(path, modificationTime, length) of audio files below a folder, but for excluded ones; content is not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime", "length")
-    return files.where(F.lower(F.regexp_extract("path", r"\.([^.\\/]+)$", 1)).isin(*AUDIO))
+    found = files.where(F.lower(F.regexp_extract("path", r"\.([^.\\/]+)$", 1)).isin(*AUDIO))
+    for name in excluded:
+        found = found.where(~F.contains(F.lower("path"), F.lit("/" + name.strip("\\/").lower() + "/")))
+    return found
 
 
 def probe_report(text: Column) -> Column:
@@ -67,11 +115,37 @@ def probe_report(text: Column) -> Column:
 
 
 def tag_field(tags: Column, field: str) -> Column:
-    """The first filled tag of a field; numbers lose the total after ``/``."""
-    out = F.coalesce(*[F.nullif(F.trim(tags[k]), F.lit("")) for k in TAG_KEYS[field]])
+    """The first filled tag of a field; numbers lose the total after ``/``, which stands for an absent total."""
+    filled = lambda name: F.coalesce(*[F.nullif(F.trim(tags[k]), F.lit("")) for k in TAG_KEYS[name]])
+    out = filled(field)
+    if field == "total_tracks":
+        return F.coalesce(out, F.try_element_at(F.split(filled("track_number"), "/", 2), F.lit(2)))
     return F.split(out, "/", 2)[0] if field.endswith("_number") else out
 
 
+def file_tags(tags: Column) -> Column:
+    """struct of all fields of a file's tags, its ids by source, and the tags as they are."""
+    low = F.transform_keys(tags, lambda k, _: F.lower(k))
+    ids = F.map_filter(F.create_map(*[x for name, keys in ID_KEYS.items() for x in (F.lit(name), F.coalesce(*[F.nullif(F.trim(low[k]), F.lit("")) for k in keys]))]), lambda _, v: v.isNotNull())
+    return F.struct(*[tag_field(low, f).alias(f) for f in TAG_KEYS], ids.alias("embedded_ids"), F.to_json(tags).alias("raw_tags_json"))
+
+
+def frame_tags(frames: Column) -> Column:
+    """Known frames under their names; others and empty ones are left out."""
+    names = F.create_map(*[x for k, v in FRAMES.items() for x in (F.lit(k), F.lit(v))])
+    known = F.map_filter(frames, lambda k, v: names[k].isNotNull() & (F.trim(v) != ""))
+    return F.transform_keys(known, lambda k, _: names[k])
+
+
+def service_track(text: Column) -> Column:
+    """The first hit of a service's track search: artists joined, the leading year of the release."""
+    t = F.try_element_at(F.from_json(text, SERVICE_TRACK)["tracks"]["items"], F.lit(1))
+    return F.struct(
+        t["id"].alias("track_id"), t["name"].alias("title"), F.array_join(F.transform(t["artists"], lambda a: a["name"]), ", ").alias("artist"), t["album"]["name"].alias("album"),
+        F.regexp_extract(t["album"]["release_date"], r"^(\d{4})", 1).alias("year"), t["external_ids"]["isrc"].alias("isrc"), t["duration_ms"].alias("duration_ms"), t["popularity"].alias("popularity"),
+    )
+
+
 def lastfm_track(text: Column) -> Column:
     t = F.from_json(text, LASTFM_TRACK)["track"]
     return F.struct(

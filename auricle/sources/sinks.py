@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,22 @@ def write_export(rows: DataFrame, path: str, form: str) -> None:
 def write_partitioned(rows: DataFrame, path: str, keys: list[str]) -> None:
     """Replace only the partitions that ``rows`` holds."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def write_documents(rows: DataFrame, path: str) -> None:
+    """One JSON document a line from (id, payload), in files that appear only when they are whole."""
+    rows.select("payload").write.mode("overwrite").text(path)
+
+
+def byte_range(content: Column, header: Column) -> Column:
+    """struct(status, start, stop, body) of a request for ``bytes=a-b`` of a file; a range outside it is not satisfiable."""
+    size = F.length(content)
+    first, last = F.regexp_extract(header, r"^bytes=(\d*)-(\d*)$", 1), F.regexp_extract(header, r"^bytes=(\d*)-(\d*)$", 2)
+    start = F.when(first != "", first.try_cast("long")).otherwise(F.greatest(F.lit(0), size - last.try_cast("long")))
+    stop = F.when((first != "") & (last != ""), F.least(last.try_cast("long"), size - 1)).otherwise(size - 1)
+    whole = header.isNull() | (header == "")
+    good = header.rlike(r"^bytes=(\d+-\d*|-\d+)$") & (start <= stop) & (start < size)
+    part = F.substr(content, (start + 1).cast("int"), (stop - start + 1).cast("int"))
+    return F.struct(
+        F.when(whole, 200).when(good, 206).otherwise(416).alias("status"), F.when(whole, 0).when(good, start).cast("long").alias("start"), F.when(whole, size - 1).when(good, stop).cast("long").alias("stop"), F.when(whole, content).when(good, part).alias("body")
+    )
