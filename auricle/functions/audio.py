@@ -49,6 +49,14 @@ def spectrum(rate: float):
     return run
 
 
+def note_at(index: Column) -> Column:
+    """The name of a pitch class from 0; null where the index is null or no class.
+
+    ``element_at`` gives the last of literal elements for a null index, so the index is tested first.
+    """
+    return F.when(index.isNotNull() & index.between(0, 11), F.element_at(F.array(*[F.lit(n) for n in NOTES]), F.coalesce(index + 1, F.lit(1)).cast("int")))
+
+
 def key_of(chroma: Column) -> Column:
     """struct(key, mode, score): the strongest pitch class as tonic and the profile that correlates better with it."""
     tonic = (F.array_position(chroma, F.array_max(chroma)) - 1).cast("int")
@@ -56,8 +64,8 @@ def key_of(chroma: Column) -> Column:
     profile = lambda p: F.array(*[F.lit(v) for v in p])
     major, minor = correlation(turned, profile(MAJOR)), correlation(turned, profile(MINOR))
     return F.struct(
-        F.element_at(F.array(*[F.lit(n) for n in NOTES]), tonic + 1).alias("key"),
-        F.when(major >= minor, "major").otherwise("minor").alias("mode"),
+        note_at(tonic).alias("key"),
+        F.when(major >= minor, "major").when(tonic.isNotNull(), "minor").alias("mode"),
         F.greatest(major, minor).alias("score"),
     )
 

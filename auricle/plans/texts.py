@@ -158,11 +158,26 @@ def q96_signal_ranges(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.round(audio.dynamic_range(c("v")), 4).alias("db"), F.round(audio.onset_rate(F.size(F.filter("v", lambda x: x > 0)), F.lit(4.0)), 6).alias("onsets"), audio.cutoff_bin(c("v")).cast("long").alias("cutoff"))
 
 
+def q141_camelot_signals(spark: SparkSession, d: str) -> DataFrame:
+    """The wheel key of a note and a mode made from the duration; unknown ones have none."""
+    ms = c("duration_ms")
+    note = audio.note_at(ms % 12)
+    mode = F.when(ms % 7 == 0, "unknown").when(ms % 2 == 0, "major").otherwise("minor")
+    return library(spark, d).select("metadata_id", features.camelot(note, mode).alias("camelot_key"))
+
+
+def q142_list_durations(spark: SparkSession, d: str) -> DataFrame:
+    """Whole duration of every album, in milliseconds and as it is shown; unknown ones count as 0."""
+    rows = library(spark, d).where("album != ''").groupBy("album").agg(F.sum(F.coalesce("duration_ms", F.lit(0))).cast("long").alias("ms"))
+    return rows.select("album", "ms", coerce.minutes_seconds(c("ms")).alias("shown"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         q79_fill_from_filename, q80_match_keys, q81_release_titles, q82_ascii_keys, q83_playlist_ids, q84_fuzzy_scores, q85_key_compatibility, q86_integrity_labels,
         q87_json_lists, q88_tag_confidence, q89_probe_reports, q90_lastfm_tracks, q91_recordings, q92_fingerprint_hits, q93_moved_paths, q94_durations, q95_feature_defaults, q96_signal_ranges,
+        q141_camelot_signals, q142_list_durations,
     )
 }
 
@@ -192,7 +207,13 @@ def _lead(x: str) -> str:
 _SAFE = r"CASE WHEN regexp_matches(lower({0}), '\.[a-z0-9]+$') THEN regexp_replace({0}, '\.[A-Za-z0-9]+$', '') ELSE {0} END"
 _LABELS = ", ".join(f"CASE WHEN regexp_matches(s, '(?i){p}') THEN '{label}' END" for p, label in features.CORRUPTION)
 
+_KEY = "CASE " + " ".join(f"WHEN note = '{k}' AND mode = '{m}' THEN '{v}'" for (k, m), v in features.CAMELOT.items()) + " END"
+
 ORACLE = {
+    "q141_camelot_signals": f"""WITH {LIB}, n AS (SELECT metadata_id, ({audio.NOTES})[CAST(duration_ms % 12 + 1 AS INTEGER)] AS note, CASE WHEN duration_ms % 7 = 0 THEN 'unknown' WHEN duration_ms % 2 = 0 THEN 'major' ELSE 'minor' END AS mode FROM lib)
+SELECT metadata_id, {_KEY} AS camelot_key FROM n""",
+    "q142_list_durations": f"""WITH {LIB}, a AS (SELECT album, CAST(sum(coalesce(duration_ms, 0)) AS BIGINT) AS ms FROM lib WHERE album <> '' GROUP BY 1)
+SELECT album, ms, CAST(ms // 60000 AS VARCHAR) || 'm ' || CAST((ms // 1000) % 60 AS VARCHAR) || 's' AS shown FROM a""",
     "q79_fill_from_filename": f"""WITH p AS ({SIGNALS["q46_filename_parse"]}) SELECT t.metadata_id, CASE WHEN trim(coalesce(t.title, '')) = '' AND p.title <> '' THEN p.title ELSE t.title END AS title,
   CASE WHEN trim(coalesce(t.artist, '')) = '' AND p.artist <> '' THEN p.artist ELSE t.artist END AS artist FROM tracks t LEFT JOIN p USING (metadata_id)""",
     "q80_match_keys": f"SELECT metadata_id, {_match_key('title')} AS title_key, {_match_key('artist')} AS artist_key FROM tracks",

@@ -141,3 +141,10 @@ def test_harmonic_reorder():
     rows = [("a", "1A", 100.0), ("b", "5B", 90.0), ("c", "9B", 104.0), ("d", "9B", 96.0)]
     assert playlist.harmonic(rows) == ["a", "c", "d", "b"] and playlist.harmonic(rows, reorder=True)[0] == "a"
     assert playlist.harmonic([]) == []
+
+
+def test_key_of_nothing(spark):
+    """No chroma has no key, and a null pitch class no note."""
+    df = frame(spark, [(None, None), ([0.0] * 11 + [1.0], 11), ([1.0] + [0.0] * 11, 0)], "v array<double>, i int")
+    got = [(r["k"]["key"], r["n"]) for r in df.select(audio.key_of(F.col("v")).alias("k"), audio.note_at(F.col("i")).alias("n")).collect()]
+    assert got == [(None, None), ("B", "B"), ("C", "C")]
