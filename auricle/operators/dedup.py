@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -60,7 +61,11 @@ def _histograms(texts: list[str]) -> np.ndarray:
     return out.astype(np.uint8) if out.size and out.max() < 256 else out
 
 
-def _similar(pdf: pd.DataFrame) -> pd.DataFrame:
+def _similar(least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda pdf: _similar_in_blocks(pdf, least)
+
+
+def _similar_in_blocks(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     """Pairs of two blocks of one artist: an upper bound by characters first, then the exact ratio."""
     row, col = pdf["row"].iloc[0], pdf["col"].iloc[0]
     pdf = pdf.sort_values("metadata_id", kind="stable").drop_duplicates("metadata_id")
@@ -75,17 +80,17 @@ def _similar(pdf: pd.DataFrame) -> pd.DataFrame:
         gap = np.abs(ms[other] - ms[i])
         other = other[np.isnan(gap) | (gap <= GAP_MS)]
         total = size[other] + size[i]
-        other = other[2 * np.minimum(size[other], size[i]) >= THRESHOLD * total]
+        other = other[2 * np.minimum(size[other], size[i]) >= least * total]
         if not len(other):
             continue
         common = np.minimum(counts[other], counts[i]).sum(1, dtype=np.int64)
-        for j in other[2 * common >= THRESHOLD * (size[other] + size[i])]:
-            if SequenceMatcher(None, titles[i], titles[j]).ratio() >= THRESHOLD:
+        for j in other[2 * common >= least * (size[other] + size[i])]:
+            if SequenceMatcher(None, titles[i], titles[j]).ratio() >= least:
                 out.append((ids[i], ids[j]))
     return pd.DataFrame(out, columns=["a", "b"], dtype=object)
 
 
-def similar_pairs(tracks: DataFrame) -> DataFrame:
+def similar_pairs(tracks: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """(a, b), a before b: tracks of one artist with similar titles and durations at most 5 s apart or unknown.
 
     Blocks of an artist are cut by hash, so one with a third of all rows is compared in many tasks.
@@ -98,7 +103,7 @@ def similar_pairs(tracks: DataFrame) -> DataFrame:
     met = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "metadata_id", "artist_key", "key", "duration_ms", "block", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col")
     )
-    return met.groupBy("artist_key", "row", "col").applyInPandas(_similar, "a string, b string").distinct()
+    return met.groupBy("artist_key", "row", "col").applyInPandas(_similar(least), "a string, b string").distinct()
 
 
 def fuzzy_duplicates(tracks: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auricle.functions.similarity import bound, percent_ratio, ratio
 from auricle.io import materialize
+from auricle.operators.dedup import similar_pairs
 from auricle.operators.selection import star_clusters
 
 #: Keys of one side that a task compares at once.
@@ -229,16 +230,18 @@ def fuzzy_repeats(members: DataFrame, by: str, order: str, least: float = 85.0)
     """(by, fuzzy_repeats): members whose artist key an earlier kept member has, with an equal or similar title key.
 
     Needs ``artist_key`` and ``title_key``. Members are taken in order; a repeat is not kept, so later ones are compared
-    with kept ones only: these are star clusters of the links between members of one list and artist.
+    with kept ones only: these are star clusters of the links between members of one list and artist. ``order`` must sort as text.
     """
     m = members.select(by, F.col(order).alias("at"), "artist_key", "title_key")
     seen = m.groupBy(by, "artist_key", "title_key").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    a, b = seen.select(by, "artist_key", F.col("title_key").alias("ta"), F.col("at").alias("aa")), seen.select(by, "artist_key", F.col("title_key").alias("tb"), F.col("at").alias("ab"))
-    met = a.join(b, [by, "artist_key"]).where((F.col("aa") < F.col("ab")) & (bound(F.col("ta"), F.col("tb")) * 100 >= least))
-    close = met.where(percent_ratio(F.col("ta"), F.col("tb")) >= least)
-    node = lambda at: F.struct(F.col(by).alias("l"), F.col(at).alias("at"))
-    stars = star_clusters(close.select(node("aa").alias("a"), node("ab").alias("b")))
-    similar = stars.groupBy(F.col("member.l").alias(by)).agg(F.count("*").alias("similar"))
+    # one group is a list and an artist; groups are cut into blocks that meet pairwise, so none is compared in one task
+    mark = F.lit("\x1f")
+    rows = seen.select(
+        F.concat(F.col("at").cast("string"), mark, F.col(by).cast("string")).alias("metadata_id"), F.concat(F.col(by).cast("string"), mark, "artist_key").alias("artist"), F.col("title_key").alias("title"), F.lit(None).cast("long").alias("duration_ms")
+    )
+    stars = star_clusters(similar_pairs(rows, least / 100))
+    lists = seen.select(by, F.concat(F.col("at").cast("string"), mark, F.col(by).cast("string")).alias("member"))
+    similar = lists.join(stars.select("member"), "member").groupBy(by).agg(F.count("*").alias("similar"))
     # copies of a kept or repeated title repeat it, except its first occurrence
     same = seen.groupBy(by).agg(F.sum(F.col("n") - 1).alias("same"))
     return same.join(similar, by, "left").select(by, (F.col("same") + F.coalesce("similar", F.lit(0))).cast("long").alias("fuzzy_repeats"))

@@ -124,13 +124,15 @@ def q91_recordings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q92_fingerprint_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Copies of a title as hits of one lookup: every hit, and the best one."""
-    t = load(spark, d, "tracks").where("title != '' and artist != ''").groupBy(F.lower("title").alias("k")).agg(F.array_sort(F.collect_list(F.struct("metadata_id", "title", "artist", "album"))).alias("xs")).where("size(xs) > 1")
-    recording = lambda x: F.struct(x["metadata_id"].alias("id"), x["title"].alias("title"), F.array(F.struct(x["artist"].alias("name"))).alias("artists"), F.array(F.struct(x["album"].alias("title"))).alias("releases"))
-    result = F.transform("xs", lambda x, i: F.struct(x["metadata_id"].alias("id"), (F.lit(1.0) / (i + 1)).alias("score"), F.array(recording(x)).alias("recordings")))
-    hits = records.fingerprint_hits(t.select("k", F.to_json(F.struct(result.alias("results"))).alias("body")), "k", "body")
+    """Each track as a lookup of two results, itself and a worse one: every hit, and the best one."""
+    t = load(spark, d, "tracks").where("title != '' and artist != ''")
+    recording = lambda i, title: F.struct(i.alias("id"), title.alias("title"), F.array(F.struct(c("artist").alias("name"))).alias("artists"), F.array(F.struct(c("album").alias("title"))).alias("releases"))
+    result = lambda score, r: F.struct(F.lit("r").alias("id"), F.lit(score).alias("score"), F.array(r).alias("recordings"))
+    other = recording(F.concat(F.lit("x-"), "metadata_id"), F.concat("title", F.lit(" (Live)")))
+    body = F.to_json(F.struct(F.array(result(0.4, other), result(0.9, recording(c("metadata_id"), c("title")))).alias("results")))
+    hits = records.fingerprint_hits(t.select(c("metadata_id").alias("k"), body.alias("body")), "k", "body")
     best = records.best_hit(hits, "k")
-    return hits.join(best.select("k", c("recording_id").alias("best")), "k").select("k", F.round("score", 6).alias("score"), "recording_id", "title", "artist", "album", "best")
+    return hits.join(best.select("k", c("recording_id").alias("best")), "k").select("k", "score", "recording_id", "title", "artist", "album", "best")
 
 
 def q93_moved_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -233,9 +235,8 @@ SELECT metadata_id, CAST(len(l) AS INTEGER) AS issues, coalesce(array_to_string(
     "q90_lastfm_tracks": "SELECT s.id, coalesce(listeners, 0) AS listeners, coalesce(play_count, 0) AS play_count, t.album, 1 AS tags, CAST(s.id % 100 AS INTEGER) AS first_count FROM artist_stats s JOIN tracks t USING (metadata_id) WHERE source = 'lastfm'",
     "q91_recordings": """WITH s AS (SELECT metadata_id, arg_max(struct_pack(c := country, y := active_years), id) AS s FROM artist_stats WHERE source = 'musicbrainz' GROUP BY 1)
 SELECT t.metadata_id, t.title, 'ISRC' || right(t.metadata_id, 4) AS isrc, t.album, t.year AS date, s.s.c AS country, CASE WHEN s.s.y IS NOT NULL THEN substr(s.s.y, 1, 4) || '-present' END AS active_years FROM tracks t LEFT JOIN s USING (metadata_id)""",
-    "q92_fingerprint_hits": """WITH h AS (SELECT lower(title) AS k, metadata_id, title, artist, album, count(*) OVER (PARTITION BY lower(title)) AS n, row_number() OVER (PARTITION BY lower(title) ORDER BY metadata_id) AS i,
-  min(metadata_id) OVER (PARTITION BY lower(title)) AS best FROM tracks WHERE title <> '' AND artist <> '')
-SELECT k, round(1.0::DOUBLE / i, 6) AS score, metadata_id AS recording_id, title, artist, album, best FROM h WHERE n > 1""",
+    "q92_fingerprint_hits": """WITH t AS (SELECT * FROM tracks WHERE title <> '' AND artist <> '')
+SELECT metadata_id AS k, 0.9::DOUBLE AS score, metadata_id AS recording_id, title, artist, album, metadata_id AS best FROM t UNION ALL SELECT metadata_id, 0.4::DOUBLE, 'x-' || metadata_id, title || ' (Live)', artist, album, metadata_id FROM t""",
     "q93_moved_paths": rf"""SELECT metadata_id, full_path || '.sidecar.json' AS sidecar,
   '/quarantine/' || CASE WHEN regexp_matches(full_path, '^[A-Za-z]:') THEN left(full_path, 1) || '/' || regexp_replace(replace(substr(full_path, 3), '\', '/'), '^/+', '') ELSE regexp_replace(replace(full_path, '\', '/'), '^/+', '') END AS mirrored,
   CASE WHEN regexp_matches(full_path, '^[A-Za-z]:\\') AND length(full_path) >= 260 THEN '\\?\' || full_path ELSE full_path END AS long_form, {_SAFE.format('full_path')} || '.opus' AS target FROM tracks""",
