@@ -61,6 +61,8 @@ SUSPECT = (
 #: Values kept out of the character model: of accented letters in a row, natural text holds two at most.
 UNTRUSTED = SUSPECT.replace(r"|[\x{A0}-\x{24F}][\x{A0}-\x{24F}\x{2010}-\x{203A}]", r"|[\x{A0}-\x{24F}]{3}")
 SOURCE = r"^([A-Za-z]:\\[^\\]*|/[^/]*/[^/]*)"
+#: Values that one task of Python explains, so that tasks stay alike at any size.
+ROWS_PER_TASK = 20_000
 EM_ROUNDS = 6
 #: Pseudo-count of a chain in the prior of a (source, field).
 ALPHA = 0.5
@@ -234,7 +236,7 @@ def chains(text: str, model: Model) -> list[tuple[str, str | None, float]]:
     out: list[tuple[str, str | None, float]] = [(CLEAN, text, base)]
     seen = {text}
     frontier = [("", text)]
-    for _ in range(3):
+    while frontier:  # every layer that comes off makes the text shorter
         reached = []
         for name, now in frontier:
             for codec in BYTE_CODECS:
@@ -244,8 +246,6 @@ def chains(text: str, model: Model) -> list[tuple[str, str | None, float]]:
                     reached.append((f"{name}>utf-8:{codec}".lstrip(">"), got))
         out += [(name, got, model.score(got)) for name, got in reached]
         frontier = reached
-        if not frontier:
-            break
     for true, read in PLAIN_CHAINS:
         got = undo_plain(text, true, read)
         if got is not None and got not in seen:
@@ -322,7 +322,7 @@ def explain(tracks: DataFrame) -> DataFrame:
     values = melt(tracks)
     rows = materialize(values.where(suspicious(F.col("value"))))
     pairs = train(values)
-    tasks = tracks.sparkSession.sparkContext.defaultParallelism
+    tasks = max(tracks.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK))
     distinct = rows.groupBy("source", "field_name", "value").agg(F.count("*").alias("n"))
     schema = "source string, field_name string, value string, n long, chain string, repaired string, loglik double"
     options = (

@@ -36,6 +36,8 @@ from auricle.llm.names import near, parse, relation, swapped
 #: Weights of title, act and path, and the confidence from which a pair counts.
 WEIGHTS = (0.55, 0.35, 0.10)
 LEAST = 0.80
+#: Rows for whose acts one task of Python parses the names, so that tasks stay alike at any size.
+ROWS_PER_TASK = 100_000
 
 _GUEST = r"(?i)\s*[\(\[](?:feat\.?|ft\.?|featuring|with)\s[^\)\]]*[\)\]]|\s(?:feat\.|ft\.|featuring)\s[^\(\)\[\]]*"
 _NOTE = r"(?i)\s*(?:[\(\[]|\s-\s)\s*(?:(?:\d{4}\s)?remaster(?:ed)?(?:\s\d{4})?(?:\sversion)?|album version|single version|mono|stereo|bonus track|explicit)\s*[\)\]]?"
@@ -296,7 +298,8 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     rows = materialize(left.unionByName(right).withColumn("row", F.monotonically_increasing_id()))
     tracks, songs = rows.where("side = 0"), rows.where("side = 1")
     acts = rows.select("side", F.explode(_acts()).alias("act")).distinct()
-    cores = materialize(acts.repartition("act").mapInPandas(_cores, "side int, act string, core string"))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK))
+    cores = materialize(acts.repartition(tasks).mapInPandas(_cores, "side int, act string, core string"))
     near_title = _one_edit_away(rows.select("side", F.explode(F.array("title", "path_title")).alias("title")), "title")
     near_core = materialize(_one_edit_away(cores, "core"))
     mine = _sort_keys(songs, cores.where("side = 1"))

@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 
 from auricle.io import materialize
 
+#: Names that one task of Python parses, so that tasks stay alike at any size.
+ROWS_PER_TASK = 20_000
+
 # Kinds of ensemble with their abbreviations and translations (fixed values).
 KINDS = {
     "orchestra": "orchestra orch orchestre orchester orquesta orquestra orkester orchestr",
@@ -331,7 +334,8 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def link(names: DataFrame) -> DataFrame:
     """(name_a, name_b, how) of directly linked names from (name, n); of ``initial`` links, name_a has the initial."""
     schema = "name string, n long, tokens array<string>, kind string, nick string, joined string"
-    parsed = materialize(names.repartition("name").mapInPandas(_parser, schema))
+    tasks = max(names.sparkSession.sparkContext.defaultParallelism, -(-names.count() // ROWS_PER_TASK))
+    parsed = materialize(names.repartition(tasks).mapInPandas(_parser, schema))
     # names that parse alike are one form, called by its smallest name
     spelled = F.xxhash64(F.array_sort("tokens"), "kind", "joined")
     forms = parsed.groupBy(spelled.alias("key")).agg(F.min("name").alias("form"), F.any_value("tokens").alias("tokens"), F.any_value("kind").alias("kind"), F.any_value("joined").alias("joined"))
@@ -342,7 +346,7 @@ def link(names: DataFrame) -> DataFrame:
     given = token.join(formal, token["token"] == formal["nick"]).groupBy("form").agg(F.collect_set(F.struct("nick", "formal")).alias("formal"))
     none = F.expr("cast(array() as array<struct<nick:string,formal:string>>)")
     full = materialize(forms.drop("key").join(given, "form", "left").withColumn("formal", F.coalesce("formal", none)))
-    entries = full.repartition("form").mapInPandas(_entries, "form string, context string, core string, side string")
+    entries = full.repartition(tasks).mapInPandas(_entries, "form string, context string, core string, side string")
     entries = materialize(entries.select("form", F.xxhash64("context").alias("context"), "core", "side"))
     close = radius_join(entries.where(F.length("core") > 3).select("core"))
     either = close.union(close.select("core_b", "core_a")).toDF("core", "other")
