@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -10,13 +10,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auricle.functions.similarity import in_order, letters, parities, places
 from auricle.functions.text import base_title
+from auricle.io import materialize
 from auricle.operators.selection import star_clusters
 
 THRESHOLD = 0.85
 GAP_MS = 5000
-#: Rows of one block of an artist that a task compares at once.
-BLOCK = 2000
+#: Rows of one side of a cell.
+BLOCK = 8000
+#: Rows of the cells that a task takes at once, and pairs of them in memory at once.
+BUCKET, PAIRS = 40_000, 1_000_000
+#: Roles of a row in a cell: left and right ones meet, mutual ones are left and meet each other as well.
+RIGHT, LEFT, MUTUAL = 0, 1, 2
 
 
 def partial_key(text: Column, size: int = 64) -> Column:
@@ -54,61 +60,131 @@ def remix_groups(tracks: DataFrame) -> DataFrame:
     )
 
 
-def _histograms(texts: list[str]) -> np.ndarray:
-    out = np.zeros((len(texts), 64), np.int32)
-    for i, t in enumerate(texts):
-        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32) % 64, minlength=64)
-    return out.astype(np.uint8) if out.size and out.max() < 256 else out
+def _windows(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, place) of all places lo to hi of every row, some million at once."""
+    n = np.maximum(hi - lo, 0)
+    ends = np.cumsum(n)
+    start = 0
+    while start < len(n):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+        m = n[start:stop]
+        row = np.repeat(np.arange(start, stop), m)
+        yield row, np.arange(len(row)) + np.repeat(lo[start:stop] - (np.cumsum(m) - m), m)
+        start = stop
 
 
 def _similar(least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    return lambda pdf: _similar_in_blocks(pdf, least)
-
-
-def _similar_in_blocks(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Pairs of two blocks of one artist: an upper bound by characters first, then the exact ratio."""
-    row, col = pdf["row"].iloc[0], pdf["col"].iloc[0]
-    pdf = pdf.sort_values("metadata_id", kind="stable").drop_duplicates("metadata_id")
-    ids, titles = pdf["metadata_id"].tolist(), pdf["key"].tolist()
-    block, ms = pdf["block"].to_numpy(), pdf["duration_ms"].to_numpy(dtype="float64", na_value=np.nan)
-    counts, size = _histograms(titles), np.fromiter(map(len, titles), np.int64, len(titles))
-    out = []
-    for i in range(len(ids)):
-        other = np.arange(i + 1, len(ids))
-        if row != col:
-            other = other[block[other] != block[i]]
-        gap = np.abs(ms[other] - ms[i])
-        other = other[np.isnan(gap) | (gap <= GAP_MS)]
-        total = size[other] + size[i]
-        other = other[2 * np.minimum(size[other], size[i]) >= least * total]
-        if not len(other):
-            continue
-        common = np.minimum(counts[other], counts[i]).sum(1, dtype=np.int64)
-        for j in other[2 * common >= least * (size[other] + size[i])]:
-            if SequenceMatcher(None, titles[i], titles[j]).ratio() >= least:
-                out.append((ids[i], ids[j]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+    """Pairs of cells: upper bounds by length, duration, characters and pairs of characters first, then the exact ratio.
+
+    Of T letters of two texts at most (1 - least) T are not matched. The matched ones lie in no more than that number of
+    blocks and one, so at most three times as many pairs of neighbours are not common.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, artists, titles = pdf["metadata_id"].to_numpy(), pdf["artist_key"].to_numpy(), pdf["key"].tolist()
+        ms, role = pdf["duration_ms"].to_numpy(dtype="float64", na_value=np.nan), pdf["role"].to_numpy()
+        size, points, at = letters(titles)
+        chars = parities(len(titles), at, points, 1)[:, 0]
+        inner = at[1:] == at[:-1]
+        pairs = parities(len(titles), at[1:][inner], points[:-1][inner] << np.uint64(21) | points[1:][inner], 4)
+        counts = np.bincount(at * 64 + (points % np.uint64(64)).astype(np.int64), minlength=64 * len(titles)).reshape(-1, 64)
+        room = size * (1 - least) + 5e-7
+        # cells and lengths in one number, so that the rows of a cell whose lengths allow it stand together
+        width = int(size.max()) + 2
+        code = np.unique(pdf["cell"].to_numpy(), return_inverse=True)[1].astype(np.int64) * width
+        low = code + np.maximum(np.ceil(size * least / (2 - least) - 1e-6).astype(np.int64), 0)
+        high = code + np.minimum(np.floor(size * (2 - least) / least + 1e-6).astype(np.int64), width - 1)
+        spot = code + size
+        by = np.argsort(spot, kind="stable")
+        left, right, mutual = by[role[by] != RIGHT], by[role[by] == RIGHT], by[role[by] == MUTUAL]
+        found: set[tuple[str, str]] = set()
+        for mine, theirs, lo in (
+            (left, right, np.searchsorted(spot[right], low[left], side="left")),
+            (mutual, mutual, np.arange(1, len(mutual) + 1)),
+        ):
+            for row, place in _windows(lo, np.searchsorted(spot[theirs], high[mine], side="right")):
+                i, j = mine[row], theirs[place]
+                keep = np.bitwise_count(chars[i] ^ chars[j]) <= room[i] + room[j]
+                i, j = i[keep], j[keep]
+                gap = np.abs(ms[i] - ms[j])
+                keep = np.isnan(gap) | (gap <= GAP_MS)
+                i, j = i[keep], j[keep]
+                keep = np.bitwise_count(pairs[i] ^ pairs[j]).sum(1, dtype=np.int64) <= 3 * (room[i] + room[j])
+                i, j = i[keep], j[keep]
+                keep = np.abs(counts[i] - counts[j]).sum(1) <= room[i] + room[j]
+                for x, y in zip(i[keep].tolist(), j[keep].tolist()):
+                    if ids[x] == ids[y] or artists[x] != artists[y]:
+                        continue
+                    if ids[y] < ids[x]:
+                        x, y = y, x
+                    a, b = titles[x], titles[y]
+                    if a == b or 2 * in_order(places(a), len(a), b) >= least * (len(a) + len(b)) and SequenceMatcher(None, a, b).ratio() >= least:
+                        found.add((ids[x], ids[y]))
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=object)
+
+    return run
+
+
+def _keyed(tracks: DataFrame) -> DataFrame:
+    return tracks.select(
+        "metadata_id", F.lower(F.trim("artist")).alias("artist_key"), F.lower(F.trim("title")).alias("key"), "duration_ms"
+    ).where("artist_key != '' and key != ''")
+
+
+def _cells(rows: DataFrame, least: float) -> DataFrame:
+    """``rows`` with role, cell: pairs of a left and a right row, and of mutual rows, of one cell are all that can be similar.
+
+    Cells are an artist's spans of durations, in which a row meets those of its own and of the next span, and its spans of
+    lengths, in which a row meets unknown durations. Cells of many rows are cut by hash into a grid of bounded ones.
+    """
+    span = F.floor(F.col("duration_ms") / GAP_MS).cast("long")
+    band = F.floor(F.log(F.length("key")) / (float(np.log((2 - least) / least)) + 1e-6)).cast("long")
+    place = lambda kind, at, role: F.struct(F.lit(kind).alias("kind"), at.alias("at"), F.lit(role).alias("role"))
+    known = F.array(place(0, span, MUTUAL), place(0, span - 1, RIGHT), place(1, band, LEFT))
+    unknown = F.array(place(1, band, LEFT), *[place(1, band + k, RIGHT) for k in (-1, 0, 1)])
+    met = rows.withColumn("p", F.explode(F.when(F.col("duration_ms").isNull(), unknown).otherwise(known)))
+    met = met.select(*rows.columns, "p.role", F.xxhash64("artist_key", "p.kind", "p.at").alias("cell"))
+    cuts = lambda own: F.greatest(F.lit(1), F.ceil(F.count(F.when(own, 1)) / BLOCK)).cast("int")
+    # stored, so Spark knows that it is small
+    large = materialize(met.groupBy("cell").agg(cuts(F.col("role") != RIGHT).alias("height"), cuts(F.col("role") == RIGHT).alias("width")).where("height > 1 or width > 1"))
+    grid = f"""CASE WHEN height IS NULL THEN array(struct(0 AS row, 0 AS col, role AS part))
+      WHEN role = {RIGHT} THEN transform(sequence(0, height - 1), r -> struct(r AS row, own AS col, {RIGHT} AS part))
+      ELSE concat(transform(sequence(0, width - 1), c -> struct(own AS row, c AS col, IF(c = 0, role, {LEFT}) AS part)),
+        IF(role = {MUTUAL}, transform(filter(sequence(0, height - 1), c -> c < own), c -> struct(own AS row, -1 - c AS col, {LEFT} AS part)), array()),
+        IF(role = {MUTUAL}, transform(filter(sequence(0, height - 1), r -> r > own), r -> struct(r AS row, -1 - own AS col, {RIGHT} AS part)), array())) END"""
+    split = met.join(large, "cell", "left").withColumn("own", F.pmod(F.xxhash64("metadata_id"), F.when(F.col("role") == RIGHT, F.col("width")).otherwise(F.col("height"))).cast("int"))
+    out = split.withColumn("g", F.explode(F.expr(grid)))
+    return out.select(*rows.columns, F.col("g.part").alias("role"), F.xxhash64("cell", "g.row", "g.col").alias("cell"))
 
 
 def similar_pairs(tracks: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """(a, b), a before b: tracks of one artist with similar titles and durations at most 5 s apart or unknown.
 
-    Blocks of an artist are cut by hash, so one with a third of all rows is compared in many tasks.
+    Rows meet in cells of bounded size, and tasks take buckets of cells, so neither an artist with a third of all rows nor
+    many artists with few rows cost more than their comparisons.
     """
-    rows = tracks.select(
-        "metadata_id", F.lower(F.trim("artist")).alias("artist_key"), F.lower(F.trim("title")).alias("key"), "duration_ms"
-    ).where("artist_key != '' and key != ''")
-    blocks = rows.groupBy("artist_key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
-    split = rows.join(blocks.drop("n"), "artist_key").withColumn("block", F.pmod(F.xxhash64("metadata_id"), F.col("blocks")).cast("int"))
-    met = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "metadata_id", "artist_key", "key", "duration_ms", "block", F.least("block", "other").alias("row"), F.greatest("block", "other").alias("col")
-    )
-    return met.groupBy("artist_key", "row", "col").applyInPandas(_similar(least), "a string, b string").distinct()
+    rows = materialize(_keyed(tracks))
+    buckets = F.lit(max(rows.sparkSession.sparkContext.defaultParallelism, 4 * rows.count() // BUCKET))
+    met = _cells(rows, least).withColumn("bucket", F.pmod("cell", buckets))
+    return met.groupBy("bucket").applyInPandas(_similar(least), "a string, b string").distinct()
 
 
 def fuzzy_duplicates(tracks: DataFrame) -> DataFrame:
-    """(seed, member): star clusters in id order; membership is not transitive."""
-    return star_clusters(similar_pairs(tracks))
+    """(seed, member): star clusters in id order; membership is not transitive.
+
+    Rows of equal artist, title and duration have the same neighbours and each other, so the first one stands for them: it
+    takes the others as a seed, and a seed that takes it takes them too.
+    """
+    rows = materialize(_keyed(tracks))
+    alike = ["artist_key", "key", "duration_ms"]
+    first = materialize(rows.groupBy(*alike).agg(F.min("metadata_id").alias("first"), F.count("*").alias("n")))
+    stars = star_clusters(similar_pairs(first.select(F.col("first").alias("metadata_id"), F.col("artist_key").alias("artist"), F.col("key").alias("title"), "duration_ms")))
+    f = first.where("n > 1").select("first", *[F.col(c).alias(f"_{c}") for c in alike])
+    same = rows.join(f, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alike]).where("metadata_id != first").select("first", F.col("metadata_id").alias("twin"))
+    seeds = stars.select("seed", F.col("member").alias("first"))
+    twins = same.join(seeds, "first", "left").select(F.coalesce("seed", "first").alias("seed"), F.col("twin").alias("member"))
+    return stars.unionByName(twins)
 
 
 def assign_groups(signals: DataFrame, full: DataFrame, partial: DataFrame, fuzzy: DataFrame, remix: DataFrame, clear: bool = False) -> DataFrame:

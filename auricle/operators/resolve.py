@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auricle.functions.similarity import bound, percent_ratio, ratio
+from auricle.functions.similarity import bound, in_order, percent_ratio, places, ratio
 from auricle.io import materialize
 from auricle.operators.dedup import similar_pairs
 from auricle.operators.selection import star_clusters
@@ -38,23 +38,6 @@ def _above(size_a: int, counts_a: np.ndarray, size: np.ndarray, counts: np.ndarr
     return at[200 * np.minimum(counts[at], counts_a).sum(1, dtype=np.int64) >= least * (size[at] + size_a)]
 
 
-def _places(text: str) -> dict[str, int]:
-    """Bit set of the places of every letter."""
-    out: dict[str, int] = {}
-    for i, c in enumerate(text):
-        out[c] = out.get(c, 0) | 1 << i
-    return out
-
-
-def _in_order(places: dict[str, int], n: int, text: str) -> int:
-    """Length of the longest common subsequence, which no sum of matching blocks exceeds; one step of all places a letter."""
-    free = full = (1 << n) - 1
-    for c in text:
-        used = free & places.get(c, 0)
-        free = (free + used | free - used) & full
-    return n - free.bit_count()
-
-
 def _measured(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(len, texts), np.int64, len(texts)), _counts(texts)
 
@@ -68,9 +51,9 @@ def _alike_in_block(least: float):
         left, right = np.nonzero(ours)[0], np.nonzero(~ours)[0]
         out = []
         for i in left.tolist():
-            mine, n, places = texts[i], len(texts[i]), _places(texts[i])
+            mine, n, where = texts[i], len(texts[i]), places(texts[i])
             for j in right[_above(size[i], counts[i], size[right], counts[right], least)].tolist():
-                if 200 * _in_order(places, n, texts[j]) >= least * (n + len(texts[j])):
+                if 200 * in_order(where, n, texts[j]) >= least * (n + len(texts[j])):
                     score = ratio(mine, texts[j]) * 100.0
                     if score >= least:
                         out.append((mine, texts[j], score))
@@ -108,9 +91,9 @@ def _titles_of_artists(least: float):
             size, counts = _measured([*titles, *ours["title_key"]])
             n = len(titles)
             for i, title in enumerate(ours["title_key"], n):
-                best, places = None, _places(title)
+                best, where = None, places(title)
                 for j in _above(size[i], counts[i], size[:n], counts[:n], least).tolist():
-                    if 200 * _in_order(places, len(title), titles[j]) < least * (len(title) + len(titles[j])):
+                    if 200 * in_order(where, len(title), titles[j]) < least * (len(title) + len(titles[j])):
                         continue
                     score = ratio(title, titles[j]) * 100.0
                     if score >= least and (best is None or (-score, ids[j]) < best):
