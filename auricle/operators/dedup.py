@@ -60,7 +60,7 @@ def remix_groups(tracks: DataFrame) -> DataFrame:
     )
 
 
-def _windows(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def windows(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, place) of all places lo to hi of every row, some million at once."""
     n = np.maximum(hi - lo, 0)
     ends = np.cumsum(n)
@@ -103,7 +103,7 @@ def _similar(least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
             (left, right, np.searchsorted(spot[right], low[left], side="left")),
             (mutual, mutual, np.arange(1, len(mutual) + 1)),
         ):
-            for row, place in _windows(lo, np.searchsorted(spot[theirs], high[mine], side="right")):
+            for row, place in windows(lo, np.searchsorted(spot[theirs], high[mine], side="right")):
                 i, j = mine[row], theirs[place]
                 keep = np.bitwise_count(chars[i] ^ chars[j]) <= room[i] + room[j]
                 i, j = i[keep], j[keep]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auricle.functions.similarity import bound, in_order, percent_ratio, places, ratio
+from auricle.functions.similarity import in_order, letters, parities, places, ratio  # noqa: F401
 from auricle.io import materialize
-from auricle.operators.dedup import similar_pairs
+from auricle.operators.dedup import similar_pairs, windows
 from auricle.operators.selection import star_clusters
 
 #: Keys of one side that a task compares at once.
@@ -23,23 +26,79 @@ def by_first_key(rows: DataFrame, key: str, candidates: Column, index: DataFrame
     return hit.groupBy(key).agg(F.min_by(value, F.struct("at", value)).alias(value))
 
 
-def _counts(texts: list[str]) -> np.ndarray:
-    """Characters by class, in whole numbers."""
-    out = np.zeros((len(texts), 64), np.int32)
-    for i, t in enumerate(texts):
-        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32) % 64, minlength=64)
-    out = out[:, out.any(0)] if len(texts) else out
-    return out.astype(np.uint8) if out.size and out.max() < 256 else out
-
-
-def _above(size_a: int, counts_a: np.ndarray, size: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """Places that may reach ``least``: upper bounds of the ratio by lengths, then by characters."""
-    at = np.nonzero(200 * np.minimum(size, size_a) >= least * (size + size_a))[0]
-    return at[200 * np.minimum(counts[at], counts_a).sum(1, dtype=np.int64) >= least * (size[at] + size_a)]
-
-
-def _measured(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return np.fromiter(map(len, texts), np.int64, len(texts)), _counts(texts)
+def _near(texts: list[str], left: np.ndarray, right: np.ndarray, group: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of a left and a right text of one group that may reach ``least``: upper bounds by lengths, by characters, by their order."""
+    share = least / 100
+    size, points, at = letters(texts)
+    kinds, letter = np.unique(points, return_inverse=True)
+    # the n-th occurrence of a character is an item, so that texts are sets of items
+    by = np.argsort(at * len(kinds) + letter, kind="stable")
+    run = np.nonzero(np.diff(at[by] * len(kinds) + letter[by], prepend=-1))[0]
+    nth = np.empty(len(by), np.int64)
+    nth[by] = np.arange(len(by)) - np.repeat(run, np.diff(run, append=len(by)))
+    first, second = parities(len(texts), at, points | nth.astype(np.uint64) << np.uint64(21), 2).T.copy()
+    room = (size * (1 - share) + 5e-7).astype(np.float64)
+    width = int(size.max()) + 2
+    code = np.unique(group, return_inverse=True)[1].astype(np.int64) * width
+    left, right = (x[np.argsort(code[x] + size[x], kind="stable")] for x in (left, right))
+    spot = code[right] + size[right]
+    lo = np.searchsorted(spot, code[left] + np.ceil(size[left] * share / (2 - share) - 1e-6).astype(np.int64))
+    hi = np.searchsorted(spot, code[left] + np.minimum(np.floor(size[left] * (2 - share) / share + 1e-6).astype(np.int64), width - 1), side="right")
+    one, two, space = first[right], second[right], room[right]
+    # places of each character of the left texts as bits, characters of the right ones in a row
+    short = size <= 64
+    mask, line = np.zeros((len(texts), 65), np.uint64), np.full((len(texts), int(size[short].max(initial=1))), 64, np.uint8)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+    of = short[at]
+    np.bitwise_or.at(mask, (at[of], letter[of] % 64), np.uint64(1) << place[of].astype(np.uint64))
+    line[at[of], place[of]] = letter[of] % 64
+
+    def ordered(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        free = np.full(len(i), 2**64 - 1, np.uint64)
+        for c in range(int(size[j].max(initial=0)) if short[j].all() else line.shape[1]):
+            used = free & mask[i, line[j, c]]
+            free = (free + used) | (free - used)
+        common = np.bitwise_count(~free).astype(np.int64)
+        for k in np.nonzero(~(short[i] & short[j]))[0].tolist():
+            common[k] = in_order(places(texts[i[k]]), len(texts[i[k]]), texts[j[k]])
+        return 200 * common >= least * (size[i] + size[j])
+
+    many = hi - lo > 500
+    ahead: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+    for x in np.nonzero(many)[0].tolist():
+        a, u, v = left[x], lo[x], hi[x]
+        hit = np.nonzero(np.bitwise_count(one[u:v] ^ first[a]) + np.bitwise_count(two[u:v] ^ second[a]) <= space[u:v] + room[a])[0] + u
+        ahead.append((np.full(len(hit), a), right[hit]))
+        waiting += len(hit)
+        if waiting > 200_000:
+            i, j = (np.concatenate(z) for z in zip(*ahead))
+            keep = ordered(i, j)
+            yield i[keep], j[keep]
+            ahead, waiting = [], 0
+    if ahead:
+        i, j = (np.concatenate(z) for z in zip(*ahead))
+        keep = ordered(i, j)
+        yield i[keep], j[keep]
+    few = np.nonzero(~many)[0]
+    for row, k in windows(lo[few], hi[few]):
+        i, j = left[few[row]], right[k]
+        keep = np.bitwise_count(first[i] ^ first[j]) + np.bitwise_count(second[i] ^ second[j]) <= room[i] + room[j]
+        i, j = i[keep], j[keep]
+        keep = ordered(i, j)
+        yield i[keep], j[keep]
+
+
+def _scores(texts: list[str], i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """The exact ratio of each pair; what it prepares of a right text serves all its pairs."""
+    by = np.argsort(j, kind="stable")
+    match, last = SequenceMatcher(None, "", ""), -1
+    for x, y in zip(i[by].tolist(), j[by].tolist()):
+        if y != last:
+            match.set_seq2(texts[y])
+            last = y
+        match.set_seq1(texts[x])
+        yield x, y, match.ratio() * 100.0
 
 
 def _alike_in_block(least: float):
@@ -47,16 +106,9 @@ def _alike_in_block(least: float):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         texts, ours = pdf["text"].tolist(), pdf["mine"].to_numpy(dtype=bool)
-        size, counts = _measured(texts)
-        left, right = np.nonzero(ours)[0], np.nonzero(~ours)[0]
         out = []
-        for i in left.tolist():
-            mine, n, where = texts[i], len(texts[i]), places(texts[i])
-            for j in right[_above(size[i], counts[i], size[right], counts[right], least)].tolist():
-                if 200 * in_order(where, n, texts[j]) >= least * (n + len(texts[j])):
-                    score = ratio(mine, texts[j]) * 100.0
-                    if score >= least:
-                        out.append((mine, texts[j], score))
+        for i, j in _near(texts, np.nonzero(ours)[0], np.nonzero(~ours)[0], np.zeros(len(texts), np.int64), least):
+            out += [(texts[x], texts[y], score) for x, y, score in _scores(texts, i, j) if score >= least]
         return pd.DataFrame(out, columns=["mine", "theirs", "score"]).astype({"score": "float64"})
 
     return run
@@ -82,37 +134,26 @@ def _titles_of_artists(least: float):
     """Best song of each (title, artist of songs) of a bucket of artists, or of two blocks of one artist."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for artist, part in pdf.groupby("artist", sort=False):
-            ours, songs = part[part["song_id"].isna()], part[part["song_id"].notna()]
-            if not len(ours) or not len(songs):
-                continue
-            titles, ids = songs["title_key"].tolist(), songs["song_id"].tolist()
-            size, counts = _measured([*titles, *ours["title_key"]])
-            n = len(titles)
-            for i, title in enumerate(ours["title_key"], n):
-                best, where = None, places(title)
-                for j in _above(size[i], counts[i], size[:n], counts[:n], least).tolist():
-                    if 200 * in_order(where, len(title), titles[j]) < least * (len(title) + len(titles[j])):
-                        continue
-                    score = ratio(title, titles[j]) * 100.0
-                    if score >= least and (best is None or (-score, ids[j]) < best):
-                        best = (-score, ids[j])
-                if best:
-                    out.append((title, artist, -best[0], best[1]))
+        titles, artists, ids = pdf["title_key"].tolist(), pdf["artist"].tolist(), pdf["song_id"].tolist()
+        ours = pdf["song_id"].isna().to_numpy()
+        best: dict[int, tuple[float, str]] = {}
+        for i, j in _near(titles, np.nonzero(ours)[0], np.nonzero(~ours)[0], pd.factorize(pdf["artist"])[0], least):
+            for x, y, score in _scores(titles, i, j):
+                if score >= least and (x not in best or (-score, ids[y]) < best[x]):
+                    best[x] = (-score, ids[y])
+        out = [(titles[x], artists[x], -score, song) for x, (score, song) in best.items()]
         return pd.DataFrame(out, columns=["title_key", "artist", "title_score", "song_id"]).astype({"title_score": "float64"})
 
     return run
 
 
-def _over_all(rows: DataFrame, songs: DataFrame, least: float) -> DataFrame:
-    """(id, song_id, score) of rows compared with all songs: first the distinct artists, then the titles of artists that are alike.
+def _over_all(rows: DataFrame, songs: DataFrame, alike: DataFrame, least: float) -> DataFrame:
+    """(id, song_id, score) of rows compared with all songs: the titles of artists that are alike.
 
     Titles of an artist with many songs are cut by hash into blocks that meet pairwise.
     """
     theirs = materialize(songs.where("song_artist != ''").groupBy("title_key", F.col("song_artist").alias("artist")).agg(F.min("song_id").alias("song_id")))
     wanted = rows.select("id", "title_key", F.explode("artists").alias("variant"))
-    alike = _alike(wanted.select("variant"), theirs.select("artist"), least).toDF("variant", "artist", "artist_score")
     ours = materialize(wanted.join(alike, "variant").groupBy("id", "title_key", "artist").agg(F.max("artist_score").alias("artist_score")))
     asked = ours.select("title_key", "artist").distinct()
     count = lambda df, name: df.groupBy("artist").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
@@ -145,11 +186,13 @@ def best_fuzzy(rows: DataFrame, songs: DataFrame, least: float = 70.0) -> DataFr
     keys = F.col("artist_keys") if "artist_keys" in rows.columns else F.array("artist_key")
     keys = F.array_distinct(F.filter(keys, lambda k: k.isNotNull() & (k != "")))
     wanted = materialize(rows.where("title_key != ''").select("id", "title_key", keys.alias("artists")).where("size(artists) > 0"))
-    met = wanted.join(s, "title_key").withColumn("_k", F.explode("artists")).where(bound(F.col("_k"), F.col("song_artist")) * 100 >= least)
-    scored = met.withColumn("artist_score", percent_ratio(F.col("_k"), F.col("song_artist"))).where(F.col("artist_score") >= least)
-    in_block = _first_best(scored.withColumn("score", F.lit(60.0) + F.col("artist_score") * 0.4))
+    # all artists are compared once, whatever number of rows and songs share a title
+    alike = materialize(_alike(wanted.select(F.explode("artists")), s.where("song_artist != ''").select("song_artist"), least).toDF("variant", "artist", "artist_score"))
+    songs_of = s.where("song_artist != ''").groupBy("title_key", F.col("song_artist").alias("artist")).agg(F.min("song_id").alias("song_id"))
+    met = wanted.select("id", "title_key", F.explode("artists").alias("variant")).join(songs_of, "title_key").join(alike, ["variant", "artist"])
+    in_block = _first_best(met.withColumn("score", F.lit(60.0) + F.col("artist_score") * 0.4))
     alone = wanted.join(s.select("title_key").distinct(), "title_key", "left_anti")
-    return in_block.unionByName(_over_all(alone, s, least))
+    return in_block.unionByName(_over_all(alone, s, alike, least))
 
 
 def _grams(text: Column, n: int) -> Column:
