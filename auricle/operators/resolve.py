@@ -153,12 +153,15 @@ def _over_all(rows: DataFrame, songs: DataFrame, alike: DataFrame, least: float)
     Titles of an artist with many songs are cut by hash into blocks that meet pairwise.
     """
     theirs = materialize(songs.where("song_artist != ''").groupBy("title_key", F.col("song_artist").alias("artist")).agg(F.min("song_id").alias("song_id")))
-    wanted = rows.select("id", "title_key", F.explode("artists").alias("variant"))
-    ours = materialize(wanted.join(alike, "variant").groupBy("id", "title_key", "artist").agg(F.max("artist_score").alias("artist_score")))
-    asked = ours.select("title_key", "artist").distinct()
-    count = lambda df, name: df.groupBy("artist").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    blocks = count(asked, "height").join(count(theirs, "width"), "artist")
-    buckets = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    wanted = rows.select("id", "title_key", "artists", F.to_json("artists").alias("who"))
+    variants = wanted.select("who", F.explode("artists").alias("variant")).distinct()
+    named = materialize(variants.join(alike, "variant").groupBy("who", "artist").agg(F.max("artist_score").alias("artist_score")))
+    titles = materialize(wanted.select("who", "title_key").distinct())
+    asked = titles.join(named.select("who", "artist"), "who")
+    # titles of an artist are counted by whose they are, not by the rows of the join
+    height = titles.groupBy("who").agg(F.count("*").alias("n")).join(named, "who").groupBy("artist").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("height"))
+    blocks = materialize(height.join(theirs.groupBy("artist").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("width")), "artist"))
+    buckets = max(4 * rows.sparkSession.sparkContext.defaultParallelism, theirs.count() // BLOCK)
     own = lambda n: F.pmod(F.xxhash64("title_key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # artists of one block share buckets, larger ones have their own groups
@@ -166,7 +169,7 @@ def _over_all(rows: DataFrame, songs: DataFrame, alike: DataFrame, least: float)
     left = asked.join(blocks, "artist").select(group, "title_key", "artist", F.lit(None).cast("string").alias("song_id"), own("height").alias("row"), every("width").alias("col"))
     right = theirs.join(blocks, "artist").select(group, "title_key", "artist", "song_id", every("height").alias("row"), own("width").alias("col"))
     found = left.unionByName(right).groupBy("bucket", "row", "col").applyInPandas(_titles_of_artists(least), "title_key string, artist string, title_score double, song_id string")
-    scored = ours.join(found, ["title_key", "artist"]).withColumn("score", F.col("title_score") * 0.6 + F.col("artist_score") * 0.4)
+    scored = wanted.drop("artists").join(found.distinct(), "title_key").join(named, ["who", "artist"]).withColumn("score", F.col("title_score") * 0.6 + F.col("artist_score") * 0.4)
     return _first_best(scored)
 
 
