@@ -21,8 +21,10 @@ GAP_MS = 5000
 BLOCK = 8000
 #: Rows of the cells that a task takes at once, and pairs of them in memory at once.
 BUCKET, PAIRS = 40_000, 1_000_000
-#: Roles of a row in a cell: left and right ones meet, mutual ones are left and meet each other as well.
-RIGHT, LEFT, MUTUAL = 0, 1, 2
+#: Roles of a row in a cell: left and right ones meet, mutual ones are left and meet each other as well; whole ones are all of an artist.
+RIGHT, LEFT, MUTUAL, WHOLE = 0, 1, 2, 3
+#: Hashes that are sent to all executors; where there are more, rows are joined to them.
+FEW = 500_000
 
 
 def partial_key(text: Column, size: int = 64) -> Column:
@@ -42,6 +44,23 @@ def hash_groups(rows: DataFrame, key: str, digest: Column) -> DataFrame:
     )
 
 
+def repeated(rows: DataFrame, keys: dict[str, list[Column]]) -> DataFrame:
+    """``rows`` with a column by name of a key: whether another row has the same hash of it, so that only these can share the key.
+
+    Where most rows are like no other, few are left to be grouped by whole keys.
+    """
+    hashed = {name: F.xxhash64(F.lit(name), *key) for name, key in keys.items()}
+    counts = rows.select(F.explode(F.array(*hashed.values())).alias("hash")).groupBy("hash").count()
+    many = materialize(counts.where("count > 1").select("hash"))
+    few = many.count() <= FEW
+    out = rows
+    for name, value in hashed.items():
+        side = many.select("hash", F.lit(True).alias("_again"))
+        out = out.withColumn("hash", value).join(F.broadcast(side) if few else side, "hash", "left")
+        out = out.select(*rows.columns, *[n for n in keys if n in out.columns], F.col("_again").isNotNull().alias(name))
+    return out if few else materialize(out)
+
+
 def partial_groups(rows: DataFrame, key: str, full: Column, partial: Column) -> DataFrame:
     """Groups by the partial digest among rows that no full digest groups; two or more must be left."""
     grouped = hash_groups(rows, key, full).select("digest")
@@ -49,11 +68,20 @@ def partial_groups(rows: DataFrame, key: str, full: Column, partial: Column) ->
     return hash_groups(rest, key, partial)
 
 
+def remix_keys(tracks: DataFrame, *more: str | Column) -> DataFrame:
+    """(metadata_id, artist_key, base_key) and ``more``: the act and the composition of every track."""
+    return tracks.select("metadata_id", F.lower(F.trim("artist")).alias("artist_key"), F.lower(base_title(F.col("title"))).alias("base_key"), *more)
+
+
 def remix_groups(tracks: DataFrame) -> DataFrame:
     """(artist_key, base_key, members, first) of compositions with two tracks or more."""
+    return composition_groups(remix_keys(tracks))
+
+
+def composition_groups(keys: DataFrame) -> DataFrame:
+    """The groups of ``remix_groups`` from the columns of ``remix_keys``."""
     return (
-        tracks.select("metadata_id", F.lower(F.trim("artist")).alias("artist_key"), F.lower(base_title(F.col("title"))).alias("base_key"))
-        .where("artist_key != '' and base_key != ''")
+        keys.where("artist_key != '' and base_key != ''")
         .groupBy("artist_key", "base_key")
         .agg(F.count("*").alias("members"), F.min("metadata_id").alias("first"))
         .where("members > 1")
@@ -74,6 +102,31 @@ def windows(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         start = stop
 
 
+def meet(bits: tuple[np.ndarray, np.ndarray], room: tuple[np.ndarray, np.ndarray], lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, place) of the places lo to hi, which grow by row, whose bits differ in no more than the room of both.
+
+    Where a row has many places, some rows are compared with all places of any of them at once.
+    """
+    (a, b), (x, y) = bits, room
+    if np.maximum(hi - lo, 0).sum() < 32 * len(lo):
+        for row, place in windows(lo, hi):
+            keep = np.bitwise_count(a[row] ^ b[place]) <= x[row] + y[place]
+            yield row[keep], place[keep]
+        return
+    start = 0
+    while start < len(lo):
+        stop = start + max(1, min(64, PAIRS // max(1, int(hi[start] - lo[start]))))
+        first, last = lo[start:stop].min(), hi[start:stop].max()
+        most = np.minimum(x[start:stop].max() + y[first:last], 64).astype(np.uint8)
+        row, place = np.nonzero(np.bitwise_count(a[start:stop, None] ^ b[first:last]) <= most)
+        row, place = row + start, place + first
+        keep = (lo[row] <= place) & (place < hi[row])
+        row, place = row[keep], place[keep]
+        keep = np.bitwise_count(a[row] ^ b[place]) <= x[row] + y[place]
+        yield row[keep], place[keep]
+        start = stop
+
+
 def _similar(least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Pairs of cells: upper bounds by length, duration, characters and pairs of characters first, then the exact ratio.
 
@@ -98,15 +151,26 @@ def _similar(least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
         spot = code + size
         by = np.argsort(spot, kind="stable")
         left, right, mutual = by[role[by] != RIGHT], by[role[by] == RIGHT], by[role[by] == MUTUAL]
+        whole = by[role[by] == WHOLE]
+        blank, timed = whole[np.isnan(ms[whole])], whole[~np.isnan(ms[whole])]
+        left = left[role[left] != WHOLE]
+        # of an artist as a whole, rows of known durations meet within the gap, by cell and rank of the duration
+        times, rank = np.unique(ms[timed], return_inverse=True)
+        base = code[timed] // width * len(times)
+        order = np.argsort(base + rank, kind="stable")
+        last = (base + np.searchsorted(times, ms[timed] + GAP_MS, side="right"))[order]
+        base, timed = (base + rank)[order], timed[order]
+        below = lambda mine, theirs: np.searchsorted(spot[theirs], low[mine], side="left")
+        above = lambda mine, theirs: np.searchsorted(spot[theirs], high[mine], side="right")
         found: set[tuple[str, str]] = set()
-        for mine, theirs, lo in (
-            (left, right, np.searchsorted(spot[right], low[left], side="left")),
-            (mutual, mutual, np.arange(1, len(mutual) + 1)),
+        for mine, theirs, lo, hi in (
+            (left, right, below(left, right), above(left, right)),
+            (mutual, mutual, np.arange(1, len(mutual) + 1), above(mutual, mutual)),
+            (blank, whole, below(blank, whole), above(blank, whole)),
+            (timed, timed, np.arange(1, len(timed) + 1), np.searchsorted(base, last, side="left")),
         ):
-            for row, place in windows(lo, np.searchsorted(spot[theirs], high[mine], side="right")):
+            for row, place in meet((chars[mine], chars[theirs]), (room[mine], room[theirs]), lo, hi):
                 i, j = mine[row], theirs[place]
-                keep = np.bitwise_count(chars[i] ^ chars[j]) <= room[i] + room[j]
-                i, j = i[keep], j[keep]
                 gap = np.abs(ms[i] - ms[j])
                 keep = np.isnan(gap) | (gap <= GAP_MS)
                 i, j = i[keep], j[keep]
@@ -133,21 +197,26 @@ def _keyed(tracks: DataFrame) -> DataFrame:
 
 
 def _cells(rows: DataFrame, least: float) -> DataFrame:
-    """``rows`` with role, cell: pairs of a left and a right row, and of mutual rows, of one cell are all that can be similar.
+    """``rows`` with role, cell: pairs of a left and a right row, of mutual and of whole rows, of one cell are all that can be similar.
 
-    Cells are an artist's spans of durations, in which a row meets those of its own and of the next span, and its spans of
-    lengths, in which a row meets unknown durations. Cells of many rows are cut by hash into a grid of bounded ones.
+    An artist of few rows is a cell, which has each row once. Those of others are an artist's spans of durations, in which a
+    row meets those of its own and of the next span, and its spans of lengths, in which a row meets unknown durations. Cells
+    of many rows are cut by hash into a grid of bounded ones.
     """
+    artist = F.xxhash64("artist_key").alias("artist")
+    # stored, so Spark knows that they are small
+    great = materialize(rows.select(artist).groupBy("artist").count().where(F.col("count") > BLOCK).select("artist"))
     span = F.floor(F.col("duration_ms") / GAP_MS).cast("long")
     band = F.floor(F.log(F.length("key")) / (float(np.log((2 - least) / least)) + 1e-6)).cast("long")
     place = lambda kind, at, role: F.struct(F.lit(kind).alias("kind"), at.alias("at"), F.lit(role).alias("role"))
     known = F.array(place(0, span, MUTUAL), place(0, span - 1, RIGHT), place(1, band, LEFT))
     unknown = F.array(place(1, band, LEFT), *[place(1, band + k, RIGHT) for k in (-1, 0, 1)])
-    met = rows.withColumn("p", F.explode(F.when(F.col("duration_ms").isNull(), unknown).otherwise(known)))
+    told = rows.withColumn("artist", artist).join(great.withColumn("great", F.lit(True)), "artist", "left")
+    whole = F.array(place(2, F.lit(0).cast("long"), WHOLE))
+    met = told.withColumn("p", F.explode(F.when(F.col("great").isNull(), whole).when(F.col("duration_ms").isNull(), unknown).otherwise(known)))
     met = met.select(*rows.columns, "p.role", F.xxhash64("artist_key", "p.kind", "p.at").alias("cell"))
     cuts = lambda own: F.greatest(F.lit(1), F.ceil(F.count(F.when(own, 1)) / BLOCK)).cast("int")
-    # stored, so Spark knows that it is small
-    large = materialize(met.groupBy("cell").agg(cuts(F.col("role") != RIGHT).alias("height"), cuts(F.col("role") == RIGHT).alias("width")).where("height > 1 or width > 1"))
+    large = materialize(met.where(F.col("role") != WHOLE).groupBy("cell").agg(cuts(F.col("role") != RIGHT).alias("height"), cuts(F.col("role") == RIGHT).alias("width")).where("height > 1 or width > 1"))
     grid = f"""CASE WHEN height IS NULL THEN array(struct(0 AS row, 0 AS col, role AS part))
       WHEN role = {RIGHT} THEN transform(sequence(0, height - 1), r -> struct(r AS row, own AS col, {RIGHT} AS part))
       ELSE concat(transform(sequence(0, width - 1), c -> struct(own AS row, c AS col, IF(c = 0, role, {LEFT}) AS part)),
@@ -164,8 +233,11 @@ def similar_pairs(tracks: DataFrame, least: float = THRESHOLD) -> DataFrame:
     Rows meet in cells of bounded size, and tasks take buckets of cells, so neither an artist with a third of all rows nor
     many artists with few rows cost more than their comparisons.
     """
-    rows = materialize(_keyed(tracks))
-    buckets = F.lit(max(rows.sparkSession.sparkContext.defaultParallelism, 4 * rows.count() // BUCKET))
+    return _pairs(materialize(_keyed(tracks)), least)
+
+
+def _pairs(rows: DataFrame, least: float) -> DataFrame:
+    buckets = F.lit(max(rows.sparkSession.sparkContext.defaultParallelism, 2 * rows.count() // BUCKET))
     met = _cells(rows, least).withColumn("bucket", F.pmod("cell", buckets))
     return met.groupBy("bucket").applyInPandas(_similar(least), "a string, b string").distinct()
 
@@ -178,10 +250,12 @@ def fuzzy_duplicates(tracks: DataFrame) -> DataFrame:
     """
     rows = materialize(_keyed(tracks))
     alike = ["artist_key", "key", "duration_ms"]
-    first = materialize(rows.groupBy(*alike).agg(F.min("metadata_id").alias("first"), F.count("*").alias("n")))
-    stars = star_clusters(similar_pairs(first.select(F.col("first").alias("metadata_id"), F.col("artist_key").alias("artist"), F.col("key").alias("title"), "duration_ms")))
+    told = repeated(rows, {"alike": [F.col(c) for c in alike]})
+    single, others = told.where("not alike").drop("alike"), told.where("alike")
+    first = materialize(others.groupBy(*alike).agg(F.min("metadata_id").alias("first"), F.count("*").alias("n")))
+    stars = star_clusters(_pairs(single.unionByName(first.select(F.col("first").alias("metadata_id"), *alike)), THRESHOLD))
     f = first.where("n > 1").select("first", *[F.col(c).alias(f"_{c}") for c in alike])
-    same = rows.join(f, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alike]).where("metadata_id != first").select("first", F.col("metadata_id").alias("twin"))
+    same = others.join(f, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alike]).where("metadata_id != first").select("first", F.col("metadata_id").alias("twin"))
     seeds = stars.select("seed", F.col("member").alias("first"))
     twins = same.join(seeds, "first", "left").select(F.coalesce("seed", "first").alias("seed"), F.col("twin").alias("member"))
     return stars.unionByName(twins)

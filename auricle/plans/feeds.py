@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auricle.functions.coerce import json_list
-from auricle.io import load
+from auricle.io import load, materialize
 from auricle.operators import conversion, enrichment, intake, lists, merge
 from auricle.plans.library import LIB, library
 from auricle.plans.playlists import _MEMBERS, members
@@ -273,16 +273,17 @@ def q129_similar_groups(spark: SparkSession, d: str) -> DataFrame:
     from auricle.operators import dedup
 
     t = load(spark, d, "tracks")
-    rows = t.select("metadata_id", F.concat_ws("|", "artist", "title", "length_seconds").alias("text"))
     digest, ends = F.sha2("text", 256), dedup.partial_key(c("text"), 20)
-    named = lambda groups, by: rows.select("metadata_id", by.alias("digest")).join(groups, "digest").select("metadata_id", F.concat(F.lit("g"), "first").alias("group_id"))
-    full = named(dedup.hash_groups(rows, "metadata_id", digest), digest)
-    part = named(dedup.partial_groups(rows, "metadata_id", digest, ends), ends).join(full.select("metadata_id"), "metadata_id", "left_anti")
+    rows = dedup.remix_keys(t, F.concat_ws("|", "artist", "title", "length_seconds").alias("text"))
+    told = dedup.repeated(rows, {"full": [c("text")], "part": [ends], "remix": [c("artist_key"), c("base_key")]})
+    told = materialize(told.where("full or part or remix"))
+    like = {name: told.where(name) for name in ("full", "part", "remix")}
+    named = lambda rows, groups, by: rows.select("metadata_id", by.alias("digest")).join(groups, "digest").select("metadata_id", F.concat(F.lit("g"), "first").alias("group_id"))
+    full = named(like["full"], dedup.hash_groups(like["full"], "metadata_id", digest), digest)
+    part = named(like["part"], dedup.partial_groups(like["part"], "metadata_id", digest, ends), ends).join(full.select("metadata_id"), "metadata_id", "left_anti")
     stars = dedup.fuzzy_duplicates(t.join(load(spark, d, "technical_features").select("metadata_id", "duration_ms"), "metadata_id", "left"))
     fuzzy = stars.select(c("member").alias("metadata_id"), F.concat(F.lit("f"), "seed").alias("group_id")).unionByName(stars.select(c("seed").alias("metadata_id"), F.concat(F.lit("f"), "seed").alias("group_id")).distinct())
-    base = dedup.remix_groups(t)
-    keys = t.select("metadata_id", F.lower(F.trim("artist")).alias("artist_key"), F.lower(dedup.base_title(c("title"))).alias("base_key"))
-    remix = keys.join(base, ["artist_key", "base_key"]).select("metadata_id", F.concat(F.lit("r"), "first").alias("group_id"))
+    remix = like["remix"].join(dedup.composition_groups(like["remix"]), ["artist_key", "base_key"]).select("metadata_id", F.concat(F.lit("r"), "first").alias("group_id"))
     signals = t.select("metadata_id", F.lit(None).cast("string").alias("duplicate_group"), F.lit(None).cast("string").alias("remix_group"))
     return dedup.assign_groups(signals, full, part, fuzzy, remix).where("duplicate_group is not null or remix_group is not null")
 
